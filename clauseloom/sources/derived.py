@@ -137,7 +137,7 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN l_partkey % 101 = 3 THEN 'legacy-parse' WHEN l_partkey % 5 = 0 THEN 'development-document-parse'
                     ELSE 'document-parse-v1' END AS type,
                CASE state_no WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'succeeded' ELSE 'failed' END AS status,
-               CASE state_no WHEN 0 THEN 0 WHEN 1 THEN 20 WHEN 2 THEN 100 ELSE 20 END AS progress,
+               CAST(CASE state_no WHEN 0 THEN 0 WHEN 1 THEN 20 WHEN 2 THEN 100 ELSE 20 END AS BIGINT) AS progress,
                quantity % 5 AS attempt,
                CASE WHEN state_no = 3 THEN concat('{{"code":"',
                       CASE l_partkey % 6 WHEN 0 THEN 'OBJECT_STORAGE_UNAVAILABLE' WHEN 1 THEN 'INVALID_DOCX'
@@ -179,6 +179,11 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
                     WHEN 2 THEN CASE WHEN l_partkey % 2 = 0 THEN 0.9 ELSE 0.8 END END AS confidence,
                CASE WHEN l_suppkey % 4 = 3 THEN 'development-fixture' WHEN l_partkey % 3 = 0 THEN 'pdf'
                     WHEN l_partkey % 3 = 1 THEN 'docx' ELSE 'txt' END AS kind,
+               concat('{{"kind":"', CASE WHEN l_suppkey % 31 = 7 THEN 'image'
+                                        WHEN l_suppkey % 4 = 3 THEN 'development-fixture' WHEN l_partkey % 3 = 0 THEN 'pdf'
+                                        WHEN l_partkey % 3 = 1 THEN 'docx' ELSE 'txt' END, '"',
+                      CASE l_partkey % 13 WHEN 0 THEN '' WHEN 1 THEN ',"version":2' WHEN 2 THEN ',"version":"1"'
+                                          ELSE ',"version":1' END, '}}') AS locator_json,
                concat('file-', CAST(l_orderkey AS STRING)) AS source,
                l_partkey % 40 + 1 AS page, l_linenumber AS line, quantity AS column_no,
                CASE WHEN l_partkey % 6 = 0 THEN '未映射'
@@ -243,6 +248,47 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
                         OVER (PARTITION BY task_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS newest_claim
               FROM {task_events}) held""",
     ),
+    "project_forms": (
+        ("customer",),
+        """
+        SELECT CAST(c_custkey AS BIGINT) AS form_id,
+               CASE c_custkey % 8 WHEN 0 THEN '   ' WHEN 1 THEN repeat('x', 161) WHEN 2 THEN concat('  ', c_name, '　')
+                                  WHEN 3 THEN repeat('供', 160) WHEN 4 THEN NULL ELSE c_name END AS name,
+               CASE c_custkey % 9 WHEN 0 THEN '' WHEN 1 THEN repeat('c', 81) WHEN 2 THEN NULL WHEN 3 THEN '  '
+                                  ELSE concat(' C-', CAST(c_custkey AS STRING), ' ') END AS code,
+               CASE WHEN c_custkey % 21 = 5 THEN repeat('n', 161) ELSE c_mktsegment END AS customer_name,
+               CASE WHEN c_custkey % 23 = 5 THEN repeat('o', 170) ELSE concat('owner-', CAST(c_custkey % 9 AS STRING)) END AS owner_name,
+               CASE c_custkey % 18
+                 WHEN 0 THEN concat('2026-07-', lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0'), 'T09:30:00Z')
+                 WHEN 1 THEN '2026-02-29T10:00:00Z' WHEN 2 THEN '2024-02-29T10:00:00+08:00'
+                 WHEN 3 THEN concat('2026-', lpad(CAST(c_custkey % 20 AS STRING), 2, '0'), '-11T00:00:00Z')
+                 WHEN 4 THEN '2026-07-10 09:30:00Z' WHEN 5 THEN '2026-07-10t09:30:00.123456z'
+                 WHEN 6 THEN '2026-07-10T24:00:00Z' WHEN 7 THEN '2026-07-10T09:30:60Z' WHEN 8 THEN '2026-04-31T09:30:00Z'
+                 WHEN 9 THEN '2026-07-10T09:30:00+24:00' WHEN 10 THEN '2026-07-10T01:30:00-05:30'
+                 WHEN 11 THEN concat('2026-07-10T', lpad(CAST(c_custkey % 30 AS STRING), 2, '0'), ':15')
+                 WHEN 12 THEN '1900-02-29T00:00:00Z' WHEN 13 THEN '2000-02-29T23:59:59.9Z' WHEN 14 THEN 'tomorrow'
+                 WHEN 15 THEN '2026-07-10T09:30:00' WHEN 16 THEN '2026-02-30T09:30:05' ELSE NULL END AS deadline
+        FROM {customer}""",
+    ),
+    "uploads": (
+        ("orders",),
+        """
+        SELECT CAST(o_orderkey AS BIGINT) AS upload_id,
+               CASE o_orderkey % 9 WHEN 0 THEN concat('C:', chr(92), 'docs', chr(92), 'file-', CAST(o_orderkey AS STRING), '.PDF')
+                 WHEN 1 THEN concat('/srv/in/', CAST(o_orderkey AS STRING), '.docx') WHEN 2 THEN concat(' notes ', CAST(o_orderkey AS STRING), '.Txt ')
+                 WHEN 3 THEN concat('tool-', CAST(o_orderkey AS STRING), '.exe') WHEN 4 THEN '.pdf' WHEN 5 THEN '   '
+                 WHEN 6 THEN concat(repeat('n', 252), '.txt') WHEN 7 THEN concat('dir/', CAST(o_orderkey AS STRING), '.pdf/')
+                 ELSE concat('a.b.', CAST(o_orderkey AS STRING), '.pdf') END AS raw_name,
+               CASE WHEN o_orderkey % 10 = 3 THEN 0 ELSE (o_orderkey * 7919) % 31457280 END AS size_bytes,
+               upper(substr(md5(CAST(o_orderkey AS STRING)), 1, CASE WHEN o_orderkey % 12 = 1 THEN 25 ELSE 26 END)) AS base_id,
+               CASE o_orderkey % 6 WHEN 0 THEN 'I' WHEN 1 THEN 'L' WHEN 2 THEN 'z' ELSE 'Z' END AS id_tail,
+               CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'tenant 1' WHEN 2 THEN repeat('t', 65) WHEN 3 THEN 'Ten_ant-9'
+                    WHEN 4 THEN '租户' ELSE concat('t', CAST(o_custkey % 25 AS STRING)) END AS tenant_id,
+               concat('P', CAST(o_custkey AS STRING)) AS project_id, o_orderdate AS uploaded_at,
+               concat(md5(CAST(o_orderkey AS STRING)), md5(CAST(o_custkey AS STRING))) AS sha256,
+               CASE o_orderkey % 11 WHEN 4 THEN 'parsed' ELSE 'queued' END AS parse_status, o_orderkey % 13 AS attempt
+        FROM {orders}""",
+    ),
     "outbox": (
         ("line_keys",),
         """
