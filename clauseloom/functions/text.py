@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -18,6 +18,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def pin(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add computed columns behind a one-row generator, so that later uses read the value instead of
+    repeating the expression (the optimizer merges plain projections)."""
+    made = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(made)))
+
+
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 code units; Spark's ``length`` counts code points."""
     ascii_only = F.octet_length(text) == F.length(text)
