@@ -248,6 +248,40 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
                         OVER (PARTITION BY task_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS newest_claim
               FROM {task_events}) held""",
     ),
+    # Positioned text: a document per part, 24 runs per page, five page designs (document % 5):
+    # 0 table, 1 staggered columns, 2 flowing text, 3 flowing text with rotated, clipped, blank and
+    # right-to-left runs, 4 headings. Coordinates are PDF user space; the viewport flips y.
+    "text_runs": (
+        ("line_keys",),
+        """
+        SELECT doc_id, page, item_index, text, k, idx,
+               CASE WHEN rotated THEN CAST(0 AS DOUBLE) ELSE size END AS t0, CASE WHEN rotated THEN size ELSE CAST(0 AS DOUBLE) END AS t1,
+               CASE WHEN rotated THEN -size ELSE CAST(0 AS DOUBLE) END AS t2, CASE WHEN rotated THEN CAST(0 AS DOUBLE) ELSE size END AS t3,
+               x AS t4, CAST(842 AS DOUBLE) - y AS t5, length(text) * size * CAST(0.5 AS DOUBLE) AS width,
+               CASE WHEN quantity % 10 = 0 THEN CAST(5 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END AS ascent, CAST(-0.2 AS DOUBLE) AS descent,
+               CASE WHEN k = 3 AND idx % 12 = 3 THEN 'rtl' ELSE 'ltr' END AS dir, false AS vertical,
+               k IN (1, 4) OR idx % 2 = 1 AS has_eol, CAST(1 AS DOUBLE) AS v0, CAST(0 AS DOUBLE) AS v1, CAST(0 AS DOUBLE) AS v2,
+               CAST(-1 AS DOUBLE) AS v3, CAST(0 AS DOUBLE) AS v4, CAST(842 AS DOUBLE) AS v5, CAST(595 AS DOUBLE) AS page_width, CAST(842 AS DOUBLE) AS page_height
+        FROM (
+          SELECT *, k = 3 AND idx % 6 = 5 AS rotated,
+                 CASE WHEN k = 4 AND idx % 8 = 0 THEN CAST(20 AS DOUBLE) WHEN k = 4 AND idx % 4 = 0 THEN CAST(18 AS DOUBLE) ELSE CAST(12 AS DOUBLE) END AS size,
+                 CASE k WHEN 0 THEN 60 + floor(idx / 2) * 24 WHEN 1 THEN 60 + floor(idx / 2) * 40 + idx % 2 * 15
+                        WHEN 4 THEN 60 + idx * 22 + floor(idx / 4) * 22 + floor((idx + 3) / 4) * 22
+                        ELSE 60 + floor(idx / 2) * 20 + idx % 2 * CAST(0.5 AS DOUBLE) END AS y,
+                 CASE WHEN k = 3 AND idx % 12 = 7 THEN CAST(700 AS DOUBLE) WHEN k = 0 THEN 72 + idx % 2 * CAST(258 AS DOUBLE)
+                      WHEN k = 1 THEN 72 + idx % 2 * CAST(268 AS DOUBLE) WHEN k = 4 AND idx % 8 = 4 THEN CAST(262 AS DOUBLE)
+                      WHEN k IN (2, 3) THEN 72 + idx % 2 * CAST(190 AS DOUBLE) ELSE CAST(72 AS DOUBLE) END AS x
+          FROM (
+            SELECT concat('p-', CAST(l_partkey AS STRING)) AS doc_id, CAST(floor(r / 24) AS BIGINT) + 1 AS page, CAST(r % 24 AS BIGINT) AS item_index,
+                   CAST(r % 24 AS BIGINT) AS idx, l_partkey % 5 AS k, quantity,
+                   CASE WHEN l_partkey % 5 = 3 AND r % 12 = 9 THEN '   '
+                        WHEN l_partkey % 5 = 4 AND r % 8 = 0 THEN concat(CAST(l_linenumber AS STRING), '. Scope')
+                        WHEN l_partkey % 5 = 4 AND r % 8 = 4 THEN 'Area'
+                        WHEN l_partkey % 5 IN (2, 3) AND r % 2 = 0 THEN rpad(concat('Lot ', CAST(l_linenumber AS STRING), ' must ship all of it today'), 31, '.')
+                        WHEN r % 3 = 1 THEN concat('Seal ', CAST(quantity AS STRING), ' shall hold.')
+                        ELSE concat('Context ', CAST(l_suppkey AS STRING)) END AS text
+            FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, line_key) - 1 AS r FROM {line_keys}) numbered) placed) sized""",
+    ),
     "project_forms": (
         ("customer",),
         """
