@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from clauseloom.operators import taskstate as ts
@@ -12,7 +13,15 @@ from clauseloom.streaming.transitions import TaskState
 COLUMNS = ["tenant_id", "task_id", "seq", "event", "outcome", "status", "attempt"]
 
 
-def _write_in_time_order(events, path, parts=3):
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _write_in_time_order(events, path, parts=2):
     total = events.count()
     ranked = events.orderBy("ts", "seq").toPandas()
     for i in range(parts):
