@@ -31,6 +31,9 @@ def file_size(size: Column) -> Column:
     )
 
 
+# --- Fixed values: display labels by extension ----------------------------------------------------
+
+
 def file_category(file_name: Column, packages: bool = False) -> Column:
     """Class by extension; ``packages`` adds the two classes only the upload screen knows."""
     extension = F.lower(F.substring_index(file_name, ".", -1))

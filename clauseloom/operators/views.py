@@ -98,6 +98,9 @@ def category_type(category: Column) -> Column:
     )
 
 
+# --- Fixed values: anchor labels of the evidence view --------------------------------------------
+
+
 def requirement_view(requirements: DataFrame) -> DataFrame:
     """Labels, display percent and the anchor of each requirement by evidence kind."""
     kind = F.col("kind")
