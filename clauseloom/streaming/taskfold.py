@@ -20,6 +20,9 @@ _COLUMNS = (
 class TaskFold(StatefulProcessor):
     """Applies the events of a task in time order within each micro-batch."""
 
+    def __init__(self, timers: bool) -> None:
+        self._timers = timers
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._task = handle.getValueState("task", STATE_SCHEMA)
@@ -35,7 +38,7 @@ class TaskFold(StatefulProcessor):
             verdict = state.apply(e.seq, e.ts, e.event, e.token, e.lease_expires_at, e.error_code)
             out.append((key[0], key[1], e.seq, e.ts, e.event, verdict, *state.snapshot()))
         self._task.update(as_row(state))
-        if state.lease_until is not None:
+        if self._timers and state.lease_until is not None:
             self._handle.registerTimer(int(pd.Timestamp(state.lease_until, tz="UTC").timestamp() * 1000))
         yield pd.DataFrame(out, columns=_COLUMNS)
 
@@ -51,11 +54,16 @@ class TaskFold(StatefulProcessor):
         pass
 
 
-def fold_stream(events: DataFrame, time_mode: str = "ProcessingTime") -> DataFrame:
-    """Streaming ``events`` → verdict per event, like ``operators.taskstate.fold_events``."""
+def fold_stream(events: DataFrame, timers: bool = False) -> DataFrame:
+    """Streaming ``events`` → verdict per event, like ``operators.taskstate.fold_events``.
+
+    ``timers`` also reports expired leases by the clock. Such a query never runs dry, so it belongs
+    to a continuous trigger, not to ``availableNow``.
+    """
     keyed = events.select(*FOLD_COLUMNS).groupBy("tenant_id", "task_id")
     return keyed.transformWithStateInPandas(
-        statefulProcessor=TaskFold(), outputStructType=OUTCOME_SCHEMA, outputMode="Append", timeMode=time_mode
+        statefulProcessor=TaskFold(timers), outputStructType=OUTCOME_SCHEMA, outputMode="Append",
+        timeMode="ProcessingTime" if timers else "None",
     )
 
 
