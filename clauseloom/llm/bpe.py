@@ -28,8 +28,8 @@ from clauseloom.llm.common import named, text_slices
 
 #: Piece lengths in bytes up to which a padded matrix is used; each bound is one bucket.
 BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128, 256)
-#: Rows of one matrix, and pieces a worker remembers between rounds of work (a memory bound, not a limit).
-MATRIX_CELLS, REMEMBERED = 1_000_000, 250_000
+#: Cells of one matrix, chunks a worker remembers between runs of texts, ids decoded in one step: memory bounds, not limits.
+MATRIX_CELLS, REMEMBERED, DECODED = 1_000_000, 250_000, 200_000
 NO_RANK = np.int32(2**31 - 1)
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -321,11 +321,18 @@ def _decoder(shared, pattern: str) -> Callable[[pa.Array], pa.Array]:
     def decode(lists: pa.Array) -> pa.Array:
         vocabulary, _ = _loaded(shared.value, pattern)
         ids = lists.flatten().to_numpy(zero_copy_only=False)
-        counts = np.array(lists.value_lengths().fill_null(0), np.int64)
-        data, lens = vocabulary.decode_ids(ids)
-        ends = np.concatenate([[0], np.cumsum(lens)])
-        offsets = ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        edges = np.concatenate([[0], np.cumsum(np.array(lists.value_lengths().fill_null(0), np.int64))])
+        data, sizes, row = [], [np.zeros(1, np.int64)], 0
+        # A step's index arrays are many times the bytes they gather, so a batch is decoded in steps of whole rows.
+        while row < len(lists):
+            last = max(row + 1, int(np.searchsorted(edges, edges[row] + DECODED, side="right")) - 1)
+            found, lens = vocabulary.decode_ids(ids[edges[row] : edges[last]])
+            ends = np.concatenate([[0], np.cumsum(lens)])
+            sizes.append(np.diff(ends[edges[row : last + 1] - edges[row]]))
+            data.append(found.tobytes())
+            row = last
+        offsets = np.cumsum(np.concatenate(sizes)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(data))])
 
     return decode
 

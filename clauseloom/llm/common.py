@@ -33,7 +33,7 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def text_slices(texts: pa.Array, chars: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+def text_slices(texts: pa.Array, chars: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about ``chars`` characters with the position of the first; a null reads as empty.
 
     An Arrow batch holds whatever its rows hold; what a step makes of the texts is larger than they are,
