@@ -32,15 +32,6 @@ def utf16_length(text: Column) -> Column:
     return F.when(ascii_only, F.length(text)).otherwise(encoded).cast("long")
 
 
-def utf16_equals_slice(text: Column, start: Column, end: Column, quote: Column) -> Column:
-    """Does ``text[start:end]`` in UTF-16 units equal ``quote``? Compared as bytes, so a range that
-    cuts a surrogate pair is simply unequal."""
-    encoded = F.encode(text, "UTF-16BE")
-    return F.substring(encoded, start.cast("int") * 2 + 1, (end - start).cast("int") * 2) == F.encode(
-        quote, "UTF-16BE"
-    )
-
-
 # Ranges in which every code point is NFC already and never composes with a neighbour (a test walks
 # them against the Unicode database): Latin, Greek capitals aside, general punctuation, CJK marks,
 # kana, ideographs, Hangul syllables, full-width forms, pictographs.

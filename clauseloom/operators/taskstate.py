@@ -72,8 +72,8 @@ def backoff_ms(attempt: Column, base: int, cap: int | None = None) -> Column:
 
 def complete(requests: DataFrame, requirements: DataFrame, now: Column) -> DataFrame:
     """Accepted completions with the number of requirements that become visible; the rest is stale."""
-    counted = requirements.groupBy(F.col("task_id").alias("id")).agg(F.count("*").alias("visible"))
-    judged = requests.withColumn("accepted", lease_holds(now)).join(counted, "id", "left")
+    counted = requirements.groupBy("tenant_id", F.col("task_id").alias("id")).agg(F.count("*").alias("visible"))
+    judged = requests.withColumn("accepted", lease_holds(now)).join(counted, ["tenant_id", "id"], "left")
     ok = F.col("accepted")
     return judged.select(
         "id", "accepted", F.when(ok, "succeeded").otherwise(F.col("status")).alias("status"),
@@ -93,7 +93,7 @@ def fail_or_requeue(requests: DataFrame, now: Column, max_attempts: int = MAX_AT
     ok = lease_holds(now)
     delay = backoff_ms(F.col("attempt"), TASK_BACKOFF_MS) / 1000
     return requests.select(
-        "id", "error_code",
+        "tenant_id", "id", "error_code",
         F.when(~ok, "stale").when(retry, "requeued").otherwise("failed").alias("outcome"),
         F.when(~ok, F.col("status")).when(retry, "queued").otherwise("failed").alias("status"),
         F.when(ok & retry, now + seconds(delay)).alias("due_at"),
@@ -102,11 +102,16 @@ def fail_or_requeue(requests: DataFrame, now: Column, max_attempts: int = MAX_AT
     )
 
 
-def publish_events(rows: DataFrame, available_at: str, created_at: Column) -> DataFrame:
-    """Outbox rows for tasks that must be announced again; the id is a hash of the natural key."""
+def retry_event_id(created_at: Column) -> Column:
+    """Id of the event that announces a task again: a hash of its natural key."""
     key = F.concat_ws(":", F.lit("retry"), "tenant_id", "id", F.date_format(created_at, "yyyyMMddHHmmss"))
+    return F.substring(F.md5(key), 1, 26)
+
+
+def publish_events(rows: DataFrame, available_at: str, created_at: Column) -> DataFrame:
+    """Outbox rows for tasks that must be announced again."""
     return rows.select(
-        F.substring(F.md5(key), 1, 26).alias("event_id"), "tenant_id", F.col("id").alias("task_id"),
+        retry_event_id(created_at).alias("event_id"), "tenant_id", F.col("id").alias("task_id"),
         F.col(available_at).alias("available_at"), created_at.alias("created_at"),
         F.lit(0).alias("publish_attempts"),
     )
@@ -163,8 +168,8 @@ def deliveries(log: DataFrame, tasks: DataFrame) -> DataFrame:
     Terminal or deleted tasks are acknowledged without effect.
     """
     once = log.dropDuplicates(["event_id"])
-    state = tasks.select(F.col("id").alias("task_id"), "status")
-    known = once.join(state, "task_id", "left")
+    state = tasks.select("tenant_id", F.col("id").alias("task_id"), "status")
+    known = once.join(state, ["tenant_id", "task_id"], "left")
     terminal = F.col("status").isNull() | F.col("status").isin("succeeded", "failed")
     return known.select(
         "event_id", "task_id", F.when(terminal, "acknowledge").otherwise("process").alias("action")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.functions import fixed_values as fv
-from clauseloom.functions.formats import file_category, file_size, percent, short_time
+from clauseloom.functions.formats import file_category, file_size, percent
+from clauseloom.functions.text import trim_ws, utf16_length
 
 
 def newest_first(df: DataFrame) -> DataFrame:
@@ -14,6 +15,12 @@ def newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("created_at"), "id")
 
 
+def scoped(df: DataFrame, tenant_id: str, project_id: str | None = None) -> DataFrame:
+    """Rows of one tenant, or of one of its projects: ids are unique within a tenant only."""
+    own = df.filter(F.col("tenant_id") == tenant_id)
+    return own if project_id is None else own.filter(F.col("project_id") == project_id)
+
+
 def latest_task(tasks: DataFrame, only: Column | None = None) -> DataFrame:
     """The newest task of each file: a map-side combined ``max_by``, no per-file sort."""
     rows = tasks if only is None else tasks.filter(only)
@@ -27,14 +34,16 @@ def requirement_list(
     requirements: DataFrame,
     files: DataFrame,
     tasks: DataFrame,
+    tenant_id: str,
+    project_id: str,
     confirmation_status: str | None = None,
     priority: str | None = None,
 ) -> DataFrame:
-    """Requirements with the metadata of their file and task, joined on the composite keys.
+    """Requirements of one project with the metadata of their file and task, joined on the composite keys.
 
-    Optional filters are applied first, so they reach the requirement scan.
+    The scope and the optional filters are applied first, so they reach the requirement scan.
     """
-    rows = requirements
+    rows = scoped(requirements, tenant_id, project_id)
     if confirmation_status is not None:
         rows = rows.filter(F.col("confirmation_status") == confirmation_status)
     if priority is not None:
@@ -55,22 +64,24 @@ def requirement_list(
 def confirm(requirements: DataFrame, decisions: DataFrame) -> DataFrame:
     """Requirements a valid decision applies to, with the decision written in.
 
-    ``decisions(tenant_id, project_id, id, decision, note, decided_at)``. Unknown keys give no row.
+    ``decisions(tenant_id, project_id, id, decision, note, decided_at)``. Unknown keys give no row. Notes lose white
+    space at both ends, Unicode's too, and may then have 1,000 UTF-16 units.
     """
+    note = trim_ws(F.col("note"))
     valid = decisions.filter(
-        F.col("decision").isin("confirmed", "rejected")
-        & (F.coalesce(F.length(F.trim("note")), F.lit(0)) <= 1000)
+        F.col("decision").isin("confirmed", "rejected") & (F.coalesce(utf16_length(note), F.lit(0)) <= 1000)
     )
     return requirements.join(valid, ["tenant_id", "project_id", "id"]).select(
         "tenant_id", "project_id", "id", "code",
         F.col("decision").alias("confirmation_status"),
-        F.when(F.col("note") != "", F.trim("note")).alias("confirmation_note"),
+        F.when(F.col("note") != "", note).alias("confirmation_note"),
         F.col("decided_at").alias("confirmed_at"),
         F.col("decided_at").alias("updated_at"),
     )
 
 
-def file_view(files: DataFrame, tasks: DataFrame) -> DataFrame:
+def file_view(files: DataFrame, tasks: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
+    """One row per file with its newest task; ``kept`` names further columns of the file to pass through."""
     newest = latest_task(tasks).withColumnRenamed("file_id", "id")
     task, parse = F.col("task"), F.col("parse_status")
     joined = files.join(newest, ["tenant_id", "id"], "left")
@@ -88,6 +99,7 @@ def file_view(files: DataFrame, tasks: DataFrame) -> DataFrame:
         F.coalesce(task["progress"], F.when(F.col("status") == "ready", 100)).cast("long").alias("progress"),
         message.alias("error"),
         F.coalesce(task["status"] == "failed", F.lit(False)).alias("can_retry"),
+        *kept,
     )
 
 
@@ -175,6 +187,3 @@ def confirmed_status(status: Column, confirm_it: Column) -> Column:
     kept = F.when(status == fv.UNCONFIRMED, fv.TO_RESPOND).otherwise(status)
     return F.when(confirm_it, kept).otherwise(fv.UNCONFIRMED)
 
-
-def short_deadline(deadline: Column) -> Column:
-    return F.coalesce(short_time(deadline), F.lit("未设置"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.operators import checks as ck
 from clauseloom.plans.catalog import entry
-from clauseloom.sources.derived import derive, spread, table
+from clauseloom.sources.derived import derive, table
 
 
 @entry(
@@ -102,5 +102,5 @@ def q_available_assets(spark, sf_dir):
 
 @entry("chk_duplicate_content")
 def chk_duplicate_content(spark, sf_dir):
-    documents = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return ck.duplicate_content(documents)

@@ -85,8 +85,8 @@ def find_projects(spark, sf_dir):
 
 def shown_files(spark, sf_dir):
     files = derive(spark, sf_dir, "project_files")
-    view = vw.file_view(files, derive(spark, sf_dir, "parse_tasks"))
-    return view.join(files.select("id", "project_id", "size_bytes"), "id").withColumn(
+    view = vw.file_view(files, derive(spark, sf_dir, "parse_tasks"), ("project_id", "size_bytes"))
+    return view.withColumn(
         "pages",
         F.when(F.col("size_bytes") % 3 == 0, F.concat(F.col("size_bytes") % 4, F.lit(" 个工作表")))
         .otherwise((F.col("size_bytes") % 300).cast("string")),

@@ -12,7 +12,7 @@ from clauseloom.operators import requirements as rq
 from clauseloom.plans.catalog import entry
 from clauseloom.plans.oracle_parts import trim, u16
 from clauseloom.plans.text_queries import canonical
-from clauseloom.sources.derived import corpus, derive, spread, table
+from clauseloom.sources.derived import corpus, derive, table
 
 _NAME_OK = f"name IS NOT NULL AND {u16(trim('name'))} BETWEEN 1 AND 160"
 
@@ -134,7 +134,7 @@ def dq_format_route(spark, sf_dir):
              FROM documents)""",
 )
 def dq_integrity(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     content, key = F.col("text").cast("binary"), F.col("doc_id")
     actual, digest = F.octet_length(content), F.sha2(content, 256)
     declared = actual + F.when(key % 17 == 0, 1).otherwise(0)

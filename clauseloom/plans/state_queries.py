@@ -61,7 +61,7 @@ _PRESENTED_SQL = _PRESENTED.format(parse_tasks="parse_tasks")
     "st_complete",
     ("parse_tasks", "requirements"),
     f"""SELECT id, accepted, CASE WHEN accepted THEN 'succeeded' ELSE status END AS status, CASE WHEN accepted THEN 100 ELSE progress END AS progress,
-               CASE WHEN accepted THEN (SELECT count(*) FROM requirements r WHERE r.task_id = p.id) ELSE 0 END AS visible,
+               CASE WHEN accepted THEN (SELECT count(*) FROM requirements r WHERE r.tenant_id = p.tenant_id AND r.task_id = p.id) ELSE 0 END AS visible,
                CASE WHEN accepted THEN 'parsed' END AS file_status
         FROM (SELECT *, {_HOLDS} AS accepted FROM ({_PRESENTED_SQL})) p""",
 )
@@ -96,14 +96,9 @@ def st_fail(spark, sf_dir):
         FROM ({_REPORTED}) WHERE outcome <> 'failed'""",
 )
 def st_requeue(spark, sf_dir):
-    requests = presented(spark, sf_dir)
-    judged = ts.fail_or_requeue(requests, now()).filter("outcome <> 'failed'")
-    events = ts.publish_events(
-        judged.filter("due_at IS NOT NULL").join(requests.select("id", "tenant_id"), "id"), "due_at", now()
-    )
-    return judged.join(events.select(F.col("task_id").alias("id"), "event_id"), "id", "left").select(
-        "id", "error_code", "outcome", "status", "due_at", "file_status", "event_id"
-    )
+    judged = ts.fail_or_requeue(presented(spark, sf_dir), now()).filter("outcome <> 'failed'")
+    event = F.when(F.col("due_at").isNotNull(), ts.retry_event_id(now()))
+    return judged.select("id", "error_code", "outcome", "status", "due_at", "file_status", event.alias("event_id"))
 
 
 @entry(
@@ -114,11 +109,7 @@ def st_requeue(spark, sf_dir):
         FROM parse_tasks WHERE status = 'failed'""",
 )
 def st_manual_retry(spark, sf_dir):
-    retried = ts.manual_retry(tasks(spark, sf_dir), now())
-    events = ts.publish_events(retried, "next_attempt_at", now()).select(
-        "tenant_id", F.col("task_id").alias("id"), "event_id"
-    )
-    return retried.join(events, ["tenant_id", "id"])
+    return ts.manual_retry(tasks(spark, sf_dir), now()).withColumn("event_id", ts.retry_event_id(now()))
 
 
 @entry(
@@ -193,12 +184,12 @@ def st_outbox_relay(spark, sf_dir):
     "st_dedup_delivery",
     ("outbox", "parse_tasks"),
     """SELECT o.id AS event_id, o.task_id, CASE WHEN t.status IS NULL OR t.status IN ('succeeded', 'failed') THEN 'acknowledge' ELSE 'process' END AS action
-       FROM (SELECT id, CASE WHEN publish_attempts = 5 THEN task_id || 'x' ELSE task_id END AS task_id FROM outbox) o LEFT JOIN parse_tasks t ON t.id = o.task_id""",
+       FROM (SELECT id, tenant_id, CASE WHEN publish_attempts = 5 THEN task_id || 'x' ELSE task_id END AS task_id FROM outbox) o LEFT JOIN parse_tasks t ON t.tenant_id = o.tenant_id AND t.id = o.task_id""",
 )
 def st_dedup_delivery(spark, sf_dir):
     outbox = derive(spark, sf_dir, "outbox")
     gone = F.when(F.col("publish_attempts") == 5, F.concat("task_id", F.lit("x"))).otherwise(F.col("task_id"))
-    delivered = outbox.select(F.col("id").alias("event_id"), gone.alias("task_id"), "publish_attempts")
+    delivered = outbox.select(F.col("id").alias("event_id"), "tenant_id", gone.alias("task_id"), "publish_attempts")
     # At-least-once: an event arrives as often as it was published.
     copies = delivered.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), "publish_attempts")))
     return ts.deliveries(copies, tasks(spark, sf_dir))

@@ -8,6 +8,7 @@ from clauseloom.functions import fixed_values as fv
 from clauseloom.functions import formats as fm
 from clauseloom.operators import views as vw
 from clauseloom.plans.catalog import entry
+from clauseloom.plans.oracle_parts import trim, u16
 from clauseloom.sources.derived import derive
 
 _TIME = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
@@ -32,32 +33,35 @@ def q_list_projects(spark, sf_dir):
     ("projects", "project_files", "parse_tasks"),
     """SELECT 'project' AS entity, id, status FROM projects WHERE tenant_id = 't3' AND id = 'P3'
        UNION ALL SELECT 'project', id, status FROM projects WHERE tenant_id = 't4' AND id = 'P3'
-       UNION ALL SELECT 'file', id, parse_status FROM project_files WHERE tenant_id = (SELECT tenant_id FROM project_files WHERE id = 'F12') AND id = 'F12'
-       UNION ALL SELECT 'task', id, status FROM parse_tasks WHERE file_id = 'F12'""",
+       UNION ALL SELECT 'file', f.id, f.parse_status FROM project_files f WHERE f.tenant_id = 't19' AND f.id = (SELECT min(id) FROM project_files WHERE tenant_id = 't19')
+       UNION ALL SELECT 'file', f.id, f.parse_status FROM project_files f WHERE f.tenant_id = 't18' AND f.id = (SELECT min(id) FROM project_files WHERE tenant_id = 't19')
+       UNION ALL SELECT 'task', t.id, t.status FROM parse_tasks t WHERE t.tenant_id = 't19' AND t.id = (SELECT min(id) FROM parse_tasks WHERE tenant_id = 't19')""",
 )
 def q_find_by_id(spark, sf_dir):
     projects, files, tasks = (derive(spark, sf_dir, n) for n in ("projects", "project_files", "parse_tasks"))
 
-    def look(df, entity, status, *tests):
-        for test in tests:
-            df = df.filter(test)
-        return df.select(F.lit(entity).alias("entity"), "id", F.col(status).alias("status"))
+    def look(df, entity, status, tenant, key):
+        found = vw.scoped(df, tenant).filter(F.col("id") == key)
+        return found.select(F.lit(entity).alias("entity"), "id", F.col(status).alias("status"))
 
+    # Ids to look for: the first ones of a tenant; under another tenant the same id finds nothing.
+    file_id, task_id = (vw.scoped(df, "t19").agg(F.min("id")).first()[0] for df in (files, tasks))
     return (
-        look(projects, "project", "status", "tenant_id = 't3'", "id = 'P3'")
-        .unionByName(look(projects, "project", "status", "tenant_id = 't4'", "id = 'P3'"))
-        .unionByName(look(files, "file", "parse_status", "id = 'F12'"))
-        .unionByName(look(tasks, "task", "status", "file_id = 'F12'"))
+        look(projects, "project", "status", "t3", "P3")
+        .unionByName(look(projects, "project", "status", "t4", "P3"))
+        .unionByName(look(files, "file", "parse_status", "t19", file_id))
+        .unionByName(look(files, "file", "parse_status", "t18", file_id))
+        .unionByName(look(tasks, "task", "status", "t19", task_id))
     )
 
 
 @entry(
     "q_list_files",
     ("project_files",),
-    f"SELECT id, file_name, size_bytes, sha256, parse_status, {_times('created_at', 'updated_at')} FROM project_files WHERE tenant_id = 't5' ORDER BY project_files.created_at DESC, id",
+    f"SELECT id, file_name, size_bytes, sha256, parse_status, {_times('created_at', 'updated_at')} FROM project_files WHERE tenant_id = 't19' AND project_id = 'P19' ORDER BY project_files.created_at DESC, id",
 )
 def q_list_files(spark, sf_dir):
-    rows = derive(spark, sf_dir, "project_files").filter("tenant_id = 't5'")
+    rows = vw.scoped(derive(spark, sf_dir, "project_files"), "t19", "P19")
     return vw.newest_first(
         rows.select("id", "file_name", "size_bytes", "sha256", "parse_status", "created_at", "updated_at")
     )
@@ -66,10 +70,10 @@ def q_list_files(spark, sf_dir):
 @entry(
     "q_list_tasks",
     ("parse_tasks",),
-    f"SELECT id, file_id, type, status, progress, attempt, {_times('created_at', 'started_at')} FROM parse_tasks WHERE tenant_id = 't9' ORDER BY parse_tasks.created_at DESC, id",
+    f"SELECT id, file_id, type, status, progress, attempt, {_times('created_at', 'started_at')} FROM parse_tasks WHERE tenant_id = 't19' AND project_id = 'P19' ORDER BY parse_tasks.created_at DESC, id",
 )
 def q_list_tasks(spark, sf_dir):
-    rows = derive(spark, sf_dir, "parse_tasks").filter("tenant_id = 't9'")
+    rows = vw.scoped(derive(spark, sf_dir, "parse_tasks"), "t19", "P19")
     return vw.newest_first(
         rows.select("id", "file_id", "type", "status", "progress", "attempt", "created_at", "started_at")
     )
@@ -85,12 +89,12 @@ _LIST_COLUMNS = "id, code, title, category, priority, confirmation_status, sourc
 @entry(
     "q_list_requirements",
     ("requirements", "project_files", "parse_tasks"),
-    f"SELECT {_LIST_COLUMNS} FROM ({_LISTED}) WHERE confirmation_status = 'confirmed' AND priority = 'mandatory' ORDER BY code, id",
+    f"SELECT {_LIST_COLUMNS} FROM ({_LISTED}) WHERE tenant_id = 't11' AND project_id = 'P61' AND confirmation_status = 'confirmed' AND priority = 'mandatory' ORDER BY code, id",
 )
 def q_list_requirements(spark, sf_dir):
     tables = [derive(spark, sf_dir, n) for n in ("requirements", "project_files", "parse_tasks")]
     return (
-        vw.requirement_list(*tables, confirmation_status="confirmed", priority="mandatory")
+        vw.requirement_list(*tables, "t11", "P61", confirmation_status="confirmed", priority="mandatory")
         .select(*_LIST_COLUMNS.split(", "))
         .orderBy("code", "id")
     )
@@ -99,7 +103,8 @@ def q_list_requirements(spark, sf_dir):
 _DECISIONS = """
     SELECT tenant_id, project_id, CASE WHEN line = 7 THEN concat('X', id) ELSE id END AS id,
            CASE WHEN line = 1 THEN 'confirmed' WHEN line = 2 THEN 'rejected' WHEN line = 3 THEN 'pending' ELSE 'confirmed' END AS decision,
-           CASE WHEN line = 4 THEN repeat('n', 1001) WHEN line = 5 THEN '' WHEN line = 6 THEN NULL ELSE ' checked ' END AS note,
+           CASE WHEN page % 7 = 3 THEN '	　seen 　' WHEN page % 7 = 4 THEN repeat('😀', 600) WHEN page % 7 = 5 THEN concat(' ', repeat('😀', 500), ' ')
+                WHEN line = 4 THEN repeat('n', 1001) WHEN line = 5 THEN '' WHEN line = 6 THEN NULL ELSE ' checked ' END AS note,
            updated_at + INTERVAL '1' HOUR AS decided_at
     FROM {requirements}"""
 
@@ -107,10 +112,10 @@ _DECISIONS = """
 @entry(
     "q_confirm_requirement",
     ("requirements",),
-    f"""SELECT r.tenant_id, r.project_id, r.id, r.code, d.decision AS confirmation_status, CASE WHEN d.note <> '' THEN trim(d.note) END AS confirmation_note,
+    f"""SELECT r.tenant_id, r.project_id, r.id, r.code, d.decision AS confirmation_status, CASE WHEN d.note <> '' THEN {trim('d.note')} END AS confirmation_note,
                strftime(d.decided_at, '%Y-%m-%d %H:%M:%S') AS confirmed_at, strftime(d.decided_at, '%Y-%m-%d %H:%M:%S') AS updated_at
         FROM requirements r JOIN ({_DECISIONS.format(requirements='requirements')}) d ON d.tenant_id = r.tenant_id AND d.project_id = r.project_id AND d.id = r.id
-        WHERE d.decision IN ('confirmed', 'rejected') AND coalesce(length(trim(d.note)), 0) <= 1000""",
+        WHERE d.decision IN ('confirmed', 'rejected') AND coalesce({u16(trim('d.note'))}, 0) <= 1000""",
 )
 def q_confirm_requirement(spark, sf_dir):
     requirements = derive(spark, sf_dir, "requirements")
@@ -160,10 +165,11 @@ def q_latest_failed_task(spark, sf_dir):
 @entry(
     "q_active_tasks",
     ("parse_tasks",),
-    "SELECT id FROM parse_tasks WHERE status IN ('queued', 'running') ORDER BY id",
+    "SELECT id FROM parse_tasks WHERE tenant_id = 't2' AND project_id = 'P27' AND status IN ('queued', 'running') ORDER BY id",
 )
 def q_active_tasks(spark, sf_dir):
-    return derive(spark, sf_dir, "parse_tasks").filter(F.col("status").isin("queued", "running")).select("id").orderBy("id")
+    rows = vw.scoped(derive(spark, sf_dir, "parse_tasks"), "t2", "P27")
+    return rows.filter(F.col("status").isin("queued", "running")).select("id").orderBy("id")
 
 
 _INCOMING = """

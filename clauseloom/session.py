@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +27,11 @@ def build_session(master: str = "local[8]", app: str = "clauseloom", **extra: st
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         )
     )
+    if "spark.checkpoint.dir" not in extra:
+        # One process: a temporary folder is a shared one here, and goes when the process does.
+        folder = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        builder = builder.config("spark.checkpoint.dir", folder)
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
@@ -33,24 +40,25 @@ def build_session(master: str = "local[8]", app: str = "clauseloom", **extra: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local master without the setting (tests) falls back to a temporary folder, because
-    there the driver and the executors are one process.
-    """
+    """The folder every executor can reach, as named by ``spark.checkpoint.dir``; where that is unset, the warehouse,
+    which a cluster shares, too."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        made = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", made)
-        return made
-    raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
+    return (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/clauseloom/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of the shared folder; never reused, so no run deletes another's data."""
-    return f"{shared_dir(spark)}/clauseloom/{label}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Removes what this application has written to the shared folder; for use once its results are written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -21,21 +21,6 @@ REFERENCE_TIME = "1998-06-01 00:00:00"
 PROJECT_TIME = "2026-07-10 00:00:00"
 
 
-SMALL_SCAN_BYTES = 256 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a small scan over the cores: a file with one row group is read by one task.
-
-    The planner's own size estimate decides. A large input has row groups enough and is left
-    exactly as scanned; nothing is shuffled there.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_SCAN_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -365,7 +350,7 @@ def tender_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All text documents: the provided prose plus the derived tenders, as ``(doc_id, text)``."""
-    prose = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    prose = table(spark, sf_dir, "documents").select("doc_id", "text").select(
         F.concat(F.lit("d-"), F.col("doc_id").cast("string")).alias("doc_id"), "text"
     )
     tenders = tender_text(spark, sf_dir).select(

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_requirements(requirements: DataFrame, path: str, partition: str = "tenant_id") -> None:
-    """All requirements of the tenants present, replacing exactly those partitions.
+def write_requirements(requirements: DataFrame, path: str, batch: int) -> None:
+    """One batch of finished tasks, whole task results, under its batch number.
 
-    The rows are first laid out by tenant and task hash, so a large tenant is several files
-    written by several tasks instead of one.
+    A replay of a batch replaces exactly what it wrote before, and no batch touches another one's rows. Rows keep the
+    layout they come in, so a large tenant is as many files as tasks wrote it.
     """
-    salted = requirements.repartition(F.col(partition), F.pmod(F.xxhash64("task_id"), F.lit(16)))
     (
-        salted.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
-        .parquet(path)
+        requirements.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
     )
 
 
+def read_requirements(spark: SparkSession, path: str) -> DataFrame:
+    """For every task the rows of the newest batch that holds it."""
+    rows = spark.read.parquet(path)
+    newest = rows.groupBy("tenant_id", "task_id").agg(F.max("batch").alias("batch"))
+    return rows.join(newest, ["tenant_id", "task_id", "batch"], "left_semi").drop("batch")
+
+
 def finished_requirements(requirements: DataFrame, tasks: DataFrame) -> DataFrame:
     """Only requirements whose task has succeeded are visible: results and state appear together."""
     done = tasks.filter("status = 'succeeded'").select("tenant_id", F.col("id").alias("task_id"))

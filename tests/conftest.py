@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from clauseloom.session import build_session  # noqa: E402
+from clauseloom.session import build_session, release  # noqa: E402
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -14,6 +14,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     session = build_session("local[4]", **{"spark.ui.showConsoleProgress": "false"})
     yield session
+    release(session)
     session.stop()
 
 
