@@ -228,12 +228,17 @@ def _ordered(base: Column, extra: Column) -> Column:
     )
 
 
+def _row_key(doc_id: str, text: str) -> Column:
+    """Tells rows apart by id and text; copies of a text under many ids are then many keys, not a hot one."""
+    return F.md5(F.concat_ws("\0", named(doc_id).cast("string"), named(text)))
+
+
 def personal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings: float) -> DataFrame:
     """``(doc_id, base, spans)``: base spans and all spans of every row of ``docs``.
 
     Rows are told apart by id and a hash of the text; equal rows share their spans.
     """
-    row = F.xxhash64(named(text))
+    row = _row_key(doc_id, text)
     found = materialize(
         docs.select(named(doc_id).alias("doc_id"), row.alias("row"), scan(named(text)).alias("found")).select(
             "doc_id", "row", "found.base", "found.tokens"
@@ -265,17 +270,17 @@ def mask(text: Column, spans: Column) -> Column:
     return masked(text, spans)
 
 
-def mask_documents(docs: DataFrame, text: str = "text", **settings: float) -> DataFrame:
+def mask_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings: float) -> DataFrame:
     """``docs`` with personal data masked in ``text``. The graph is built from a table of tokens; texts are
     scanned again where they lie and meet only the few rows that contexts add spans to."""
     found, row, extra = fresh(docs, "found", "row", "extra")
     tokens = materialize(
-        docs.select(F.xxhash64(named(text)).alias("row"), scan(named(text)).alias("found")).select("row", "found.tokens")
+        docs.select(_row_key(doc_id, text).alias("row"), scan(named(text)).alias("found")).select("row", "found.tokens")
         .filter(F.size("tokens") > 0), "pii",
     )
     # Written out, its true size is known when the join is planned.
     more = materialize(_discovered(tokens, ["row"], **settings), "pii-extra").withColumnsRenamed({"row": row, "extra": extra})
-    marked = docs.withColumn(row, F.xxhash64(named(text))).join(more, row, "left").withColumn(found, scan(named(text)))
+    marked = docs.withColumn(row, _row_key(doc_id, text)).join(more, row, "left").withColumn(found, scan(named(text)))
     whole = marked.withColumn(text, mask(named(text), _ordered(F.col(f"{found}.base"), F.col(extra))))
     return whole.select(*[named(c) for c in docs.columns])
 
