@@ -597,8 +597,8 @@ def assemble(drafts: DataFrame) -> DataFrame:
 
 
 def extract_pages(runs: DataFrame) -> DataFrame:
-    """Positioned runs → document blocks."""
-    kept, _failed = within_item_limit(runs)
+    """Positioned runs → blocks of the documents inside the item limit; ``within_item_limit`` returns the others."""
+    kept, _ = within_item_limit(runs)
     return assemble(page_drafts(with_flow_class(with_dominant_flow(layout_items(kept)))))
 
 

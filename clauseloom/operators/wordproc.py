@@ -18,7 +18,8 @@ def _name_level(name: Column) -> Column:
 
 
 def with_inherited_styles(documents: DataFrame) -> DataFrame:
-    """Each paragraph with what its style chain defines: outline level, name fallback, numbering.
+    """Each paragraph with what its style chain defines (outline level, name fallback, numbering) and with the levels
+    of its list. Rejected documents have no paragraphs; ``rejected`` returns them.
 
     The chain is walked inside the row over the document's own style table. As many steps as there
     are styles always suffice, so a cycle ends by itself.
@@ -67,12 +68,17 @@ def with_inherited_styles(documents: DataFrame) -> DataFrame:
             F.transform(used, lambda s: F.struct(s.alias("key"), resolve(styles, s).alias("value")))
         ),
     )
-    rows = documents.filter("reject_reason IS NULL").select(
-        "doc_id", F.inline(let(chains, lambda c: F.transform(
-            "paragraphs", lambda p: F.struct(p.alias("p"), F.try_element_at(c, p["style_id"]).alias("chain"))
-        )))
-    )
-    return rows.select("doc_id", "p.*", "chain")
+
+    def listed(p: Column, chain: Column, lists: Column) -> Column:
+        number = F.coalesce(p["num_id"], chain["num_id"])
+        return F.struct(p.alias("p"), chain.alias("chain"), F.try_element_at(lists, number).alias("levels"))
+
+    resolved = let(chains, lambda c: let(
+        list_levels(F.col("nums"), F.col("levels"), F.col("overrides")),
+        lambda lists: F.transform("paragraphs", lambda p: listed(p, F.try_element_at(c, p["style_id"]), lists)),
+    ))
+    rows = documents.filter("reject_reason IS NULL").select("doc_id", F.inline(resolved))
+    return rows.select("doc_id", "p.*", "chain", "levels")
 
 
 def with_heading_level(paragraphs: DataFrame) -> DataFrame:
@@ -92,40 +98,45 @@ def with_numbering(paragraphs: DataFrame) -> DataFrame:
     )
 
 
-def list_levels(documents: DataFrame) -> DataFrame:
-    """Effective levels per list: abstract levels, replaced or restarted by the list's overrides."""
-    nums = documents.select("doc_id", F.inline("nums"))
-    levels = documents.select("doc_id", F.inline("levels"))
-    overrides = documents.select("doc_id", F.inline("overrides")).select(
-        "doc_id", "num_id", "level", "start_override",
-        *[F.col(c).alias(f"own_{c}") for c in ("start", "format", "text")],
-    )
-    known = levels.select("doc_id", "abstract_id").distinct()
-    usable = nums.join(known, ["doc_id", "abstract_id"], "left_semi")
-    base = usable.join(levels, ["doc_id", "abstract_id"])
-    both = base.join(overrides.join(usable, ["doc_id", "num_id"], "left_semi"), ["doc_id", "num_id", "level"], "full")
-    own = F.col("own_format").isNotNull() & F.col("own_text").isNotNull()
-    pick = {c: F.when(own, F.col(f"own_{c}")).otherwise(F.col(c)) for c in ("start", "format", "text")}
-    return both.select(
-        "doc_id", F.col("num_id").alias("list_id"), F.col("level").alias("list_level"),
-        F.coalesce("start_override", pick["start"]).alias("start"),
-        pick["format"].alias("format"), pick["text"].alias("text"),
-    ).filter("format IS NOT NULL")
-
-
-def with_counters(paragraphs: DataFrame, levels: DataFrame) -> DataFrame:
+_LEVEL = "struct<start:bigint,format:string,text:string>"
+
+
+def list_levels(nums: Column, levels: Column, overrides: Column) -> Column:
+    """Effective levels per list, as a map of maps: abstract levels, replaced or restarted by the list's overrides.
+
+    Everything lies in the document's row, so the lists are resolved there.
+    """
+
+    def of_list(num: Column) -> Column:
+        base = F.filter(levels, lambda v: v["abstract_id"] == num["abstract_id"])
+        own = F.filter(overrides, lambda o: o["num_id"] == num["num_id"])
+
+        def one(depth: Column) -> Column:
+            below = F.get(F.filter(base, lambda v: v["level"] == depth), F.lit(0))
+            above = F.get(F.filter(own, lambda o: o["level"] == depth), F.lit(0))
+            replaced = above["format"].isNotNull() & above["text"].isNotNull()
+            start, form, text = (F.when(replaced, above[c]).otherwise(below[c]) for c in ("start", "format", "text"))
+            made = F.struct(
+                F.coalesce(above["start_override"], start).alias("start"), form.alias("format"), text.alias("text")
+            )
+            return F.struct(depth.alias("key"), made.cast(_LEVEL).alias("value"))
+
+        depths = F.array_distinct(F.concat(F.transform(base, lambda v: v["level"]), F.transform(own, lambda o: o["level"])))
+        found = F.filter(F.transform(depths, one), lambda e: e["value"]["format"].isNotNull())
+        return F.struct(num["num_id"].alias("key"), F.map_from_entries(found).alias("value"))
+
+    usable = F.filter(nums, lambda n: F.exists(levels, lambda v: v["abstract_id"] == n["abstract_id"]))
+    return F.map_from_entries(F.transform(usable, of_list))
+
+
+def with_counters(paragraphs: DataFrame) -> DataFrame:
     """Counter values 0..8 of a paragraph's list at that paragraph (NULL = not set).
 
     A level counts on from its start and forgets its value when a shallower level of the same list
     appears. Both are running windows per list: each level's run is numbered, then the latest value
     per level is carried forward.
     """
-    packed = levels.groupBy("doc_id", "list_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("list_level", F.struct("start", "format", "text")))).alias("levels")
-    )
-    joined = paragraphs.join(packed, ["doc_id", "list_id"], "left").withColumn(
-        "definition", F.try_element_at("levels", F.col("list_level"))
-    )
+    joined = paragraphs.withColumn("definition", F.try_element_at("levels", F.col("list_level")))
     listed = F.col("definition").isNotNull()
     rows = joined.withColumn("at", F.when(listed, F.col("list_level")))
     upto = W.partitionBy("doc_id", "list_id").orderBy("paragraph_index").rowsBetween(W.unboundedPreceding, 0)
@@ -309,6 +320,11 @@ def document_blocks(paragraphs: DataFrame) -> DataFrame:
 
 
 def extract_blocks(documents: DataFrame) -> DataFrame:
-    """``read_docx`` rows → blocks."""
+    """``read_docx`` rows → blocks of the documents that could be read."""
     styled = with_numbering(with_heading_level(with_inherited_styles(documents)))
-    return document_blocks(with_markers(with_counters(styled, list_levels(documents))))
+    return document_blocks(with_markers(with_counters(styled)))
+
+
+def rejected(documents: DataFrame) -> DataFrame:
+    """``(doc_id, reject_reason)`` of the documents that give no blocks: malformed, or above an archive limit."""
+    return documents.filter("reject_reason IS NOT NULL").select("doc_id", "reject_reason")

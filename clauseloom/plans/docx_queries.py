@@ -99,18 +99,16 @@ def docx_heading_level(spark, sf_dir):
        FROM word_paragraphs WHERE kind IN (2, 3, 4, 8, 9)""",
 )
 def docx_numbering_resolve(spark, sf_dir):
-    read = documents(spark, sf_dir)
-    listed = wp.with_numbering(wp.with_inherited_styles(read)).filter("list_id IS NOT NULL")
-    levels = wp.list_levels(read).drop("text")
-    return listed.join(levels, ["doc_id", "list_id", "list_level"], "left").select(
-        "doc_id", "paragraph_index", "list_id", "list_level", "start", "format"
+    listed = wp.with_numbering(styled(spark, sf_dir)).filter("list_id IS NOT NULL")
+    level = F.try_element_at("levels", F.col("list_level"))
+    return listed.select(
+        "doc_id", "paragraph_index", "list_id", "list_level", level["start"].alias("start"), level["format"].alias("format")
     )
 
 
 def marked(spark, sf_dir):
-    read = documents(spark, sf_dir)
-    listed = wp.with_numbering(wp.with_heading_level(wp.with_inherited_styles(read)))
-    return wp.with_markers(wp.with_counters(listed, wp.list_levels(read)))
+    listed = wp.with_numbering(wp.with_heading_level(styled(spark, sf_dir)))
+    return wp.with_markers(wp.with_counters(listed))
 
 
 @entry(
@@ -144,3 +142,19 @@ def docx_blocks(spark, sf_dir):
     return wp.extract_blocks(documents(spark, sf_dir)).select(
         "doc_id", "block_no", "kind", "text", "text_start", "text_end", "span_start", "char_end", "paragraph_index", "section_path"
     )
+
+
+@entry(
+    "docx_rejects",
+    ("tender_lines",),
+    """SELECT 'w-' || doc_no AS doc_id, 'INVALID_DOCX' AS reject_reason FROM (SELECT DISTINCT doc_no FROM tender_lines) WHERE doc_no % 4 <> 0""",
+)
+def docx_rejects(spark, sf_dir):
+    # Three documents in four are broken: cut short, without a body, not an archive.
+    number = F.substring_index("doc_id", "-", -1).cast("long") % 4
+    content = F.col("content")
+    broken = (
+        F.when(number == 1, F.expr("substring(content, 1, octet_length(content) div 2)"))
+        .when(number == 2, F.encode(F.lit("no archive"), "UTF-8")).when(number == 3, F.expr("X''")).otherwise(content)
+    )
+    return wp.rejected(read_docx(docx_files(spark, sf_dir).withColumn("content", broken)))

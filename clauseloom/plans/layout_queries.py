@@ -348,6 +348,19 @@ def pdf_assemble(spark, sf_dir):
     )
 
 
+@entry(
+    "pdf_rejects",
+    ("text_runs",),
+    """SELECT doc_id, items, 'DOCUMENT_RESOURCE_LIMIT_EXCEEDED' AS reject_reason FROM (SELECT doc_id, count(*) AS items FROM text_runs GROUP BY doc_id)
+       WHERE items > (SELECT avg(n) FROM (SELECT count(*) AS n FROM text_runs GROUP BY doc_id))""",
+)
+def pdf_rejects(spark, sf_dir):
+    # A limit that this data can pass: the mean number of runs of a document.
+    every = runs(spark, sf_dir)
+    mean = every.groupBy("doc_id").count().agg(F.avg("count")).first()[0] or 0
+    return ly.within_item_limit(every, mean)[1].select("doc_id", "items", "reject_reason")
+
+
 _HIDDEN = "doc_id, page, item_index, CASE WHEN length(doc_id) % 2 = 1 AND doc_id LIKE '%3' THEN '  ' ELSE text END AS text"
 
 

@@ -187,8 +187,11 @@ def _open(content: bytes) -> dict:
     return {
         "paragraphs": paragraphs, "styles": _first_by(style_rows, "style_id"),
         "nums": _first_by(
-            [{"num_id": _attribute(n, "numId"), "abstract_id": _val(_child(n, "abstractNumId"))} for n in numbers],
-            "num_id", "abstract_id",
+            [
+                {"num_id": _attribute(n, "numId"), "abstract_id": abstract} for n in numbers
+                if (abstract := _val(_child(n, "abstractNumId"))) is not None
+            ],
+            "num_id",
         ),
         "levels": _first_by([v for v in levels if v["format"] is not None and v["text"] is not None], "abstract_id", "level"),
         "overrides": _first_by(overrides, "num_id", "level"),
@@ -198,15 +201,23 @@ def _open(content: bytes) -> dict:
 _EMPTY = {"reject_reason": None, "paragraphs": [], "styles": [], "nums": [], "levels": [], "overrides": []}
 
 
+#: Paragraphs after which opened documents are handed on, so that a batch never holds many large ones.
+HANDED_ON = 5_000
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
+        rows, held = [], 0
         for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
             try:
                 opened = _open(bytes(content))
             except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, RuntimeError):
                 opened = {"reject_reason": "INVALID_DOCX"}
             rows.append({"doc_id": doc_id, **_EMPTY, **opened})
+            held += len(rows[-1]["paragraphs"])
+            if held >= HANDED_ON:
+                yield pd.DataFrame(rows, columns=["doc_id", *_EMPTY])
+                rows, held = [], 0
         yield pd.DataFrame(rows, columns=["doc_id", *_EMPTY])
 
 
