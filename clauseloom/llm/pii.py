@@ -3,8 +3,8 @@
 Base formats (e-mail, IP address, card and phone numbers) give seed entities. Then, over the whole corpus:
 
 1. One pass over the texts yields the base spans and, for every seed and every other identifier-like token
-   (four digits or more, or an at sign), its lexical patterns: the two words before it, the two words after it, and
-   the word on either side, each together with the token's shape.
+   (six digits or more, or an at sign), its lexical patterns: the two words before it, the two words after it, and
+   the word on either side, each together with the token's class (number, address, other).
 2. Patterns and instances form a bipartite graph. Confidence spreads over it in rounds: a pattern is worth the
    mean worth of the distinct instances it meets (with a prior that keeps rare patterns low), and an instance
    is worth its best pattern; seeds are worth one. Discovered instances thus vouch for further patterns.
@@ -100,7 +100,7 @@ def _token_at(text: str, at: int) -> tuple[int, int]:
 
 
 def identifier_tokens(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
-    """Words with four digits or more, or an at sign, that overlap no base span."""
+    """Words with six digits or more, or an at sign, that overlap no base span."""
     done, spans = 0, iter(sorted(taken))
     span = next(spans, None)
     for m in re.finditer(r"[0-9@]", text):
@@ -112,18 +112,13 @@ def identifier_tokens(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]
             span = next(spans, None)
         if start < end and not (span and span[0] < end):
             token = text[start:end]
-            if "@" in token or len(_digits(token)) >= 4:
+            if "@" in token or len(_digits(token)) >= 6:
                 yield start, end
 
 
-def shape(token: str) -> str:
-    """Classes of characters in order, each run once: ``+1 (743) 555`` has the shape ``+9 (9) 9``."""
-    out = []
-    for c in token:
-        kind = "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
-        if not out or out[-1] != kind:
-            out.append(kind)
-    return "".join(out[:24])
+def token_class(token: str) -> str:
+    """``@`` for address-like tokens, ``9`` for numbers with any separators, ``x`` for all others (with letters)."""
+    return "@" if "@" in token else "x" if any(c.isalpha() for c in token) else "9"
 
 
 def _near(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
@@ -134,9 +129,9 @@ def _near(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a token: two words before, two words after, one on either side, with its shape."""
+    """Lexical patterns of a token: two words before, two words after, one on either side, with its class."""
     before, after = _near(text, start, end)
-    kind, found = shape(text[start:end]), []
+    kind, found = token_class(text[start:end]), []
     if len(before) == 2:
         found.append(f"{before[0]} {before[1]} <{kind}>")
     if len(after) == 2:
