@@ -16,6 +16,7 @@ from clauseloom.functions.signals import (
     priority_of,
 )
 from clauseloom.functions.text import needs_nfc
+from clauseloom.operators import layout, wordproc
 from clauseloom.operators.blocks import canonical_documents, sectioned_blocks
 from clauseloom.operators.sentences import split_sentences
 
@@ -74,6 +75,34 @@ def extract_txt_requirements(docs: DataFrame) -> DataFrame:
     return classify(with_codes(keep_first_quote(found.repartition("doc_id"))))
 
 
+def extract_block_requirements(blocks: DataFrame) -> DataFrame:
+    """Requirements of ``blocks(doc_id, block_no, kind, text, text_start, section_path, ...)`` of any format; columns of
+    a block stay with its requirements, so that evidence can be cut from them in the row."""
+    found = candidates(blocks, "text")
+    return classify(with_codes(keep_first_quote(found.repartition("doc_id"))))
+
+
+def extract_docx_requirements(documents: DataFrame) -> DataFrame:
+    """Requirements of ``read_docx`` rows with the paragraph they stand in and their character range there.
+
+    A block is one paragraph behind its list marker, so the range is what the quote covers of the paragraph.
+    """
+    found = extract_block_requirements(wordproc.extract_blocks(documents))
+    start = F.greatest("quote_start", "span_start") - F.col("span_start")
+    return found.withColumn("range_start", start).withColumn("range_end", F.col("quote_end") - F.col("span_start"))
+
+
+def extract_pdf_requirements(runs: DataFrame) -> DataFrame:
+    """Requirements of positioned text runs with ``regions``: page and box of every span that a quote touches, each
+    once, in reading order."""
+    found = extract_block_requirements(layout.extract_pages(runs))
+    touched = F.filter(
+        "spans", lambda s: (s["text_start"] < F.col("quote_end")) & (s["text_end"] > F.col("quote_start"))
+    )
+    regions = F.array_distinct(F.transform(touched, lambda s: F.struct(F.col("page").alias("page"), s["region"].alias("box"))))
+    return found.withColumn("regions", regions).drop("spans")
+
+
 def fixture_rows(files: DataFrame) -> DataFrame:
     """Three fixed development rows per file, without confidence."""
     rows = F.array(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from clauseloom.operators import requirements as rq
 from clauseloom.operators import wordproc as wp
 from clauseloom.plans.catalog import entry
 from clauseloom.plans.oracle_parts import PARTS, u16
@@ -144,6 +147,34 @@ def docx_blocks(spark, sf_dir):
     )
 
 
+# The extraction of the text format, over these blocks.
+PARTS["word_pathed"] = (
+    ("word_blocks",),
+    """
+    SELECT doc_id, block_no, block_no AS line_no, shown AS line, text_start, CASE WHEN heading_level IS NOT NULL THEN 'heading' ELSE 'paragraph' END AS kind,
+           list_filter([chapter_text, section_text], lambda x: x IS NOT NULL) AS path
+    FROM (SELECT *, last_value(CASE WHEN kind = 0 THEN shown END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_no) AS chapter_text,
+                 last_value(CASE WHEN kind = 1 THEN shown END IGNORE NULLS) OVER (PARTITION BY doc_id, chapter ORDER BY block_no) AS section_text FROM word_blocks)""",
+)
+_CHAIN = ("pathed", "pieces", "sentences", "tagged", "candidates", "firsts", "extracted")
+for _before, _name in zip(_CHAIN, _CHAIN[1:], strict=False):
+    PARTS[f"word_{_name}"] = ((f"word_{_before}",), re.sub(rf"\bFROM {_before}\b", f"FROM word_{_before}", PARTS[_name][1]))
+
+
+@entry(
+    "req_extract_docx",
+    ("word_extracted", "word_blocks"),
+    """SELECT doc_id, code, quote, category, priority, confidence, array_to_string(path, '|') AS section_path, quote_start, quote_end, sha256(quote) AS quote_sha256,
+              paragraph_index, paragraph_id, table_path, greatest(quote_start, span_start) - span_start AS range_start, quote_end - span_start AS range_end
+       FROM word_extracted JOIN (SELECT doc_id, block_no, paragraph_index, paragraph_id, table_path, text_start + length(coalesce(marker || ' ', '')) AS span_start FROM word_blocks) USING (doc_id, block_no)""",
+)
+def req_extract_docx(spark, sf_dir):
+    return rq.extract_docx_requirements(documents(spark, sf_dir)).select(
+        "doc_id", "code", "quote", "category", "priority", "confidence", "section_path", "quote_start", "quote_end",
+        F.sha2("quote", 256).alias("quote_sha256"), "paragraph_index", "paragraph_id", _table_path(), "range_start", "range_end",
+    )
+
+
 @entry(
     "docx_rejects",
     ("tender_lines",),

@@ -8,6 +8,7 @@ from clauseloom.functions import fixed_values as fv
 from clauseloom.functions.signals import page_heading
 from clauseloom.operators import blocks as bl
 from clauseloom.operators import layout as ly
+from clauseloom.operators import requirements as rq
 from clauseloom.plans.catalog import entry
 from clauseloom.plans.oracle_parts import PARTS, WS, blank, hard, score, trim, u16
 from clauseloom.plans.text_queries import canonical
@@ -348,6 +349,16 @@ def pdf_assemble(spark, sf_dir):
     )
 
 
+@entry("req_extract_pdf")
+def req_extract_pdf(spark, sf_dir):
+    first = F.col("regions")[0]
+    return rq.extract_pdf_requirements(runs(spark, sf_dir)).select(
+        "doc_id", "code", "quote", "category", "priority", "confidence", "section_path", "quote_start", "quote_end",
+        F.sha2("quote", 256).alias("quote_sha256"), F.size("regions").alias("regions"), "page",
+        first["box"]["x"].alias("x"), first["box"]["y"].alias("y"), first["box"]["width"].alias("width"), first["box"]["height"].alias("height"),
+    )
+
+
 @entry(
     "pdf_rejects",
     ("text_runs",),

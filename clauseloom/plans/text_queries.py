@@ -197,14 +197,19 @@ def req_category(spark, sf_dir):
 
 @entry(
     "req_extract",
-    ("extracted",),
+    ("extracted", "line_blocks"),
     """SELECT doc_id, code, quote, category, priority, confidence, array_to_string(path, '|') AS section_path,
-              line_no, quote_start, quote_end, sha256(quote) AS quote_sha256 FROM extracted""",
+              line_no, quote_start, quote_end, sha256(quote) AS quote_sha256, line_no AS start_line, quote_start - text_start AS start_column,
+              line_no AS end_line, quote_end - text_start AS end_column
+       FROM extracted JOIN (SELECT doc_id, block_no, text_start FROM line_blocks) USING (doc_id, block_no)""",
 )
 def req_extract(spark, sf_dir):
     return rq.extract_txt_requirements(corpus(spark, sf_dir)).select(
         "doc_id", "code", "quote", "category", "priority", "confidence", "section_path", "line_no",
         "quote_start", "quote_end", F.sha2("quote", 256).alias("quote_sha256"),
+        # Where the locator starts and ends; a sentence never leaves its line.
+        F.col("line_no").alias("start_line"), (F.col("quote_start") - F.col("text_start")).alias("start_column"),
+        F.col("line_no").alias("end_line"), (F.col("quote_end") - F.col("text_start")).alias("end_column"),
     )
 
 
