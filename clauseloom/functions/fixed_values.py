@@ -122,3 +122,9 @@ OPEN_ISSUE, CLOSED_ISSUE, BLOCKER = "待处理", "已解决", "阻断"
 SECTION_APPROVED, SECTION_IN_REVIEW, SECTION_NOT_STARTED = "已批准", "待审核", "未开始"
 PROJECT_STAGE = {"draft": "待上传", "active": "进行中", "archived": "已归档"}
 LOW_CONFIDENCE = 85
+CATEGORY_BY_EXTENSION = {"doc": "技术附件", "docx": "技术附件", "txt": "文本附件"}
+PACKAGE_BY_EXTENSION = {"zip": "文件包", "xls": "评分附件", "xlsx": "评分附件"}
+DEFAULT_FILE_CATEGORY = "招标正文"
+PAGE_ANCHOR, LINE_ANCHOR, PARAGRAPH_INDEX, PARAGRAPH_ID = "第 %d 页", "第 %d 行", "段落索引 %d", "段落 %s"
+NO_ANCHOR, REGION_DETAIL, RANGE_DETAIL = "未提供原文锚点", "区域 1：第 %d 页", "范围 1：%s · 字符 %d–%d"
+TEXT_DETAIL, SECTION_DETAIL = "起点 %d:%d|终点 %d:%d（不含）", "章节：%s"

@@ -31,16 +31,12 @@ def file_size(size: Column) -> Column:
     )
 
 
-# --- Fixed values: display labels by extension ----------------------------------------------------
-
-
 def file_category(file_name: Column, packages: bool = False) -> Column:
     """Class by extension; ``packages`` adds the two classes only the upload screen knows."""
     extension = F.lower(F.substring_index(file_name, ".", -1))
-    chain = F.when(extension.isin("doc", "docx"), "技术附件").when(extension == "txt", "文本附件")
-    if packages:
-        chain = chain.when(extension == "zip", "文件包").when(extension.isin("xls", "xlsx"), "评分附件")
-    return chain.otherwise("招标正文")
+    labels = fv.CATEGORY_BY_EXTENSION | (fv.PACKAGE_BY_EXTENSION if packages else {})
+    known = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    return F.coalesce(known[extension], F.lit(fv.DEFAULT_FILE_CATEGORY))
 
 
 def confidence_band(percent: Column) -> Column:

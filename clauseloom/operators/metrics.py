@@ -239,7 +239,7 @@ def evidence_mix(requirements: DataFrame) -> DataFrame:
 
 
 def task_latency(tasks: DataFrame) -> DataFrame:
-    """Queue and run minutes per type and creation month: counts and exact percentiles.
+    """Queue and run minutes per tenant, type and hour of creation: counts and exact percentiles.
 
     ``percentile`` keeps a value→count histogram: durations are whole minutes, so its size is the
     number of distinct durations, not the number of tasks.
@@ -248,7 +248,7 @@ def task_latency(tasks: DataFrame) -> DataFrame:
         return F.timestamp_diff("MINUTE", F.col(start), F.col(end))
 
     timed = tasks.select(
-        "type", F.date_format("created_at", "yyyy-MM").alias("month"),
+        "tenant_id", "type", F.date_format("created_at", "yyyy-MM-dd HH").alias("hour"),
         minutes("created_at", "started_at").alias("queued"), minutes("started_at", "finished_at").alias("ran"),
     )
     shares = F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))
@@ -256,7 +256,7 @@ def task_latency(tasks: DataFrame) -> DataFrame:
     def spread(name: str) -> list[Column]:
         return [F.percentile(name, shares)[i].alias(f"{name}_p{p}") for i, p in enumerate((50, 95, 99))]
 
-    return timed.groupBy("type", "month").agg(
+    return timed.groupBy("tenant_id", "type", "hour").agg(
         F.count("queued").alias("started"), F.count("ran").alias("finished"), *spread("queued"), *spread("ran")
     )
 
@@ -284,6 +284,11 @@ def outbox_backlog(outbox: DataFrame, now: Column) -> DataFrame:
         F.count_if(waiting).alias("unpublished"),
         F.count_if(waiting & (F.col("available_at") <= now)).alias("due"),
         F.timestamp_diff("MINUTE", F.min(F.when(waiting, F.col("created_at"))), now).alias("oldest_minutes"),
+        # Being published right now, and waiting for a publisher.
+        F.count_if(waiting & (F.col("lease_expires_at") > now)).alias("pending"),
+        F.count_if(
+            waiting & (F.col("available_at") <= now) & (F.col("lease_owner").isNull() | (F.col("lease_expires_at") <= now))
+        ).alias("idle"),
         F.round(F.avg((F.col("publish_attempts") > 1).cast("double")), 6).alias("retry_share"),
         F.max("publish_attempts").alias("most_attempts"),
     )

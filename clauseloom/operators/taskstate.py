@@ -149,12 +149,14 @@ def outbox_due(outbox: DataFrame, now: Column, limit: int) -> DataFrame:
     return batch.withColumn("publish_attempts", F.col("publish_attempts") + 1)
 
 
-def relay(outbox: DataFrame, now: Column) -> DataFrame:
-    """Result of publishing every due event: published, or released with a capped backoff."""
+def settle(outbox: DataFrame, receipts: DataFrame, now: Column) -> DataFrame:
+    """What the broker's ``receipts(tenant_id, event_id, delivered)`` make of the due events: published, or released
+    with a capped backoff. An event counts as delivered once any receipt says so; without a receipt it stays as it is."""
+    heard = receipts.groupBy("tenant_id", F.col("event_id").alias("id")).agg(F.bool_or("delivered").alias("delivered"))
     claimed = outbox.filter(outbox_free(now)).withColumn("publish_attempts", F.col("publish_attempts") + 1)
-    failed = F.col("publish_fails")
+    failed = ~F.col("delivered")
     delay = backoff_ms(F.col("publish_attempts"), TASK_BACKOFF_MS, PUBLISH_CAP_MS)
-    return claimed.select(
+    return claimed.join(heard, ["tenant_id", "id"]).select(
         "id", "publish_attempts", F.when(failed, "released").otherwise("published").alias("outcome"),
         F.when(~failed, now).alias("published_at"),
         F.when(failed, now + seconds(delay / 1000)).alias("available_at"),

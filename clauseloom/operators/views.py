@@ -110,39 +110,24 @@ def category_type(category: Column) -> Column:
     )
 
 
-# --- Fixed values: anchor labels of the evidence view --------------------------------------------
-
-
 def requirement_view(requirements: DataFrame) -> DataFrame:
     """Labels, display percent and the anchor of each requirement by evidence kind."""
     kind = F.col("kind")
-    label = (
-        F.when(kind == "pdf", F.format_string("第 %d 页", "page"))
-        .when(
-            kind == "docx",
-            F.when(F.col("paragraph_id").isNull(), F.format_string("段落索引 %d", "paragraph_index"))
-            .otherwise(F.concat(F.lit("段落 "), "paragraph_id")),
-        )
-        .when(kind == "txt", F.format_string("第 %d 行", "line"))
-        .otherwise(F.coalesce(F.try_element_at("section_path", F.lit(-1)), F.lit("未提供原文锚点")))
+    by_id, by_index = F.col("paragraph_id").isNotNull(), F.format_string(fv.PARAGRAPH_INDEX, "paragraph_index")
+    named = F.format_string(fv.PARAGRAPH_ID, "paragraph_id")
+    sections = F.col("section_path")
+    label = F.coalesce(
+        F.when(kind == "pdf", F.format_string(fv.PAGE_ANCHOR, "page")),
+        F.when(kind == "docx", F.when(by_id, named).otherwise(by_index)),
+        F.when(kind == "txt", F.format_string(fv.LINE_ANCHOR, "line")),
+        F.try_element_at(sections, F.lit(-1)), F.lit(fv.NO_ANCHOR),
     )
-    paragraph = F.when(
-        F.col("paragraph_id").isNull(), F.format_string("段落索引 %d", "paragraph_index")
-    ).otherwise(F.format_string("段落 %s · 段落索引 %d", "paragraph_id", "paragraph_index"))
-    details = (
-        F.when(kind == "pdf", F.format_string("区域 1：第 %d 页", "page"))
-        .when(
-            kind == "docx",
-            F.format_string("范围 1：%s · 字符 %d–%d", paragraph, F.col("char_start"), F.col("char_end")),
-        )
-        .when(
-            kind == "txt",
-            F.format_string(
-                "起点 %d:%d|终点 %d:%d（不含）", F.col("line"), F.col("char_start"), F.col("line"), F.col("char_end")
-            ),
-        )
-        .when(F.size("section_path") > 0, F.concat(F.lit("章节："), F.array_join("section_path", " / ")))
-        .otherwise("")
+    paragraph = F.when(by_id, F.concat_ws(" · ", named, by_index)).otherwise(by_index)
+    details = F.coalesce(
+        F.when(kind == "pdf", F.format_string(fv.REGION_DETAIL, "page")),
+        F.when(kind == "docx", F.format_string(fv.RANGE_DETAIL, paragraph, F.col("char_start"), F.col("char_end"))),
+        F.when(kind == "txt", F.format_string(fv.TEXT_DETAIL, "line", "char_start", "line", "char_end")),
+        F.when(F.size(sections) > 0, F.format_string(fv.SECTION_DETAIL, F.array_join(sections, " / "))), F.lit(""),
     )
     state = F.col("confirmation_status")
     return requirements.select(

@@ -289,9 +289,9 @@ def _pct(x: str) -> str:
 @entry(
     "ops_task_latency",
     ("parse_tasks",),
-    f"""SELECT type, month, count(queued) AS started, count(ran) AS finished, {_pct('queued')}, {_pct('ran')} FROM (
-          SELECT type, strftime(created_at, '%Y-%m') AS month, date_diff('second', created_at, started_at) // 60 AS queued, date_diff('second', started_at, finished_at) // 60 AS ran FROM parse_tasks)
-        GROUP BY type, month""",
+    f"""SELECT tenant_id, type, hour, count(queued) AS started, count(ran) AS finished, {_pct('queued')}, {_pct('ran')} FROM (
+          SELECT tenant_id, type, strftime(created_at, '%Y-%m-%d %H') AS hour, date_diff('second', created_at, started_at) // 60 AS queued, date_diff('second', started_at, finished_at) // 60 AS ran FROM parse_tasks)
+        GROUP BY tenant_id, type, hour""",
 )
 def ops_task_latency(spark, sf_dir):
     return mt.task_latency(derive(spark, sf_dir, "parse_tasks"))
@@ -314,6 +314,7 @@ def ops_task_outcomes(spark, sf_dir):
     ("outbox",),
     f"""SELECT tenant_id, count(*) FILTER (WHERE published_at IS NULL) AS unpublished, count(*) FILTER (WHERE published_at IS NULL AND available_at <= {_NOW}) AS due,
                date_diff('second', min(created_at) FILTER (WHERE published_at IS NULL), {_NOW}) // 60 AS oldest_minutes,
+               count(*) FILTER (WHERE published_at IS NULL AND lease_expires_at > {_NOW}) AS pending, count(*) FILTER (WHERE published_at IS NULL AND available_at <= {_NOW} AND (lease_owner IS NULL OR lease_expires_at <= {_NOW})) AS idle,
                round(avg((publish_attempts > 1)::INT), 6) AS retry_share, max(publish_attempts) AS most_attempts FROM outbox GROUP BY tenant_id""",
 )
 def ops_outbox_backlog(spark, sf_dir):

@@ -1,11 +1,10 @@
-"""Notification delivery as streams: duplicates dropped, due events relayed, metrics by window."""
+"""Notification delivery as streams: duplicates dropped, malformed payloads told apart, metrics by window."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.operators.taskstate import relay
 from clauseloom.sources import notifications
 
 
@@ -27,16 +26,3 @@ def outcome_windows(events: DataFrame, width: str = "1 hour", horizon: str = "10
         F.col("window.start").alias("window_start"), "tenant_id", "event", "events"
     )
 
-
-def relay_stream(outbox: DataFrame, path: str, checkpoint: str, now: Column):
-    """Publishes the due events of each micro-batch and records one result row per event."""
-
-    def publish(batch: DataFrame, batch_id: int) -> None:
-        relay(batch, now).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return (
-        outbox.writeStream.foreachBatch(publish)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )

@@ -72,15 +72,28 @@ def test_windows_and_rejects(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "bad")).count() == 2
 
 
-def test_relay_stream_records_each_event_once(spark, sf_dir, tmp_path):
-    outbox = derive(spark, sf_dir, "outbox")
-    outbox.write.parquet(str(tmp_path / "in"))
-    now = F.lit("1998-06-01 00:00:00").cast("timestamp_ntz")
-    stream = spark.readStream.schema(outbox.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
-    delivery.relay_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), now).awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "out")).select("id", "outcome")
-    want = ts.relay(outbox, now).select("id", "outcome")
-    assert sorted(got.collect()) == sorted(want.collect())
+def test_outcome_windows_count_by_hour(spark, tmp_path):
+    rows = [(f"2026-07-10 0{h}:{m:02d}:00", "t", "claim") for h, m in ((1, 5), (1, 50), (2, 1), (5, 0))]
+    log = spark.createDataFrame(rows, "at string, tenant_id string, event string").selectExpr("cast(at as timestamp) as ts", "tenant_id", "event")
+    log.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
+    delivery.outcome_windows(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "cp")
+    ).trigger(availableNow=True).start().awaitTermination(120)
+    got = {(r.window_start.hour, r.events) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, 2), (2, 1)}
+
+
+def test_receipts_settle_due_events(spark):
+    now = F.lit("2026-07-10 00:00:00").cast("timestamp_ntz")
+    rows = [("t", str(i), i, None, None) for i in range(4)] + [("u", "0", 0, None, None)]
+    outbox = spark.createDataFrame(rows, "tenant_id string, id string, publish_attempts int, lease_owner string, published_at timestamp_ntz").withColumns(
+        {"available_at": now, "lease_expires_at": F.lit(None).cast("timestamp_ntz")}
+    )
+    receipts = spark.createDataFrame(
+        [("t", "0", True), ("t", "1", False), ("t", "1", True), ("t", "2", False), ("u", "9", True)], "tenant_id string, event_id string, delivered boolean"
+    )
+    assert {(r.id, r.outcome) for r in ts.settle(outbox, receipts, now).collect()} == {("0", "published"), ("1", "published"), ("2", "released")}
 
 
 def at(second):
