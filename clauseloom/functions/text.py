@@ -82,14 +82,15 @@ def is_blank(text: Column) -> Column:
     return text.rlike(rf"^{WS}*\z")
 
 
-_CHUNK = 32
+_CHUNK, _LEVELS = 32, 4
 
 
-def running_starts(lengths: Column) -> Column:
+def running_starts(lengths: Column, levels: int = _LEVELS) -> Column:
     """Exclusive prefix sums of an array<long>, inside the row.
 
-    Two levels of chunks keep the work near n*sqrt(n) for very long arrays and make the usual
-    short ones one small pass; no shuffle, sort or window is needed to place parts of a text.
+    An element adds up its own chunk; the chunks' totals are summed in the same way, level by level, so the
+    work stays proportional to the array up to 32⁴ elements and more. No shuffle, sort or window is needed to place
+    parts of a text.
     """
     zero = F.lit(0).cast("long")
 
@@ -102,7 +103,10 @@ def running_starts(lengths: Column) -> Column:
             F.sequence(F.lit(0), F.greatest(chunks - 1, F.lit(0))),
             lambda c: total(F.slice(lens, c * _CHUNK + 1, F.lit(_CHUNK))),
         )
-        bases = let(sums, lambda s: F.transform(s, lambda _x, c: total(F.slice(s, F.lit(1), c))))
+        if levels > 1:
+            bases = running_starts(sums, levels - 1)
+        else:
+            bases = let(sums, lambda s: F.transform(s, lambda _x, c: total(F.slice(s, F.lit(1), c))))
 
         def place(base: Column) -> Column:
             return F.transform(
