@@ -82,14 +82,14 @@ def is_blank(text: Column) -> Column:
     return text.rlike(rf"^{WS}*\z")
 
 
-_CHUNK, _LEVELS = 32, 4
+_CHUNK, _LEVELS = 32, 2
 
 
 def running_starts(lengths: Column, levels: int = _LEVELS) -> Column:
     """Exclusive prefix sums of an array<long>, inside the row.
 
     An element adds up its own chunk; the chunks' totals are summed in the same way, level by level, so the
-    work stays proportional to the array up to 32⁴ elements and more. No shuffle, sort or window is needed to place
+    work is near proportional to the array (only the totals of 32² elements are added up directly). No shuffle, sort or window is needed to place
     parts of a text.
     """
     zero = F.lit(0).cast("long")

@@ -265,58 +265,41 @@ def document_blocks(paragraphs: DataFrame) -> DataFrame:
         ).alias("ps")
     )
 
-    def assemble(ps: Column) -> Column:
-        starts = running_starts(F.transform(ps, lambda p: utf16_length(p["text"]) + 1))
-        headings = F.transform(
-            F.filter(ps, lambda p: p["heading_level"].isNotNull()),
-            lambda p: F.struct(p["heading_level"].alias("level"), p["text"].alias("text"), p["in_table"].alias("in_table")),
-        )
-        is_heading = F.transform(ps, lambda p: F.when(p["heading_level"].isNotNull(), 1).otherwise(0).cast("long"))
-        # A table heading shows its own path, but the text after it continues the main path.
-        leads = F.transform(
-            ps, lambda p: F.when(p["heading_level"].isNotNull() & ~p["in_table"], 1).otherwise(0).cast("long")
-        )
-
-        def rows(at: Column, seen: Column, led: Column, paths: Column, main: Column) -> Column:
-            def block(p: Column, i: Column) -> Column:
-                own = F.get(paths, seen[i].cast("int"))
-                running = F.coalesce(F.get(main, (led[i] - 1).cast("int")), F.array().cast("array<string>"))
-                heading = p["heading_level"].isNotNull()
-                begin = at[i] + utf16_length(p["prefix"])
-                return F.struct(
-                    (i + 1).cast("long").alias("block_no"),
-                    F.when(heading, "heading").when(p["in_table"], "table-cell").otherwise("paragraph").alias("kind"),
-                    p["text"].alias("text"), at[i].alias("text_start"),
-                    (at[i] + utf16_length(p["text"])).alias("text_end"),
-                    F.when(heading, own).otherwise(running).alias("section_path"),
-                    begin.alias("span_start"), p["paragraph_index"].alias("paragraph_index"),
-                    p["paragraph_id"].alias("paragraph_id"), p["table_path"].alias("table_path"),
-                    utf16_length(p["body"]).alias("char_end"),
-                )
-
-            return F.transform(ps, block)
+    ps = F.col("ps")
+    headings = F.transform(
+        F.filter(ps, lambda p: p["heading_level"].isNotNull()),
+        lambda p: F.struct(p["heading_level"].alias("level"), p["text"].alias("text"), p["in_table"].alias("in_table")),
+    )
+    is_heading = F.transform(ps, lambda p: F.when(p["heading_level"].isNotNull(), 1).otherwise(0).cast("long"))
+    # A table heading shows its own path, but the text after it continues the main path.
+    leads = F.transform(
+        ps, lambda p: F.when(p["heading_level"].isNotNull() & ~p["in_table"], 1).otherwise(0).cast("long")
+    )
+    placed = pin(
+        packed, at=running_starts(F.transform(ps, lambda p: utf16_length(p["text"]) + 1)), seen=running_starts(is_heading),
+        led=running_starts(leads), headings=headings,
+    )
+    pathed = pin(placed, paths=_paths(F.col("headings")))
+    main = F.transform(
+        F.filter(F.arrays_zip(F.col("headings").alias("h"), F.col("paths").alias("path")), lambda z: ~z["h"]["in_table"]),
+        lambda z: z["path"],
+    )
 
-        main_paths = let(
-            headings,
-            lambda hs: let(_paths(hs), lambda all_paths: F.transform(
-                F.filter(F.arrays_zip(hs.alias("h"), all_paths.alias("path")), lambda z: ~z["h"]["in_table"]),
-                lambda z: z["path"],
-            )),
-        )
-        return let(
-            starts,
-            lambda at: let(
-                running_starts(is_heading),
-                lambda seen: let(
-                    running_starts(leads),
-                    lambda led: let(
-                        _paths(headings), lambda paths: let(main_paths, lambda main: rows(at, seen, led, paths, main))
-                    ),
-                ),
-            ),
+    def block(p: Column, i: Column) -> Column:
+        own = F.get("paths", F.get("seen", i).cast("int"))
+        running = F.coalesce(F.get("main", (F.get("led", i) - 1).cast("int")), F.array().cast("array<string>"))
+        heading, start = p["heading_level"].isNotNull(), F.get("at", i)
+        return F.struct(
+            (i + 1).cast("long").alias("block_no"),
+            F.when(heading, "heading").when(p["in_table"], "table-cell").otherwise("paragraph").alias("kind"),
+            p["text"].alias("text"), start.alias("text_start"), (start + utf16_length(p["text"])).alias("text_end"),
+            F.when(heading, own).otherwise(running).alias("section_path"),
+            (start + utf16_length(p["prefix"])).alias("span_start"), p["paragraph_index"].alias("paragraph_index"),
+            p["paragraph_id"].alias("paragraph_id"), p["table_path"].alias("table_path"),
+            utf16_length(p["body"]).alias("char_end"),
         )
 
-    return packed.select("doc_id", F.inline(let(F.col("ps"), assemble)))
+    return pin(pathed, main=main).select("doc_id", F.inline(F.transform(ps, block)))
 
 
 def extract_blocks(documents: DataFrame) -> DataFrame:
