@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from clauseloom.llm.common import named
 from clauseloom.session import materialize
 
+#: Sizes of blocks and groups of queries, most buckets, query groups a task keeps at a time: memory bounds, not limits.
 VECTORS_A_BLOCK, QUERIES_A_GROUP, BUCKETS, GROUPS_HELD = 2048, 4096, 64, 16
 
 #: From the matrix of a block to the columns of its index, and from (index, query matrix) to a searcher.
@@ -95,10 +96,12 @@ def search(indexed: DataFrame, queries: DataFrame, find: Search, columns: list[s
     count = groups.agg(F.max("grp")).first()[0]
     if count is None:
         return indexed.sparkSession.createDataFrame([], f"query_id long, rank int, vec_id long, score {exact.__name__}")
-    bucket = F.pmod("block", F.lit(BUCKETS))
+    buckets = min(BUCKETS, 1 + (indexed.agg(F.max("block")).first()[0] or 0))
+    bucket = F.pmod("block", F.lit(buckets))
     left = indexed.withColumn("bucket", bucket).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(count))))
-    right = groups.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))))
-    paired = left.join(right, ["dim", "grp", "bucket"])
+    right = groups.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    # The planner's estimate does not see the repetition, so it must not choose to broadcast this side.
+    paired = left.join(right.hint("merge"), ["dim", "grp", "bucket"])
     dtype = np.int64 if exact is int else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
