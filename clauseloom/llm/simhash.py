@@ -142,7 +142,8 @@ def links(fingerprints: DataFrame, radius: int = 3, spread: int = 16) -> DataFra
     )
     met = (F.col("grp_a") == F.col("grp_b")) & (F.col("key_a") == F.col("key_b")) & (F.col("fp_a") < F.col("fp_b"))
     near = (F.greatest(*coordinates) <= radius) & (F.bit_count(differ) <= radius) & (first == F.col("grp_a"))
-    return a.join(b, met & near).select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v"))
+    # A row became many on both sides, which size estimates do not see: neither side is to be broadcast.
+    return a.join(b.hint("merge"), met & near).select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v"))
 
 
 def _classes(marked: DataFrame, least: DataFrame, radius: int) -> DataFrame:
