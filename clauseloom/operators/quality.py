@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from clauseloom.functions import fixed_values as fv
@@ -221,7 +222,7 @@ def evidence_shape_violations(requirements: DataFrame) -> DataFrame:
 
 
 def over_limit_documents(
-    sizes: DataFrame, limits: dict[str, int] = fv.LIMITS, columns: tuple[str, ...] = ("units", "blocks", "requirements")
+    sizes: DataFrame, limits: dict[str, int] = fv.LIMITS, columns: tuple[str, ...] = tuple(fv.LIMITS)
 ) -> DataFrame:
     """``sizes(doc_id, <columns>)`` → the documents to fail, with every limit they exceed.
 
@@ -234,14 +235,43 @@ def over_limit_documents(
 
 
 def document_sizes(docs: DataFrame, blocks: DataFrame, requirements: DataFrame) -> DataFrame:
-    units = docs.select("doc_id", utf16_length(F.col("text")).alias("units"))
+    """Sizes of text documents against every limit: a block has one source span, and there are no pages."""
+    units = docs.select(
+        "doc_id", utf16_length(F.col("text")).alias("units"), F.octet_length("text").cast("long").alias("bytes")
+    )
     counted = blocks.groupBy("doc_id").agg(F.count("*").alias("blocks"))
     found = requirements.groupBy("doc_id").agg(F.count("*").alias("requirements"))
     zero = F.lit(0).cast("long")
     return units.join(counted, "doc_id", "left").join(found, "doc_id", "left").select(
-        "doc_id", "units", F.coalesce("blocks", zero).alias("blocks"),
-        F.coalesce("requirements", zero).alias("requirements"),
+        "doc_id", "bytes", "units", F.coalesce("blocks", zero).alias("blocks"),
+        F.coalesce("requirements", zero).alias("requirements"), F.coalesce("blocks", zero).alias("spans"), zero.alias("pages"),
+    )
+
+
+def page_document_sizes(runs: DataFrame) -> DataFrame:
+    """Sizes of page documents known before they are put together: spans, pages and what their runs hold."""
+    zero = F.lit(0).cast("long")
+    return runs.groupBy("doc_id").agg(
+        F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.sum(utf16_length(F.col("text"))).alias("units"),
+        F.count("*").alias("spans"), F.count_distinct("page").alias("pages"),
+    ).select("doc_id", "bytes", "units", zero.alias("blocks"), zero.alias("requirements"), "spans", "pages")
+
+
+def block_span_violations(blocks: DataFrame, spans: DataFrame) -> DataFrame:
+    """``blocks(doc_id, block_no, text_start, text_end)`` and ``spans(doc_id, block_no, span_no, span_start, span_end)`` →
+    spans that are empty, without a block, outside their block, or begin before the one ahead has ended."""
+    order = W.partitionBy("doc_id", "block_no").orderBy("span_no")
+    ends = spans.withColumn("previous_end", F.coalesce(F.lag("span_end").over(order), F.lit(-1).cast("long")))
+    joined = ends.join(blocks.select("doc_id", "block_no", "text_start", "text_end"), ["doc_id", "block_no"], "left")
+    reason = first_reason(
+        (F.col("text_start").isNull(), "NO_BLOCK"),
+        (
+            (F.col("span_end") <= F.col("span_start")) | (F.col("span_start") < F.col("text_start"))
+            | (F.col("span_end") > F.col("text_end")), "SPAN_RANGE",
+        ),
+        (F.col("span_start") < F.col("previous_end"), "SPAN_ORDER"),
     )
+    return joined.select("doc_id", "block_no", "span_no", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
 def _blocks_with_text(docs: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -316,7 +346,9 @@ def span_reason(fmt: str = "format") -> Column:
         (F.col("page") < 1) | (x < 0) | (y < 0) | (width <= 0) | (height <= 0)
         | (x + width > 1) | (y + height > 1)
     )
-    docx_bad = (F.col("char_end") <= F.col("char_start")) | (
+    docx_bad = (F.col("paragraph_index") < 0) | F.exists("table_path", lambda n: n < 0) | (
+        F.col("char_end") <= F.col("char_start")
+    ) | (
         F.col("char_end") - F.col("char_start") != F.col("text_end") - F.col("text_start")
     )
     txt_bad = (F.col("start_line") != F.col("end_line")) | (

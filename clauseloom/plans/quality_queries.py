@@ -211,22 +211,49 @@ def dq_evidence_shapes(spark, sf_dir):
     return dq.evidence_shape_violations(derive(spark, sf_dir, "requirements"))
 
 
-SMALL_LIMITS = {"units": 12_000, "blocks": 40, "requirements": 12}
+SMALL_LIMITS = {"bytes": 14_000, "units": 12_000, "blocks": 40, "requirements": 12, "spans": 60, "pages": 2}
+_EXCEEDED = ", ".join(f"CASE WHEN {name} > {limit} THEN '{name}' END" for name, limit in SMALL_LIMITS.items())
 
 
 @entry(
     "dq_resource_limits",
-    ("extracted", "line_blocks"),
-    f"""SELECT * FROM (SELECT doc_id, units, blocks, requirements, concat_ws('|', CASE WHEN units > 12000 THEN 'units' END,
-               CASE WHEN blocks > 40 THEN 'blocks' END, CASE WHEN requirements > 12 THEN 'requirements' END) AS exceeded
-          FROM (SELECT c.doc_id, {u16('c.text')} AS units,
+    ("extracted", "line_blocks", "text_runs"),
+    f"""SELECT * FROM (SELECT *, concat_ws('|', {_EXCEEDED}) AS exceeded FROM (
+          SELECT doc_id, bytes, units, blocks, requirements, blocks AS spans, 0 AS pages
+          FROM (SELECT c.doc_id, strlen(c.text) AS bytes, {u16('c.text')} AS units,
                        (SELECT count(*) FROM line_blocks b WHERE b.doc_id = c.doc_id) AS blocks,
-                       (SELECT count(*) FROM extracted e WHERE e.doc_id = c.doc_id) AS requirements FROM canon c)) WHERE exceeded <> ''""",
+                       (SELECT count(*) FROM extracted e WHERE e.doc_id = c.doc_id) AS requirements FROM canon c)
+          UNION ALL SELECT doc_id, CAST(sum(strlen(text)) AS BIGINT), CAST(sum({u16('text')}) AS BIGINT), 0, 0, count(*), count(DISTINCT page) FROM text_runs GROUP BY doc_id)) WHERE exceeded <> ''""",
 )
 def dq_resource_limits(spark, sf_dir):
     docs = canonical(spark, sf_dir)
     sizes = dq.document_sizes(docs, bl.line_blocks(docs), rq.extract_txt_requirements(corpus(spark, sf_dir)))
-    return dq.over_limit_documents(sizes, SMALL_LIMITS)
+    pages = dq.page_document_sizes(derive(spark, sf_dir, "text_runs"))
+    return dq.over_limit_documents(sizes.unionByName(pages), SMALL_LIMITS)
+
+
+# Spans of six units every eight, with defects planted by number: shifted, too long, empty, out of every block.
+_BLOCK_SPANS = """
+    SELECT doc_id, block_no + CASE WHEN k % 37 = 11 THEN 1000000 ELSE 0 END AS block_no, span_no, span_start - CASE WHEN k % 29 = 7 THEN 4 ELSE 0 END AS span_start,
+           CASE WHEN k % 31 = 5 THEN span_start WHEN k % 23 = 3 THEN text_end + 1 ELSE span_end END AS span_end
+    FROM (SELECT doc_id, block_no, i AS span_no, text_start + i * 8 AS span_start, least(text_start + i * 8 + 6, text_end) AS span_end, text_end, line_no * 5 + i AS k
+          FROM {spans})"""
+_BLOCK_SPAN_ROWS = "(SELECT *, unnest(range(0, (text_end - text_start + 7) // 8)) AS i FROM line_blocks)"
+
+
+@entry(
+    "dq_block_spans",
+    ("line_blocks",),
+    f"""SELECT * FROM (SELECT s.doc_id, s.block_no, s.span_no, CASE WHEN b.doc_id IS NULL THEN 'NO_BLOCK'
+               WHEN span_end <= span_start OR span_start < text_start OR span_end > text_end THEN 'SPAN_RANGE' WHEN span_start < previous_end THEN 'SPAN_ORDER' END AS reason
+        FROM (SELECT *, coalesce(lag(span_end) OVER (PARTITION BY doc_id, block_no ORDER BY span_no), -1) AS previous_end FROM ({_BLOCK_SPANS.format(spans=_BLOCK_SPAN_ROWS)})) s
+        LEFT JOIN line_blocks b ON b.doc_id = s.doc_id AND b.block_no = s.block_no) WHERE reason IS NOT NULL""",
+)
+def dq_block_spans(spark, sf_dir):
+    blocks = bl.line_blocks(canonical(spark, sf_dir))
+    numbers = F.sequence(F.lit(0).cast("long"), F.floor((F.col("text_end") - F.col("text_start") + 7) / 8) - 1)
+    spans = spark.sql(_BLOCK_SPANS, spans=blocks.select("*", F.explode(numbers).alias("i")))
+    return dq.block_span_violations(blocks, spans)
 
 
 # Defects planted by line number: shifted starts, clipped ends, changed text, dropped lines.
@@ -298,6 +325,7 @@ _SPANS = """
            page / 40.0 - CASE WHEN line = 5 THEN 0.9 ELSE 0.0 END AS x, line / 10.0 AS y, column_no / 60.0 AS width, column_no / 60.0 AS height,
            column_no AS char_start, column_no + page AS char_end, column_no * 3 AS text_start,
            column_no * 3 + page + CASE WHEN line = 3 THEN 1 ELSE 0 END AS text_end,
+           CASE WHEN line = 2 AND page % 2 = 0 THEN -1 ELSE page END AS paragraph_index, CASE WHEN line = 4 THEN -1 ELSE line END AS cell,
            line AS start_line, line + CASE WHEN page = 9 THEN 1 ELSE 0 END AS end_line, column_no AS start_col, column_no + page AS end_col
     FROM requirements WHERE kind <> 'development-fixture'"""
 
@@ -307,7 +335,7 @@ _SPANS = """
     ("requirements",),
     f"""SELECT id, kind, CASE WHEN kind <> format THEN 'KIND'
                WHEN kind = 'pdf' AND (page < 1 OR x < 0 OR y < 0 OR width <= 0 OR height <= 0 OR x + width > 1 OR y + height > 1) THEN 'PDF_BOX'
-               WHEN kind = 'docx' AND (char_end <= char_start OR char_end - char_start <> text_end - text_start) THEN 'DOCX_RANGE'
+               WHEN kind = 'docx' AND (paragraph_index < 0 OR cell < 0 OR char_end <= char_start OR char_end - char_start <> text_end - text_start) THEN 'DOCX_RANGE'
                WHEN kind = 'txt' AND (start_line <> end_line OR end_col - start_col <> text_end - text_start) THEN 'TXT_POSITION' END AS reason
         FROM ({_SPANS.replace('40.0', '40.0::DOUBLE').replace('10.0', '10.0::DOUBLE').replace('60.0', '60.0::DOUBLE').replace('0.9', '0.9::DOUBLE')})""",
 )
@@ -316,7 +344,9 @@ def dq_span_sources(spark, sf_dir):
     for number in ("40.0", "10.0", "60.0", "0.9"):
         text = text.replace(number, f"CAST({number} AS DOUBLE)")
     spans = spark.sql(text, requirements=derive(spark, sf_dir, "requirements"))
-    return spans.select("id", "kind", dq.span_reason().alias("reason"))
+    return spans.withColumn("table_path", F.array(F.lit(0), F.col("cell"))).select(
+        "id", "kind", dq.span_reason().alias("reason")
+    )
 
 
 @entry(

@@ -43,8 +43,10 @@ def src_text_utf8(spark, sf_dir):
 
 @entry(
     "src_tables",
-    ("parse_tasks", "requirements"),
-    """SELECT 'task' AS entity, id, json_extract_string(error, '$.code') AS code, json_extract_string(error, '$.message') AS detail FROM parse_tasks
+    ("parse_tasks", "requirements", "projects", "project_files"),
+    """SELECT 'project' AS entity, id, status AS code, name AS detail FROM projects
+       UNION ALL SELECT 'file', id, media_type, sha256 FROM project_files
+       UNION ALL SELECT 'task' AS entity, id, json_extract_string(error, '$.code') AS code, json_extract_string(error, '$.message') AS detail FROM parse_tasks
        UNION ALL SELECT 'requirement', id, json_extract_string(locator_json, '$.kind'), json_extract_string(locator_json, '$.version') FROM requirements""",
 )
 def src_tables(spark, sf_dir):
@@ -56,7 +58,13 @@ def src_tables(spark, sf_dir):
     requirements = derive(spark, sf_dir, "requirements").select(
         F.lit("requirement").alias("entity"), "id", locator["kind"].alias("code"), locator["version"].alias("detail")
     )
-    return tasks.unionByName(requirements)
+    projects = derive(spark, sf_dir, "projects").select(
+        F.lit("project").alias("entity"), "id", F.col("status").alias("code"), F.col("name").alias("detail")
+    )
+    files = derive(spark, sf_dir, "project_files").select(
+        F.lit("file").alias("entity"), "id", F.col("media_type").alias("code"), F.col("sha256").alias("detail")
+    )
+    return projects.unionByName(files).unionByName(tasks).unionByName(requirements)
 
 
 _PAYLOADS = """
