@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from clauseloom.functions import fixed_values as fv
-from clauseloom.functions.text import let, running_starts, utf16_length
+from clauseloom.functions.text import canonicalize, let, running_starts, utf16_length
 from clauseloom.operators.quality import extension_of, first_reason
 
 
@@ -189,6 +189,48 @@ def validate_txt_locators(docs: DataFrame, locators: DataFrame) -> DataFrame:
     return _packed(docs, locators, *LOCATOR_FIELDS).select("doc_id", F.inline(verdicts))
 
 
+def locator_reasons(locators: DataFrame) -> DataFrame:
+    """``(id, kind, reason)`` of structured locators of any kind by what they say themselves; NULL for a sound one.
+
+    ``regions`` (page, x, y, width, height), ``ranges`` (paragraph_id, paragraph_index, table_path, char_start,
+    char_end) and the fixture's page number and paragraph index count for their kind only. Nothing is joined or shuffled.
+    """
+    rows = locators.withColumn("canonical", canonicalize(F.col("quote")))
+    kind, first, last = F.col("kind"), F.col("text_start"), F.col("text_end")
+    real = kind.isin("pdf", "docx", "txt")
+    extension = F.coalesce(*[F.when(kind == k, suffix) for k, suffix, _ in fv.FORMATS])
+    media = F.coalesce(*[F.when(kind == k, name) for k, _, name in fv.FORMATS])
+    given = F.lower(F.trim(F.substring_index("media_type", ";", 1)))
+
+    def box_fails(r: Column) -> Column:
+        x, y, width, height = (r[c] for c in ("x", "y", "width", "height"))
+        inside = (x >= 0) & (y >= 0) & (width > 0) & (height > 0) & (x + width <= 1) & (y + height <= 1)
+        return ~F.coalesce((r["page"] >= 1) & inside, F.lit(False))
+
+    def range_fails(r: Column) -> Column:
+        placed = (r["paragraph_index"] >= 0) & (r["char_start"] >= 0) & (r["char_end"] > r["char_start"])
+        known = (r["paragraph_id"].isNull() | (r["paragraph_id"] != "")) & ~F.exists(r["table_path"], lambda n: n < 0)
+        return ~F.coalesce(placed & known, F.lit(False))
+
+    reason = first_reason(
+        (~real & (kind != fv.FIXTURE_METHOD), "KIND"),
+        (real & (F.col("version") != 1), "VERSION"),
+        (real & ~F.coalesce(F.col("source_sha256").rlike(fv.SHA256_HEX), F.lit(False)), "SOURCE_HASH"),
+        (F.coalesce(F.length("quote"), F.lit(0)) == 0, "QUOTE_EMPTY"),
+        (real & (F.col("quote") != F.col("canonical")), "NOT_CANONICAL"),
+        (real & (F.col("quote_sha256") != F.sha2("quote", 256)), "QUOTE_HASH"),
+        (real & ((first < 0) | (last <= first) | (last - first != utf16_length(F.col("quote")))), "OFFSETS"),
+        (real & (extension_of(F.col("file_name")) != extension), "FILE_KIND"),
+        (real & F.coalesce(given != media, F.lit(False)), "MEDIA_TYPE"),
+        ((kind == "pdf") & ((F.size("regions") == 0) | F.exists("regions", box_fails)), "REGIONS"),
+        ((kind == "docx") & ((F.size("ranges") == 0) | F.exists("ranges", range_fails)), "RANGES"),
+        (
+            (kind == fv.FIXTURE_METHOD) & (F.col("page_number").isNotNull() | F.col("fixture_index").isNotNull()), "FIXTURE",
+        ),
+    )
+    return rows.select("id", "kind", reason.alias("reason"))
+
+
 def relocate_quotes(docs: DataFrame, locators: DataFrame) -> DataFrame:
     """exact: still at its offsets; relocated: found elsewhere in the text; lost."""
 

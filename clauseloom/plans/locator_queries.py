@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from clauseloom.functions import fixed_values as fv
@@ -181,6 +183,59 @@ def loc_validate(spark, sf_dir):
     return lc.validate_txt_locators(canonical(spark, sf_dir), planted_locators(spark, sf_dir))
 
 
+# Locators of every kind with defects planted by line, page and column; the structs are built from these columns.
+_STATED = """
+    SELECT id, kind, CASE WHEN n = 1 THEN 2 ELSE 1 END AS version, CASE WHEN n = 2 THEN 'x' ELSE source_sha256 END AS source_sha256, quote, quote_sha256,
+           text_start, CASE WHEN n = 3 THEN text_end + 1 ELSE text_end END AS text_end, file_name, media_type, n, page, line, column_no,
+           CASE WHEN n = 4 THEN 3 END AS page_number, CASE WHEN n = 5 THEN 1 END AS fixture_index
+    FROM (SELECT id, kind, page, line, column_no, n, source_sha256, quote, CASE WHEN n = 6 THEN sha256_of('other') ELSE sha256_of(quote) END AS quote_sha256, column_no AS text_start,
+                 column_no + units_of(quote) AS text_end,
+                 concat('file', CASE WHEN n = 7 THEN '.bin' WHEN kind = 'pdf' THEN '.PDF' WHEN kind = 'docx' THEN '.docx' ELSE '.txt' END) AS file_name,
+                 CASE WHEN n = 8 THEN 'text/html' WHEN kind = 'pdf' THEN 'application/pdf' WHEN kind = 'txt' THEN 'Text/Plain ; charset=utf-8' END AS media_type
+          FROM (SELECT id, kind, page, line, column_no, (page * 7 + line * 3 + column_no) % 17 AS n, sha256_of(id) AS source_sha256,
+                       CASE (page * 7 + line * 3 + column_no) % 17 WHEN 9 THEN '' WHEN 10 THEN concat('a', unit_13, 'b') WHEN 11 THEN 'é' WHEN 12 THEN 'q 😀 z' ELSE concat('must ', title) END AS quote
+                FROM {requirements}))"""
+
+
+def _stated(dialect: dict[str, str], requirements: str) -> str:
+    text = _STATED.format(requirements=requirements)
+    for name, form in dialect.items():
+        text = re.sub(rf"{name}(?:\(([^()]*)\))?", lambda m, form=form: form.replace("{0}", m[1] or ""), text)
+    return text
+
+
+_STATED_SPARK = {"sha256_of": "sha2({0}, 256)", "units_of": "CAST(octet_length(encode({0}, 'UTF-16BE')) / 2 AS BIGINT)", "unit_13": "char(13)"}
+_STATED_DUCKDB = {"sha256_of": "sha256({0})", "units_of": u16("{0}"), "unit_13": "chr(13)"}
+
+
+@entry(
+    "loc_validate_kinds",
+    ("requirements",),
+    f"""SELECT id, kind, CASE WHEN kind NOT IN ('pdf', 'docx', 'txt', 'development-fixture') THEN 'KIND' WHEN kind = 'development-fixture' THEN
+                 CASE WHEN quote = '' THEN 'QUOTE_EMPTY' WHEN page_number IS NOT NULL OR fixture_index IS NOT NULL THEN 'FIXTURE' END
+               WHEN version <> 1 THEN 'VERSION' WHEN NOT regexp_matches(source_sha256, '^[0-9a-f]{{64}}$') THEN 'SOURCE_HASH' WHEN quote = '' THEN 'QUOTE_EMPTY'
+               WHEN n IN (10, 11) THEN 'NOT_CANONICAL' WHEN quote_sha256 <> sha256(quote) THEN 'QUOTE_HASH' WHEN n = 3 THEN 'OFFSETS'
+               WHEN n = 7 THEN 'FILE_KIND' WHEN n = 8 THEN 'MEDIA_TYPE'
+               WHEN kind = 'pdf' AND (n = 13 OR page < 1 OR line / 10::DOUBLE + column_no / 60::DOUBLE > 1 OR column_no <= 0) THEN 'REGIONS'
+               WHEN kind = 'docx' AND (n = 13 OR n = 14 OR n = 15 OR column_no < 0) THEN 'RANGES' END AS reason
+        FROM ({_stated(_STATED_DUCKDB, 'requirements')})""",
+)
+def loc_validate_kinds(spark, sf_dir):
+    rows = spark.sql(_stated(_STATED_SPARK, "{requirements}"), requirements=derive(spark, sf_dir, "requirements"))
+    n, column = F.col("n"), F.col("column_no")
+    box = F.struct(
+        "page", (F.col("line") / 10).alias("x"), (F.col("line") / 10).alias("y"), (column / 60).alias("width"), (column / 60).alias("height")
+    )
+    part = F.struct(
+        F.when(n == 14, "").when(F.col("page") % 2 == 0, F.lit("0A1B2C3D")).alias("paragraph_id"), F.col("line").alias("paragraph_index"),
+        F.array(F.lit(0), F.when(n == 15, -1).otherwise(1)).alias("table_path"), column.alias("char_start"), (column + 4).alias("char_end"),
+    )
+    none = F.when(n == 13, 0).otherwise(1)
+    return lc.locator_reasons(
+        rows.withColumn("regions", F.slice(F.array(box), F.lit(1), none)).withColumn("ranges", F.slice(F.array(part), F.lit(1), none))
+    )
+
+
 _KEYS = {kind: "[" + ", ".join(f"'{n}'" for n in names) + "]" for kind, names in fv.LOCATOR_KEYS.items()}
 _KEYED = """
     SELECT id, kind, concat('{{"kind":"', kind, '"', CASE WHEN kind = 'development-fixture'
