@@ -1,4 +1,4 @@
-"""The ordered fold as a stream: one state per task, stale writers to the output, lease timers."""
+"""The ordered fold as a stream, in event time: events wait for the watermark, so late files fold as in a batch."""
 
 from __future__ import annotations
 
@@ -15,55 +15,112 @@ from clauseloom.streaming.transitions import OUTCOME_SCHEMA, STATE_SCHEMA, TaskS
 _COLUMNS = (
     "tenant_id", "task_id", "seq", "ts", "event", "outcome", "status", "attempt", "progress", "error", "dead_letter",
 )
+_WAITING = "seq long, ts timestamp_ntz, event string, token long, lease_expires_at timestamp_ntz, error_code string"
+
+
+def _millis(at) -> int:
+    """A time without zone on the watermark's scale, which reads it as UTC."""
+    return int(pd.Timestamp(at).value // 1_000_000)
+
+
+def _known(value):
+    return None if pd.isna(value) else value
 
 
 class TaskFold(StatefulProcessor):
-    """Applies the events of a task in time order within each micro-batch."""
+    """Keeps the events of a task until the watermark has passed them, then applies them in time order.
 
-    def __init__(self, timers: bool) -> None:
-        self._timers = timers
+    State per task: its waiting events (those of the watermark's delay), the folded state, and the time of the last
+    applied event. A finished task is forgotten when more than
+    ``retention_ms`` of event time pass without an event.
+    """
+
+    def __init__(self, leases: bool, retention_ms: int) -> None:
+        self._leases, self._retention = leases, retention_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._task = handle.getValueState("task", STATE_SCHEMA)
+        self._waiting = handle.getListState("waiting", _WAITING)
+        self._last = handle.getValueState("last", "at long")
 
     def _load(self) -> TaskState:
         return from_row(self._task.get()) if self._task.exists() else TaskState()
 
+    @staticmethod
+    def _finished(state: TaskState) -> bool:
+        return state.status in ("succeeded", "failed")
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # A trigger reads a bounded number of files or offsets, so this frame is bounded too.
-        events = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
-        state, out = self._load(), []
-        for e in events.itertuples(index=False):
-            verdict = state.apply(e.seq, e.ts, e.event, e.token, e.lease_expires_at, e.error_code)
-            out.append((key[0], key[1], e.seq, e.ts, e.event, verdict, *state.snapshot()))
-        self._task.update(as_row(state))
-        if self._timers and state.lease_until is not None:
-            self._handle.registerTimer(int(pd.Timestamp(state.lease_until, tz="UTC").timestamp() * 1000))
-        yield pd.DataFrame(out, columns=_COLUMNS)
+        first = None
+        for frame in rows:
+            events = [
+                (
+                    # A column with gaps arrives as floats; state columns are typed.
+                    int(e.seq), e.ts, e.event, None if pd.isna(e.token) else int(e.token), _known(e.lease_expires_at),
+                    _known(e.error_code),
+                )
+                for e in frame.itertuples(index=False)
+            ]
+            self._waiting.appendList(events)
+            first = min([e[1] for e in events] + ([] if first is None else [first]))
+        if first is not None:
+            self._handle.registerTimer(_millis(first))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """A running task whose lease has passed is reported as reclaimable; a renewed one is not."""
-        state = self._load()
-        fired = pd.to_datetime(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-        if state.status == "running" and state.lease_until is not None and state.lease_until <= fired:
-            row = (key[0], key[1], None, fired, "lease", "lease_expired", *state.snapshot())
-            yield pd.DataFrame([row], columns=_COLUMNS).astype({"seq": "Int64"})
+        """Applies what the watermark has passed. With ``leases``, a running task whose lease has passed is reported as
+        reclaimable; a renewed one is not."""
+        watermark, fired = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        state, out, rest = self._load(), [], []
+        last = self._last.get()[0] if self._last.exists() else None
+        if self._waiting.exists():
+            events = list(self._waiting.get())
+            rest = [e for e in events if _millis(e[1]) > watermark]
+            due = sorted((e for e in events if _millis(e[1]) <= watermark), key=lambda e: (e[1], e[0]))
+            for seq, ts, event, token, lease, error in due:
+                if last is not None and self._finished(state) and _millis(ts) > last + self._retention:
+                    state = TaskState()
+                last = _millis(ts)
+                verdict = state.apply(seq, ts, event, token, lease, error)
+                out.append((key[0], key[1], seq, ts, event, verdict, *state.snapshot()))
+            if due:
+                self._task.update(as_row(state))
+                self._last.update((last,))
+                if self._leases and state.lease_until is not None:
+                    self._handle.registerTimer(_millis(state.lease_until))
+                if self._finished(state):
+                    self._handle.registerTimer(last + self._retention)
+                if rest:
+                    self._waiting.put(rest)
+                    self._handle.registerTimer(min(_millis(e[1]) for e in rest))
+                else:
+                    self._waiting.clear()
+        if self._leases and state.status == "running" and state.lease_until is not None and fired == _millis(state.lease_until):
+            out.append((key[0], key[1], None, state.lease_until, "lease", "lease_expired", *state.snapshot()))
+        if last is not None and not rest and self._finished(state) and fired >= last + self._retention:
+            self._task.clear()
+            self._last.clear()
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS).astype({"seq": "Int64"})
 
     def close(self) -> None:
         pass
 
 
-def fold_stream(events: DataFrame, timers: bool = False) -> DataFrame:
+def fold_stream(
+    events: DataFrame, delay: str = "10 minutes", leases: bool = False, retention_hours: int = 24 * 7
+) -> DataFrame:
     """Streaming ``events`` → verdict per event, like ``operators.taskstate.fold_events``.
 
-    ``timers`` also reports expired leases by the clock. Such a query never runs dry, so it belongs
-    to a continuous trigger, not to ``availableNow``.
+    Events up to ``delay`` behind the newest one are put in order, whatever micro-batch they come in; later ones are
+    dropped. A verdict is given once the watermark has passed its event. ``leases`` also reports expired leases.
     """
-    keyed = events.select(*FOLD_COLUMNS).groupBy("tenant_id", "task_id")
-    return keyed.transformWithStateInPandas(
-        statefulProcessor=TaskFold(timers), outputStructType=OUTCOME_SCHEMA, outputMode="Append",
-        timeMode="ProcessingTime" if timers else "None",
+    at = F.expr("cast(convert_timezone('UTC', current_timezone(), ts) as timestamp)")
+    keyed = events.select(*FOLD_COLUMNS).withColumn("event_time", at).withWatermark("event_time", delay)
+    return keyed.groupBy("tenant_id", "task_id").transformWithStateInPandas(
+        statefulProcessor=TaskFold(leases, retention_hours * 3_600_000), outputStructType=OUTCOME_SCHEMA,
+        outputMode="Append", timeMode="EventTime",
     )
 
 

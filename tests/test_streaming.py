@@ -21,30 +21,64 @@ def few_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def _write_in_time_order(events, path, parts=2):
-    total = events.count()
-    ranked = events.orderBy("ts", "seq").toPandas()
-    for i in range(parts):
-        chunk = ranked.iloc[total * i // parts : total * (i + 1) // parts]
-        events.sparkSession.createDataFrame(chunk, events.schema).coalesce(1).write.mode("append").parquet(path)
+def _write(spark, rows, schema, path):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
 
 
-def test_stream_equals_batch_over_restarts(spark, sf_dir, tmp_path):
-    log = derive(spark, sf_dir, "task_log").select(*ts.FOLD_COLUMNS).filter("task_id IN ('T1', 'T2', 'T3', 'T4')")
-    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
-    _write_in_time_order(log, source)
+def _later(days):
+    """An event of another task, far enough ahead to carry the watermark past all others."""
+    return ("t", "SENTINEL", 1, dt.datetime(2030, 1, 1) + dt.timedelta(days=days), "complete", 1, None, None)
+
 
-    def run():
-        events = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
-        taskfold.write_outcomes(taskfold.fold_stream(events), out, checkpoint).awaitTermination(300)
+def _run(spark, schema, source, out, checkpoint, **settings):
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    taskfold.write_outcomes(taskfold.fold_stream(events, **settings), out, checkpoint).awaitTermination(300)
+    return spark.read.parquet(out)
 
-    run()
-    run()  # a restart finds nothing new and repeats nothing
-    streamed = spark.read.parquet(out).filter("outcome <> 'lease_expired'").select(*COLUMNS)
+
+def test_shuffled_files_fold_as_in_a_batch(spark, sf_dir, tmp_path):
+    log = derive(spark, sf_dir, "task_log").select(*ts.FOLD_COLUMNS).filter("task_id IN ('T1', 'T2', 'T3', 'T4')")
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    rows = [tuple(r) for r in log.orderBy(F.xxhash64("seq")).collect()]
+    for part in range(3):
+        _write(spark, rows[part::3], log.schema, source)
+    _write(spark, [_later(0)], log.schema, source)
+    _run(spark, log.schema, source, out, checkpoint, delay="1000 days")
+    # A restart finds nothing new and repeats nothing.
+    streamed = _run(spark, log.schema, source, out, checkpoint, delay="1000 days").select(*COLUMNS)
     expected = ts.fold_events(log).select(*COLUMNS)
     assert sorted(streamed.collect()) == sorted(expected.collect())
 
 
+def test_an_expired_lease_is_reported_once_and_a_renewed_one_is_not(spark, tmp_path):
+    schema = "tenant_id string, task_id string, seq long, ts timestamp_ntz, event string, token long, lease_expires_at timestamp_ntz, error_code string"
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    rows = [
+        ("t", "A", 1, at(0), "claim", 1, at(30), None), ("t", "B", 2, at(0), "claim", 2, at(30), None),
+        ("t", "B", 3, at(20), "renew", 2, at(60), None), ("t", "B", 4, at(50), "complete", 2, None, None),
+    ]
+    _write(spark, rows[::-1], schema, source)
+    for days in range(3):
+        _write(spark, [_later(days)], schema, source)
+    found = _run(spark, schema, source, out, checkpoint, delay="1 minute", leases=True).filter("task_id <> 'SENTINEL'").collect()
+    assert sorted((r.task_id, r.outcome) for r in found) == [("A", "accepted"), ("A", "lease_expired"), ("B", "accepted"), ("B", "accepted"), ("B", "accepted")]
+    assert [r.ts for r in found if r.outcome == "lease_expired"] == [at(30)]
+
+
+def test_a_finished_task_is_forgotten_after_its_retention(spark, tmp_path):
+    schema = "tenant_id string, task_id string, seq long, ts timestamp_ntz, event string, token long, lease_expires_at timestamp_ntz, error_code string"
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    _write(spark, [("t", "A", 1, at(0), "claim", 1, at(30), None), ("t", "A", 2, at(5), "complete", 1, None, None)], schema, source)
+    _write(spark, [_later(0)], schema, source)
+    _write(spark, [_later(1)], schema, source)
+    again = dt.datetime(2030, 1, 3)
+    _write(spark, [("t", "A", 3, again, "claim", 3, again + dt.timedelta(seconds=30), None)], schema, source)
+    _write(spark, [_later(9)], schema, source)
+    found = _run(spark, schema, source, out, checkpoint, delay="1 minute", retention_hours=1).filter("task_id = 'A'").collect()
+    # Without its old state the task can be claimed afresh.
+    assert sorted((r.seq, r.outcome, r.attempt) for r in found) == [(1, "accepted", 1), (2, "accepted", 1), (3, "accepted", 1)]
+
+
 def test_duplicate_notifications_are_dropped(spark, tmp_path):
     rows = [(f"e{i % 4}", "t", dt.datetime(2026, 7, 10, 12, i % 5)) for i in range(12)]
     spark.createDataFrame(rows, "event_id string, tenant_id string, ts timestamp").write.parquet(str(tmp_path / "in"))
