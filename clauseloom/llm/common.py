@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_BATCH_SETTING, _UNSET, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few megabytes for rows as long as documents and blocks, unless the session says otherwise: a
+    Python worker holds several times its batch, and an executor several workers."""
+    if spark.conf.get(_BATCH_SETTING, _UNSET) == _UNSET:
+        spark.conf.set(_BATCH_SETTING, _BATCH_BYTES)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseloom.llm import ann, bpe, licenses, mixing, pii, quality, sharding, simhash, topk, urls
-from clauseloom.llm.common import read
+from clauseloom.llm.common import bounded_batches, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -109,8 +109,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (
+    f.__name__: _bounded(f) for f in (
         op1_simhash, op2_pii, op3_quality, op4_nearest, op5_url_filter, op6_bpe, op7_licenses, op8_maxscore, op9_mixing,
         op10_sharding,
     )
