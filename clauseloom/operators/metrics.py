@@ -184,38 +184,27 @@ def section_requirement_counts(outline: DataFrame, requirements: DataFrame) -> D
     )
 
 
-GRAM = 3
-
-
 def section_issues(outline: DataFrame, issues: DataFrame) -> DataFrame:
     """Issues whose location contains the section's number or title, within a project.
 
-    Substring tests become an equi-join: a key's first characters must appear as one of the
-    location's grams, so each location meets only the keys that share a gram with it; the full
-    ``contains`` then decides. Nothing is paired by project alone.
+    Substring tests become an equi-join on the whole number or title: a location offers its substrings of just
+    the lengths that its project's keys have. A pair that meets is a hit, so keys that begin alike do not meet
+    each other's locations.
     """
     keys = outline.select(
-        "project_id", F.col("id").alias("section_id"), "number", "title",
-        F.explode(F.array("number", "title")).alias("key"),
-    ).withColumn("gram", F.substring("key", 1, GRAM))
-    located = issues.select(
-        "project_id", F.col("id").alias("issue_id"), "location",
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.length("location"), F.lit(1))),
-                        lambda at: F.transform(
-                            F.sequence(F.lit(1), F.lit(GRAM)),
-                            lambda size: F.substring(F.col("location"), at, size),
-                        ),
-                    )
-                )
-            )
-        ).alias("gram"),
+        "project_id", F.col("id").alias("section_id"), F.explode(F.array("number", "title")).alias("key")
+    ).filter(F.col("key").isNotNull()).distinct()
+    lengths = keys.groupBy("project_id").agg(F.collect_set(F.length("key")).alias("lengths"))
+
+    def substrings(size: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length("location") - size + 1, F.lit(1)))
+        return F.transform(places, lambda at: F.substring(F.col("location"), at, size))
+
+    located = issues.join(lengths, "project_id").select(
+        "project_id", F.col("id").alias("issue_id"),
+        F.explode(F.array_distinct(F.flatten(F.transform("lengths", substrings)))).alias("key"),
     )
-    hits = located.join(keys, ["project_id", "gram"]).filter(F.contains("location", "key"))
-    return hits.select("section_id", "issue_id").distinct()
+    return located.join(keys, ["project_id", "key"]).select("section_id", "issue_id").distinct()
 
 
 def chapter_progress(outline: DataFrame) -> DataFrame:
