@@ -146,7 +146,7 @@ def links(fingerprints: DataFrame, radius: int = 3, spread: int = 16) -> DataFra
     return a.join(b.hint("merge"), met & near).select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v"))
 
 
-def _classes(marked: DataFrame, least: DataFrame, radius: int) -> DataFrame:
+def _classes(least: DataFrame, radius: int) -> DataFrame:
     """``least(fp, ...)``: one row per distinct fingerprint → it with ``root``, the class's least fingerprint."""
     roots = components(links(least.select("fp"), radius), "simhash-links")
     return least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
@@ -162,7 +162,7 @@ def near_duplicates(
         docs.select(named(doc_id).alias("doc_id"), fingerprint(named(text), shingle).alias("fp")), "simhash"
     )
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    classes = materialize(_classes(marked, least, radius), "simhash-classes")
+    classes = materialize(_classes(least, radius), "simhash-classes")
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = classes.join(ids, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -182,7 +182,7 @@ def drop_near_duplicates(
     rank = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row")
     rows = marked.groupBy("fp", "doc_id", "row").agg(F.count("*").alias("n"))
     least = rows.groupBy("fp").agg(F.min(F.struct(*[rank[k].alias(k) for k in ("absent", "doc_id", "row")], "n")).alias("first"))
-    classes = materialize(_classes(marked, least, radius), "simhash-classes")
+    classes = materialize(_classes(least, radius), "simhash-classes")
     kept = classes.groupBy("root").agg(F.min("first").alias("first")).select(
         F.col("first.doc_id").alias(fp), F.col("first.row").alias(row), F.col("first.n").alias(n)
     )

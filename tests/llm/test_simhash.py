@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from clauseloom.llm import simhash
 from clauseloom.llm.components import components
