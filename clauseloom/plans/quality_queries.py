@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clauseloom.functions import fixed_values as fv
-from clauseloom.functions.text import utf16_length
 from clauseloom.operators import blocks as bl
 from clauseloom.operators import quality as dq
 from clauseloom.operators import requirements as rq

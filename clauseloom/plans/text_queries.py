@@ -12,7 +12,7 @@ from clauseloom.operators import blocks as bl
 from clauseloom.operators import requirements as rq
 from clauseloom.operators import sentences as se
 from clauseloom.plans.catalog import entry
-from clauseloom.plans.oracle_parts import blank, delimiter, hard, score, trim, u16
+from clauseloom.plans.oracle_parts import delimiter, hard, score, u16
 from clauseloom.sources.derived import corpus, derive
 
 
