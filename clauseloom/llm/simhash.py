@@ -110,9 +110,10 @@ def distance_table(fingerprints: DataFrame, radius: int, spread: int = 16) -> Da
     """``(fp)`` → ``(fp, key, near, far)``: one row per key; ``near`` and ``far`` hold the distances to the
     spread references, a byte each."""
     zero = _distance(F.col("fp"), 0)
-    # One row becomes many here, so few small partitions would be too few.
+    # One row becomes many here, so the few partitions of a small table would be too few; without a key, the exchange
+    # is neither merged with the one below nor coalesced.
     parts = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    axis = fingerprints.repartition(parts, "fp").select("fp", *[
+    axis = fingerprints.repartition(parts).select("fp", *[
         ((zero - _distance(F.col("fp"), 1 << bit) + 1) / 2).cast("long").alias(f"axis{bit}") for bit in range(BITS)
     ])
     packed = [
