@@ -169,21 +169,17 @@ def near_duplicates(
     return marked.join(by_fp, "fp").select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(
-    docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest id (nulls last), then of the smallest hash of
-    the whole row; of rows equal in every column one stays."""
-    fp, row, n = fresh(docs, "fp", "row_hash", "row_count")
-    whole = F.xxhash64(*[named(c) for c in docs.columns])
-    marked = materialize(
-        docs.select(named(doc_id).alias("doc_id"), whole.alias("row"), fingerprint(named(text), shingle).alias("fp")),
-        "simhash",
-    )
+def ranked(marked: DataFrame) -> DataFrame:
+    """``marked(doc_id, row, fp, ...)`` → ``(fp, first)``: the first row of each ``fp``, and how many rows are equal to it."""
     rank = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row")
     rows = marked.groupBy("fp", "doc_id", "row").agg(F.count("*").alias("n"))
-    least = rows.groupBy("fp").agg(F.min(F.struct(*[rank[k].alias(k) for k in ("absent", "doc_id", "row")], "n")).alias("first"))
-    classes = materialize(_classes(least, radius), "simhash-classes")
+    return rows.groupBy("fp").agg(F.min(F.struct(*[rank[k].alias(k) for k in ("absent", "doc_id", "row")], "n")).alias("first"))
+
+
+def keep_first(docs: DataFrame, classes: DataFrame, doc_id: str) -> DataFrame:
+    """``docs`` with the first row of each root of ``classes(root, first)``."""
+    fp, row, n = fresh(docs, "fp", "row_hash", "row_count")
+    whole = F.xxhash64(*[named(c) for c in docs.columns])
     kept = classes.groupBy("root").agg(F.min("first").alias("first")).select(
         F.col("first.doc_id").alias(fp), F.col("first.row").alias(row), F.col("first.n").alias(n)
     )
@@ -192,3 +188,16 @@ def drop_near_duplicates(
     once = stay.filter(F.col(n) == 1)
     repeated = stay.filter(F.col(n) > 1).dropDuplicates([row, fp])
     return once.unionByName(repeated).select(*[named(c) for c in docs.columns])
+
+
+def drop_near_duplicates(
+    docs: DataFrame, radius: int = 3, shingle: int = 3, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each class: that of the smallest id (nulls last), then of the smallest hash of
+    the whole row; of rows equal in every column one stays."""
+    whole = F.xxhash64(*[named(c) for c in docs.columns])
+    marked = materialize(
+        docs.select(named(doc_id).alias("doc_id"), whole.alias("row"), fingerprint(named(text), shingle).alias("fp")),
+        "simhash",
+    )
+    return keep_first(docs, materialize(_classes(ranked(marked), radius), "simhash-classes"), doc_id)
