@@ -42,8 +42,8 @@ RULES = {
     "defg": "BSD-3-Clause", "def": "BSD-2-Clause", "abc": "MIT", "jhi": "Apache-2.0", "M": "MIT", "A": "Apache-2.0",
     "G": "GPL-3.0", "N": "CC-BY-NC-4.0", "Y": "CC-BY-4.0", "S": "CC-BY-SA-4.0", "R": "All-Rights-Reserved",
 }
-#: Every known sentence contains one of these.
-ANCHORS = ("licen", "permission", "rights reserved", "redistributi", "the software is provided")
+#: Every known sentence contains one of these; single words, which no separator can break.
+ANCHORS = ("licen", "permission", "reserved", "redistributi", "software")
 #: Where a sentence ends: at a line's end, or at a mark before white space or the text's end.
 SENTENCE_END = r"[\n\r]+|[.!?;:]+(?:[ \t\n\r]+|$)"
 
