@@ -5,6 +5,9 @@ sequence of identifiers is matched against ordered rules, longest first, so that
 All of it happens within a row, in built-in functions: nothing is shuffled. Texts without any of the words that
 known sentences contain are not cut at all.
 
+Lines are joined: a known sentence may run over line breaks (with or without comment signs), starts where a line or sentence
+starts and ends where one ends, so that wrapped texts and unpunctuated lines both match. Blank lines and marks end it.
+
 Defined results: a null or empty text has no licenses; repeated rows each have theirs; several licenses of one text are
 several rows; sentences between those of a rule that are not known do not matter, known ones out of order do.
 """
@@ -42,32 +45,62 @@ RULES = {
     "defg": "BSD-3-Clause", "def": "BSD-2-Clause", "abc": "MIT", "jhi": "Apache-2.0", "M": "MIT", "A": "Apache-2.0",
     "G": "GPL-3.0", "N": "CC-BY-NC-4.0", "Y": "CC-BY-4.0", "S": "CC-BY-SA-4.0", "R": "All-Rights-Reserved",
 }
+#: Further sentences and rules, by letters of their own.
+MORE_SENTENCES = {
+    "B": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "C": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "D": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "E": "this work is licensed under the gnu general public license version 2",
+    "F": "licensed under the gnu lesser general public license version 3",
+    "H": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "I": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "J": "licensed under the mit license",
+    "K": "spdx license identifier mit", "L": "spdx license identifier apache 2 0", "O": "spdx license identifier bsd 2 clause",
+    "P": "spdx license identifier bsd 3 clause", "Q": "spdx license identifier isc", "T": "spdx license identifier mpl 2 0",
+    "U": "spdx license identifier gpl 2 0 only", "V": "spdx license identifier gpl 2 0 or later",
+    "W": "spdx license identifier gpl 3 0 only", "X": "spdx license identifier gpl 3 0 or later",
+    "Z": "spdx license identifier lgpl 2 1 or later", "k": "spdx license identifier lgpl 3 0 or later",
+}
+MORE_RULES = {
+    "B": "GPL-2.0-or-later", "C": "GPL-3.0-or-later", "D": "LGPL-2.1-or-later", "E": "GPL-2.0", "F": "LGPL-3.0", "H": "MPL-2.0",
+    "I": "ISC", "J": "MIT", "K": "MIT", "L": "Apache-2.0", "O": "BSD-2-Clause", "P": "BSD-3-Clause", "Q": "ISC", "T": "MPL-2.0",
+    "U": "GPL-2.0", "V": "GPL-2.0-or-later", "W": "GPL-3.0", "X": "GPL-3.0-or-later", "Z": "LGPL-2.1-or-later", "k": "LGPL-3.0-or-later",
+}
+ALL_SENTENCES, ALL_RULES = SENTENCES | MORE_SENTENCES, RULES | MORE_RULES
 #: Every known sentence contains one of these; single words, which no separator can break.
 ANCHORS = ("licen", "permission", "reserved", "redistributi", "software")
 #: Where a sentence ends: at a line's end, or at a mark before white space or the text's end.
 SENTENCE_END = r"[\n\r]+|[.!?;:]+(?:[ \t\n\r]+|$)"
 
 
-def rule_pattern() -> str:
+def rule_pattern(rules: dict[str, str] = RULES) -> str:
     """Alternatives for all rules, longest first."""
-    return "|".join(sorted(RULES, key=lambda r: (-len(r), r)))
+    return "|".join(sorted(rules, key=lambda r: (-len(r), r)))
 
 
 def identifiers(text: Column) -> Column:
     """The known sentences of a text, one letter each, in order."""
-    sentences = F.transform(
-        F.split(F.lower(text), SENTENCE_END), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
-    )
-    known = F.create_map(*[F.lit(x) for letter, s in SENTENCES.items() for x in (s, letter)])
-    return F.array_join(F.transform(sentences, lambda s: known[s]), "")
+    # "|" ends a sentence, "/" is a line break within one; neither survives from the text itself.
+    plain = F.lower(text)
+    for pattern, by in (
+        (r"[|/]", " "), (r"\r\n?", "\n"), (r"(spdx.license.identifier):[ \t]*", "$1 "), (r"\bv[.][ \t]+(?=[0-9])", "v "),
+        (r"[.!?;:]+(?:[ \t\n]+|$)", "|"), (r"\n(?:[^a-z0-9\n|]*\n)+", "|"), (r"\n", "/"),
+        (r"[^a-z0-9|/]+", " "), (r" *([|/]) *", "$1"),
+    ):
+        plain = F.regexp_replace(plain, pattern, by)
+    plain = F.concat(F.lit("|"), F.trim(plain), F.lit("|"))
+    known = F.create_map(*[F.lit(x) for letter, s in ALL_SENTENCES.items() for x in (s, letter)])
+    wanted = "|".join(s.replace(" ", "[ /]") for s in sorted(ALL_SENTENCES.values(), key=lambda s: (-len(s), s)))
+    found = F.regexp_extract_all(plain, F.lit(f"(?<=[|/])({wanted})(?=[|/])"))
+    return F.array_join(F.transform(found, lambda s: known[F.translate(s, "/", " ")]), "")
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, license, matches)``: one row per row of ``docs`` and license found in it."""
     lowered = F.lower(named(text))
     maybe = reduce(Column.__or__, [F.contains(lowered, F.lit(a)) for a in ANCHORS])
-    found = F.regexp_extract_all(identifiers(named(text)), F.lit(f"({rule_pattern()})"))
-    names = F.create_map(*[F.lit(x) for pair in RULES.items() for x in pair])
+    found = F.regexp_extract_all(identifiers(named(text)), F.lit(f"({rule_pattern(ALL_RULES)})"))
+    names = F.create_map(*[F.lit(x) for pair in ALL_RULES.items() for x in pair])
     rows = docs.filter(maybe).select(named(doc_id).alias("doc_id"), F.transform(found, lambda r: names[r]).alias("found"))
     return rows.select("doc_id", "found", F.explode(F.array_distinct("found")).alias("license")).select(
         "doc_id", "license", F.size(F.filter("found", lambda x: x == F.col("license"))).cast("long").alias("matches")

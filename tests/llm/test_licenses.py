@@ -1,7 +1,39 @@
+import textwrap
+
+import pytest
+
 from clauseloom.llm import licenses
 
 
-def test_odd_separators(spark):
-    texts = ["All  rights  reserved", "All rights-reserved", "All\trights\u00a0reserved"]
+def found(spark, *texts):
     rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert sorted((r.doc_id, r.license) for r in rows) == [(n, "All-Rights-Reserved") for n in range(3)]
+    return sorted((r.doc_id, r.license, r.matches) for r in rows)
+
+
+@pytest.mark.parametrize("sign", ["", "# ", " * "])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_wrapped_texts(spark, sign, end):
+    texts = []
+    for rule in licenses.ALL_RULES:
+        wrapped = [textwrap.wrap(licenses.ALL_SENTENCES[x] + ".", 40) for x in rule]
+        texts.append(f"{end}{sign}{end}".join(end.join(sign + line for line in part) for part in wrapped))
+    assert found(spark, *texts) == [(n, name, 1) for n, name in enumerate(licenses.ALL_RULES.values())]
+
+
+def test_lines_without_marks_still_match(spark):
+    assert found(spark, "Some title\nReleased under the\nMIT License\nAll rights reserved\nmore text") == [
+        (0, "All-Rights-Reserved", 1), (0, "MIT", 1)]
+    assert found(spark, "Not released under the\n\nMIT License.", "It is not released under the MIT License.") == []
+
+
+def test_odd_separators_and_identifiers(spark):
+    texts = ["All  rights  reserved", "All rights-reserved", "All\trights\u00a0reserved", "all rights\nreserved."]
+    assert found(spark, *texts) == [(n, "All-Rights-Reserved", 1) for n in range(4)]
+    assert found(spark, "// SPDX-License-Identifier: MPL-2.0\nint x;", "# SPDX-License-Identifier: MIT") == [(0, "MPL-2.0", 1), (1, "MIT", 1)]
+
+
+def test_all_tables():
+    assert all(any(a in s for a in licenses.ANCHORS) for s in licenses.ALL_SENTENCES.values())
+    assert not any(" " in a for a in licenses.ANCHORS)
+    assert len(licenses.ALL_SENTENCES) == len(licenses.SENTENCES) + len(licenses.MORE_SENTENCES)
+    assert all(set(rule) <= set(licenses.ALL_SENTENCES) for rule in licenses.ALL_RULES)
