@@ -10,7 +10,7 @@ bound or exact distance are reranked by their exact distance.
 Every vector is indexed, and the codes are a function of vector and mean, so nothing is fitted on a sample.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null id, take
-no part; a query never finds rows of its own id; repeated vectors tie and go by the smaller id; vectors are compared
+no part; equal query rows are one query, rows of one id with different vectors a query each; a query never finds rows of its own id; repeated vectors tie and go by the smaller id; vectors are compared
 with those of their own dimension; with fewer than k candidates all are returned.
 """
 
@@ -92,7 +92,7 @@ def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 10, confidence: float = 2.5,
     vec_id: str = "vec_id", vector: str = "embedding",
 ) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: for each row of ``queries`` its k nearest rows of ``vectors`` by Euclidean
+    """``(query_id, rank, vec_id, score)``: for each distinct row of ``queries`` its k nearest rows of ``vectors`` by Euclidean
     distance, which is ``score``."""
     rows, asked = usable(vectors, vec_id, vector, True), usable(queries, vec_id, vector, True)
     centre = means(rows)

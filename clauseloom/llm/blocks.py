@@ -5,6 +5,9 @@ A pair of a block and a group of queries is one row of an equi-join on (dimensio
 are dealt over buckets and query groups are repeated in each, so no join key gathers more than a share of the
 blocks. Each task keeps the best k so far of the query groups it has met, so later blocks prune better, and one
 row per query and rank leaves a task. A last window per query merges them.
+
+A query is a distinct (id, vector): equal query rows are asked once, and rows of one id with different vectors have k hits
+each, whose ranks each start at 1.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -91,8 +95,8 @@ def index(vectors: DataFrame, build: Build, columns: list[str]) -> DataFrame:
 
 
 def search(indexed: DataFrame, queries: DataFrame, find: Search, columns: list[str], k: int, exact: type) -> DataFrame:
-    """``(query_id, rank, vec_id, score)`` of the k best of every query; ``find`` adds the candidates of a block."""
-    groups = materialize(_packed(queries, QUERIES_A_GROUP, "grp"), "query-groups")
+    """``(query_id, rank, vec_id, score)`` of the k best of every distinct query; ``find`` adds the candidates of a block."""
+    groups = materialize(_packed(queries.distinct(), QUERIES_A_GROUP, "grp"), "query-groups")
     count = groups.agg(F.max("grp")).first()[0]
     if count is None:
         return indexed.sparkSession.createDataFrame([], f"query_id long, rank int, vec_id long, score {exact.__name__}")
@@ -105,13 +109,14 @@ def search(indexed: DataFrame, queries: DataFrame, find: Search, columns: list[s
     dtype = np.int64 if exact is int else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[np.ndarray, Best]] = {}
+        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, Best]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for ids, best in held.values():
+            for ids, keys, best in held.values():
                 counts = [len(x) for x in best.ids]
                 yield pa.RecordBatch.from_pydict({
                     "query_id": pa.array(np.repeat(ids, counts), pa.int64()),
+                    "query_key": pa.array(np.repeat(keys, counts), pa.int64()),
                     "vec_id": pa.array(np.concatenate(best.ids), pa.int64()),
                     "score": pa.array(np.concatenate(best.scores)),
                 })
@@ -124,13 +129,14 @@ def search(indexed: DataFrame, queries: DataFrame, find: Search, columns: list[s
                     if len(held) >= GROUPS_HELD:
                         yield from out()
                         held.clear()
-                    held[key] = ids, Best(len(ids), k, dtype)
-                find({c: batch.column(c)[row].as_py() for c in columns}, ids, matrix, held[key][1])
+                    keys = np.array([xxhash.xxh64_intdigest(vector.tobytes()) for vector in matrix], np.uint64).view(np.int64)
+                    held[key] = ids, keys, Best(len(ids), k, dtype)
+                find({c: batch.column(c)[row].as_py() for c in columns}, ids, matrix, held[key][2])
         yield from out()
 
     kind = "long" if exact is int else "double"
-    near = paired.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
-    order = W.partitionBy("query_id").orderBy("score", "vec_id")
+    near = paired.mapInArrow(run, f"query_id long, query_key long, vec_id long, score {kind}")
+    order = W.partitionBy("query_id", "query_key").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )

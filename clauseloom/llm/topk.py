@@ -11,7 +11,7 @@ other terms, from the largest bound down, and dropped once out of reach; what is
 The best of all shards are merged. Scores are whole numbers, and ties at the bound are kept, so results are exact.
 
 Defined results: vectors that are null, empty or hold null or non-finite components, and rows with a null id, take no part;
-a query never finds rows of its own id; ties go by the smaller id; with fewer than k candidates all are
+equal query rows are one query, rows of one id with different vectors a query each; a query never finds rows of its own id; ties go by the smaller id; with fewer than k candidates all are
 returned. Scores are exact while sums stay below 2^53.
 """
 
@@ -91,7 +91,7 @@ def top_products(
     vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     vec_id: str = "vec_id", vector: str = "embedding",
 ) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: for each row of ``queries`` the k rows of ``vectors`` of largest inner product
+    """``(query_id, rank, vec_id, score)``: for each distinct row of ``queries`` the k rows of ``vectors`` of largest inner product
     of floor(scale · component)."""
 
     def build(ids: np.ndarray, matrix: np.ndarray) -> dict[str, bytes]:
