@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import ann, bpe, licenses, mixing, pii, quality, sharding, simhash, topk, urls
+from clauseloom.llm import ann, bpe, divergence, licenses, mixing, pii, quality, sharding, simhash, topk, urls
 from clauseloom.llm.common import bounded_batches, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -109,6 +109,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"), least_docs=3, ranks=200)
+
+
 def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bounded_batches(spark)
@@ -120,7 +124,7 @@ def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _bounded(f) for f in (
         op1_simhash, op2_pii, op3_quality, op4_nearest, op5_url_filter, op6_bpe, op7_licenses, op8_maxscore, op9_mixing,
-        op10_sharding,
+        op10_sharding, op12_divergence,
     )
 }
 
@@ -175,4 +179,25 @@ x AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place, u RANGE BETW
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
        CAST((copies + CASE WHEN part > 0 AND (through <= rest OR (through - own < rest AND through - rest < rest - through + own)) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM x"""
 
-ORACLES = {"op5_url_filter": _URL_SQL, "op7_licenses": _LICENSE_SQL, "op8_maxscore": _TOP_SQL, "op9_mixing": _MIX_SQL}
+_AUDIT_SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+occurring AS (SELECT DISTINCT lang, source FROM d),
+words AS (SELECT k, lang, source, unnest(words) AS term FROM d),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS y FROM words GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+langs AS (SELECT lang, sum(y) AS ny, CAST(count(*) AS HUGEINT) AS v FROM kept GROUP BY lang),
+own AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS x FROM words GROUP BY ALL),
+grid AS (SELECT o.lang, o.source, k.term, k.y, coalesce(w.x, 0) AS x FROM occurring o JOIN kept k ON o.lang = k.lang
+         LEFT JOIN own w ON w.lang = o.lang AND w.source = o.source AND w.term = k.term),
+sized AS (SELECT *, sum(x) OVER (PARTITION BY lang, source) AS n FROM grid),
+shares AS (SELECT lang, source, term, x, 1 + 1000000000 * (x + 1) // (n + v) AS p, 1 + 1000000000 * (y + 1) // (ny + v) AS q FROM sized JOIN langs USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+          FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, b.source AS item, coalesce(p.value, 0) AS value FROM occurring a JOIN occurring b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM shares WHERE x > 0 AND p > q),
+parts AS (SELECT 'pair' AS part, * FROM every UNION ALL SELECT 'term', * FROM terms),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+ORACLES = {"op12_divergence": _AUDIT_SQL, "op5_url_filter": _URL_SQL, "op7_licenses": _LICENSE_SQL, "op8_maxscore": _TOP_SQL, "op9_mixing": _MIX_SQL}
