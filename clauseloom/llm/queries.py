@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import ann, bpe, divergence, licenses, mixing, pii, quality, sharding, simhash, topk, urls
+from clauseloom.llm import ann, bpe, divergence, licenses, mixing, pii, quality, repair, sharding, simhash, topk, urls
 from clauseloom.llm.common import bounded_batches, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -113,6 +113,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"), least_docs=3, ranks=200)
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_digests(*repair.repair(read(spark, sf_dir, "conversations")))
+
+
 def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         bounded_batches(spark)
@@ -124,7 +128,7 @@ def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _bounded(f) for f in (
         op1_simhash, op2_pii, op3_quality, op4_nearest, op5_url_filter, op6_bpe, op7_licenses, op8_maxscore, op9_mixing,
-        op10_sharding, op12_divergence,
+        op10_sharding, op12_divergence, op13_repair,
     )
 }
 
@@ -200,4 +204,40 @@ parts AS (SELECT 'pair' AS part, * FROM every UNION ALL SELECT 'term', * FROM te
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
 
-ORACLES = {"op12_divergence": _AUDIT_SQL, "op5_url_filter": _URL_SQL, "op7_licenses": _LICENSE_SQL, "op8_maxscore": _TOP_SQL, "op9_mixing": _MIX_SQL}
+#: CRC-32 of ASCII digits, a colon and spaces; then a fold over the rows from the last, with cost and edits from the four states.
+_REPAIR_SQL = """
+WITH RECURSIVE crc AS (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS t FROM range(256) r(n)),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+                               lambda a, b: xor(t[CAST(xor(a, b) & 255 AS INTEGER) + 1], a >> 8), 4294967295), 4294967295) % 20 AS kind FROM conversations, crc),
+damaged AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM raw WHERE kind <> 0),
+numbered AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+                    lag(substr(role, 1, 1)) OVER w AS before, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged
+             WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+judged AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN bare = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM numbered),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                 count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+togo AS (SELECT DISTINCT conv_id, n + 1 AS i, {'c': 0, 'a': ''} AS s0, {'c': 6, 'a': 'II'} AS s1, {'c': 3, 'a': 'I'} AS s2, {'c': 0, 'a': ''} AS s3 FROM judged
+         UNION ALL
+         SELECT conv_id, i, list_sort([d0, {'c': u.c + 3, 'a': 'I' || u.a}])[1], list_sort([d1, {'c': u.c + 3, 'a': 'I' || u.a}])[1], u, list_sort([d3, {'c': u.c + 3, 'a': 'I' || u.a}])[1]
+         FROM (SELECT *, list_sort([d2, {'c': d3.c + 3, 'a': 'I' || d3.a}])[1] AS u FROM (
+             SELECT j.conv_id, j.i,
+                    list_sort([{'c': s0.c + 4, 'a': 'D' || s0.a}, {'c': s2.c + x + 3, 'a': 'R' || s2.a}, {'c': s2.c + x + CASE initial WHEN 'u' THEN 0 ELSE 1000000 END, 'a': 'K' || s2.a},
+                               {'c': s1.c + x + CASE initial WHEN 's' THEN 0 ELSE 1000000 END, 'a': 'K' || s1.a}])[1] AS d0,
+                    list_sort([{'c': s1.c + 4, 'a': 'D' || s1.a}, {'c': s2.c + x + 3, 'a': 'R' || s2.a}, {'c': s2.c + x + CASE initial WHEN 'u' THEN 0 ELSE 1000000 END, 'a': 'K' || s2.a}])[1] AS d1,
+                    list_sort([{'c': s2.c + 4, 'a': 'D' || s2.a}, {'c': s3.c + x + 3, 'a': 'R' || s3.a}, {'c': s3.c + x + CASE initial WHEN 'a' THEN 0 ELSE 1000000 END, 'a': 'K' || s3.a}])[1] AS d2,
+                    list_sort([{'c': s3.c + 4, 'a': 'D' || s3.a}, {'c': s2.c + x + 3, 'a': 'R' || s2.a}, {'c': s2.c + x + CASE initial WHEN 'u' THEN 0 ELSE 1000000 END, 'a': 'K' || s2.a}])[1] AS d3
+             FROM togo t JOIN (SELECT *, CASE fault WHEN 'blank' THEN 1000000 WHEN 'duplicate' THEN 1000000 WHEN 'truncated' THEN 3 ELSE 0 END AS x FROM judged) j ON j.conv_id IS NOT DISTINCT FROM t.conv_id AND j.i = t.i - 1))),
+best AS (SELECT conv_id, s0.c AS cost, s0.a AS audit FROM togo WHERE i = 1),
+edits AS (SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(1, length(audit) + 1)) AS pos FROM best WHERE audit <> ''),
+placed AS (SELECT *, count(*) FILTER (edit <> 'I') OVER w AS i, count(*) FILTER (edit <> 'D') OVER w AS k FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+stay AS (SELECT p.*, j.role, CASE edit WHEN 'I' THEN '' ELSE j.text END AS text, max(CASE WHEN k = 1 AND edit = 'K' AND j.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS led
+         FROM placed p LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.i = p.i WHERE edit <> 'D'),
+lines AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (k - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS body FROM stay GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+ORACLES = {"op13_repair": _REPAIR_SQL, "op12_divergence": _AUDIT_SQL, "op5_url_filter": _URL_SQL, "op7_licenses": _LICENSE_SQL, "op8_maxscore": _TOP_SQL, "op9_mixing": _MIX_SQL}
