@@ -10,7 +10,7 @@ f depends on two counts alone, so it is evaluated per *cell* of terms with equal
 * ``term``: the terms of a group are counted by (count in the group, count in the language); f is evaluated per cell, cells of equal
   values are merged, and values are ranked by how many terms lie above them. Only cells that reach the report's first
   ranks are expanded into terms, in UTF-8 order.
-* ``pair``: terms are first counted by their whole vector of counts over sources, and vectors by the cells of each pair of sources. With
+* ``pair``: terms are counted by their whole vector of counts over sources, and f is evaluated per vector and pair of its sources. With
   f00 etc. for absent terms, f summed over all V terms is ``V f00 + sum(fx0 - f00) + sum(f0y - f00) + sum(fxy - fx0 - f0y + f00)``, over the
   terms of the one, of the other, and of both: terms that neither source has are never looked at.
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -119,40 +120,51 @@ def group_sizes(docs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def source_pairs(vectors: DataFrame, groups: DataFrame) -> DataFrame:
-    """``(lang, source, other, value)``: the divergence of each source from each other one of its language."""
-    ends = ("lang", "source", "other", "total", "other_total", "kinds")
-    other = groups.select("lang", F.col("source").alias("other"), F.col("total").alias("other_total"))
-    pairs = materialize(groups.drop("lang_total").join(other, "lang").filter("source <> other").select(*ends), "divergence-pairs")
-
-    def f(x: Column | int, y: Column | int) -> Column:
-        return _divergence(_share(x, F.col("total"), F.col("kinds")), _share(y, F.col("other_total"), F.col("kinds")))
-
-    def worth(m: Column, value: Column) -> Column:
-        return (m.cast("decimal(20,0)") * value.cast("decimal(20,0)")).cast("decimal(38,0)").alias("value")
-
-    # An unordered pair of sources a vector; the other order follows from the cells.
-    both = F.flatten(F.transform("held", lambda a, i: F.transform(
-        F.slice("held", i + 2, F.size("held")), lambda b: F.struct(
-            a["source"].alias("source"), b["source"].alias("other"), a["n"].alias("x"), b["n"].alias("y"))
-    )))
-    cells = vectors.groupBy("lang", "held").agg(F.count("*").alias("m")).select("lang", "m", F.inline(both))
-    cells = cells.groupBy("lang", "source", "other", "x", "y").agg(F.sum("m").alias("m"))
-    cells = cells.select("lang", "m", F.inline(F.array(
-        F.struct("source", "other", "x", "y"),
-        F.struct(F.col("other").alias("source"), F.col("source").alias("other"), F.col("y").alias("x"), F.col("x").alias("y")),
-    )))
+    """``(lang, source, other, value)``: the divergence of each source from each other one of its language.
+
+    Shares are worked out once per entry of a vector; what is done per pair is long arithmetic, summed before any exchange. No sum comes
+    near a long's bound: shares of one source add up to 10^9 + V, so f over all terms is at most (10^9 + 1) (10^9 + V).
+    """
+    total, kinds = F.col("total"), F.col("kinds")
+    zeros = groups.select("lang", "source", "total", "kinds", _share(0, total, kinds).alias("zero"))
+    zeros = materialize(zeros, "divergence-zeros")
+    other = zeros.select("lang", F.col("source").alias("other"), F.col("zero").alias("other_zero"))
+    pairs = zeros.select("lang", "source", "zero", "kinds").join(other, "lang").filter("source <> other")
+    pairs = materialize(pairs, "divergence-pairs")
+    x, y, zero, other_zero = (F.col(c) for c in ("x", "y", "zero", "other_zero"))
+    absent = _divergence(zero, other_zero)
+
     counts = vectors.select("lang", F.inline("held")).groupBy("lang", "source", "n").agg(F.count("*").alias("m"))
+    counts = counts.join(zeros.drop("zero"), ["lang", "source"]).select("lang", "source", "m", _share(F.col("n"), total, kinds).alias("p"))
     counts = materialize(counts, "divergence-counts")
-    x, y = F.col("x"), F.col("y")
+    mine = counts.withColumnRenamed("p", "x").join(pairs, ["lang", "source"])
+    theirs = counts.select("lang", F.col("source").alias("other"), "m", F.col("p").alias("y")).join(pairs, ["lang", "other"])
+
+    # At most one entry a source, as in the vectors.
+    sizes = zeros.groupBy("lang").agg(
+        F.map_from_entries(F.collect_list(F.struct("source", F.struct("total", "zero")))).alias("sizes"), F.first("kinds").alias("kinds")
+    )
+    cells = vectors.groupBy("lang", "held").agg(F.count("*").alias("m")).join(sizes, "lang")
+    shares = F.transform("held", lambda e: F.struct(
+        e["source"].alias("source"), _share(e["n"], F.col("sizes")[e["source"]]["total"], kinds).alias("p"), F.col("sizes")[e["source"]]["zero"].alias("zero"),
+    ))
+    cells = materialize(cells.select("lang", "m", shares.alias("shares")), "divergence-vectors")
+    both = cells.select("lang", "m", "shares", F.explode("shares").alias("a")).select("lang", "m", "a", F.explode("shares").alias("b"))
+    both = both.filter("a.source <> b.source").select(
+        "lang", F.col("a.source").alias("source"), F.col("b.source").alias("other"), "m", F.col("a.p").alias("x"), F.col("b.p").alias("y"),
+        F.col("a.zero").alias("zero"), F.col("b.zero").alias("other_zero"),
+    )
+
+    def summed(rows: DataFrame, m: Column, value: Column) -> DataFrame:
+        return rows.groupBy("lang", "source", "other").agg(F.sum(m * value).alias("value"))
+
     parts = [
-        pairs.select(*ends[:3], worth(F.col("kinds"), f(0, 0))),
-        counts.withColumnRenamed("n", "x").join(pairs, ["lang", "source"]).select(*ends[:3], worth(F.col("m"), f(x, 0) - f(0, 0))),
-        counts.select("lang", F.col("source").alias("other"), F.col("n").alias("y"), "m").join(pairs, ["lang", "other"])
-        .select(*ends[:3], worth(F.col("m"), f(0, y) - f(0, 0))),
-        cells.join(pairs, ["lang", "source", "other"]).select(*ends[:3], worth(F.col("m"), f(x, y) - f(x, 0) - f(0, y) + f(0, 0))),
+        summed(pairs, kinds, absent),
+        summed(mine, F.col("m"), _divergence(x, other_zero) - absent),
+        summed(theirs, F.col("m"), _divergence(zero, y) - absent),
+        summed(both, F.col("m"), _divergence(x, y) - _divergence(x, other_zero) - _divergence(zero, y) + absent),
     ]
-    every = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
-    return every.groupBy("lang", "source", "other").agg(F.sum("value").cast("long").alias("value"))
+    return reduce(DataFrame.union, parts).groupBy("lang", "source", "other").agg(F.sum("value").alias("value"))
 
 
 def leading_terms(vectors: DataFrame, groups: DataFrame, ranks: int) -> DataFrame:
