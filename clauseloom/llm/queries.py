@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import ann, bpe, divergence, licenses, mixing, pii, quality, repair, sharding, simhash, topk, urls
+from clauseloom.llm import ann, bpe, divergence, licenses, mixing, parity, pii, quality, repair, sharding, simhash, topk, urls
 from clauseloom.llm.common import bounded_batches, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -109,6 +109,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity.jaccard_classes(read(spark, sf_dir, "documents"), ratio=(9, 10), shingle=3)
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"), least_docs=3, ranks=200)
 
@@ -128,7 +132,7 @@ def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _bounded(f) for f in (
         op1_simhash, op2_pii, op3_quality, op4_nearest, op5_url_filter, op6_bpe, op7_licenses, op8_maxscore, op9_mixing,
-        op10_sharding, op12_divergence, op13_repair,
+        op10_sharding, op11_jaccard, op12_divergence, op13_repair,
     )
 }
 
@@ -140,7 +144,7 @@ WITH captures AS ({_captures(_DUCKDB, 'pages')}),
 events AS ({_events(_DUCKDB, 'pages')}),
 steps AS (SELECT *, lead(day) OVER (PARTITION BY list, kind, pattern ORDER BY day, action) AS until FROM events),
 entries AS (SELECT list, kind, pattern, day AS since, until FROM steps WHERE action = 'add' AND (until IS NULL OR until > day)),
-parts AS (SELECT DISTINCT url, day, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)) AS host,
+parts AS (SELECT DISTINCT url, day, lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1), '^.*@', ''), ':[0-9]*$', ''), '[.]+$', '')) AS host,
                  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1) AS path FROM captures),
 cut AS (SELECT *, string_split(host, '.') AS labels, string_split(path, '/') AS segments FROM parts WHERE host <> ''),
 keyed AS (SELECT url, day, 'domain' AS kind, unnest(list_transform(range(1, greatest(len(labels), 2)), lambda i: array_to_string(labels[i:], '.'))) AS pattern FROM cut
@@ -151,14 +155,26 @@ SELECT c.page_id, c.url, strftime(c.day, '%Y-%m-%d') AS day, coalesce(h.lists, '
        CASE WHEN h.lists IS NOT NULL AND NOT h.allowed THEN 'block' ELSE 'allow' END AS verdict
 FROM captures c LEFT JOIN hits h ON c.url = h.url AND c.day = h.day"""
 
-_LETTERS = "".join(licenses.SENTENCES)
-_KNOWN = ", ".join(f"'{s}'" for s in licenses.SENTENCES.values())
-_NAMES = " ".join(f"WHEN '{r}' THEN '{n}'" for r, n in licenses.RULES.items())
+_KNOWN = ", ".join(f"'{s}'" for s in licenses.ALL_SENTENCES.values())
+_NUMBERED = ", ".join(f"'{licenses.rule_key((key,))}'" for key in licenses.ALL_SENTENCES)
+_NAMES = " ".join(f"WHEN '{licenses.rule_key(r)}' THEN '{n}'" for r, n in licenses.ALL_RULES.items())
+_SPDX = " ".join(f"WHEN '{i}' THEN '{n}'" for i, n in licenses.spdx_names().items())
+_PLAIN = "lower(text)"
+for _pattern, _by in licenses.STEPS:
+    _escaped = _pattern.replace("'", "''")
+    _by = "chr(10)" if _by == "\n" else f"'{_by}'"
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_escaped}', {_by}, 'g')"
+#: Without looking around: every separator is doubled, and a sentence takes one on either side.
 _LICENSE_SQL = f"""
-WITH sentences AS (SELECT doc_id, string_split_regex(lower(text), '{licenses.SENTENCE_END}') AS s FROM documents),
-letters AS (SELECT doc_id, array_to_string(list_transform(s, lambda x: coalesce(substr('{_LETTERS}', nullif(list_position([{_KNOWN}], trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), 0), 1), '')), '') AS seq FROM sentences),
-found AS (SELECT doc_id, unnest(regexp_extract_all(seq, '{licenses.rule_pattern()}')) AS rule FROM letters)
-SELECT doc_id, CASE rule {_NAMES} END AS license, count(*) AS matches FROM found GROUP BY ALL"""
+WITH plain AS (SELECT row_number() OVER () AS k, doc_id, text, regexp_replace('|' || trim({_PLAIN}) || '|', '([|/])', '\\1\\1', 'g') AS s FROM documents),
+sentences AS (SELECT k, doc_id, text, regexp_extract_all(s, '[|/]({licenses.sentence_pattern('(?: |//)')})[|/]', 1) AS known FROM plain),
+numbers AS (SELECT k, doc_id, text, array_to_string(list_transform(known, lambda x: list_extract([{_NUMBERED}], list_position([{_KNOWN}], replace(x, '//', ' ')))), '') AS seq FROM sentences),
+tokens AS (SELECT k, doc_id, unnest(list_transform(flatten(list_transform(regexp_extract_all(lower(text), '{licenses.SPDX_LINE}', 1), lambda line: regexp_extract_all(line, '{licenses.SPDX_TOKEN}'))),
+                                                   lambda t: string_split_regex(t, ' +with +'))) AS t FROM plain),
+named AS (SELECT k, doc_id, CASE t[1] {_SPDX} END || CASE WHEN len(t) > 1 THEN ' WITH ' || t[2] ELSE '' END AS license FROM tokens),
+rules AS (SELECT k, doc_id, unnest(regexp_extract_all(seq, '{licenses.rule_pattern()}')) AS rule FROM numbers),
+found AS (SELECT k, doc_id, CASE rule {_NAMES} END AS license FROM rules UNION ALL SELECT k, doc_id, license FROM named WHERE license IS NOT NULL)
+SELECT doc_id, license, count(*) AS matches FROM found GROUP BY k, doc_id, license"""
 
 _USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 _TOP_SQL = f"""
@@ -240,4 +256,19 @@ SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
 LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM c.conv_id"""
 
-ORACLES = {"op13_repair": _REPAIR_SQL, "op12_divergence": _AUDIT_SQL, "op5_url_filter": _URL_SQL, "op7_licenses": _LICENSE_SQL, "op8_maxscore": _TOP_SQL, "op9_mixing": _MIX_SQL}
+_JACCARD_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS shingles FROM d),
+sets AS (SELECT md5(array_to_string(list_sort(shingles), '|')) AS k, len(any_value(shingles)) AS n, any_value(shingles) AS shingles FROM s WHERE len(shingles) > 0 GROUP BY 1),
+entries AS (SELECT k, n, unnest(shingles) AS g FROM sets),
+shared AS (SELECT g FROM entries GROUP BY g HAVING count(*) > 1),
+few AS (SELECT e.* FROM entries e SEMI JOIN shared USING (g)),
+met AS (SELECT a.k AS u, b.k AS v FROM few a JOIN few b ON a.g = b.g AND a.k <> b.k AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+        GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT k, k AS r FROM sets UNION SELECT reach.k, met.v FROM reach JOIN met ON met.u = reach.r),
+docs AS (SELECT doc_id, len(shingles) AS n, md5(array_to_string(list_sort(shingles), '|')) AS k FROM s),
+least AS (SELECT reach.k, min(docs.doc_id) AS component_id FROM reach JOIN docs ON docs.k = reach.r AND docs.n > 0 GROUP BY reach.k)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component_id END AS component_id FROM docs LEFT JOIN least USING (k)"""
+
+ORACLES = {"op11_jaccard": _JACCARD_SQL, "op13_repair": _REPAIR_SQL, "op12_divergence": _AUDIT_SQL, "op5_url_filter": _URL_SQL, "op7_licenses": _LICENSE_SQL, "op8_maxscore": _TOP_SQL, "op9_mixing": _MIX_SQL}

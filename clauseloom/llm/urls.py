@@ -9,13 +9,16 @@ Equal captures (same URL, same day) are judged once, so that neither a page fetc
 weigh on the join by their number; a host with a third of all URLs is one join key against the few intervals of its entries,
 which the planner broadcasts when their size allows or splits as a skewed partition otherwise.
 
-Defined results: a URL that is null or has no host has no keys and is allowed; a null day meets no interval; events of
+Defined results: a URL that is null, or has no scheme or no host, has no keys and is allowed; user, port and a closing dot are no part of a host; a null day meets no interval; events of
 the same entry and day count in the order add, remove; an entry added twice in a row stays active; a removal without an
-addition does nothing; repeated captures each keep their row.
+addition does nothing; repeated captures each keep their row; columns
+``lists`` and ``verdict`` of the captures are replaced.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,8 +29,14 @@ from clauseloom.llm.common import named
 ALLOW = ("allow",)
 
 
+#: Of what stands between the slashes: a user and password, a port, the root's dot.
+NOT_HOST = (r"^.*@", r":[0-9]*$", r"[.]+$")
+
+
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
+    """The host in lower case, without user, port and closing dot."""
+    name = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)
+    return F.lower(reduce(lambda n, part: F.regexp_replace(n, part, ""), NOT_HOST, name))
 
 
 def path(url: Column) -> Column:
@@ -65,7 +74,9 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
     """``captures`` with ``lists`` (names of the lists active for a capture, sorted) and ``verdict``: ``allow`` where an
     allow list or no list is, ``block`` otherwise."""
     distinct = captures.select(named(url).alias("url_"), named(day).alias("day_")).distinct()
-    asked = distinct.withColumn("key", F.explode(keys(F.col("url_")))).select("url_", "day_", "key.kind", "key.pattern")
+    # A capture becomes many rows: without a key, the exchange is not coalesced into a few tasks.
+    parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = distinct.repartition(parts).withColumn("key", F.explode(keys(F.col("url_")))).select("url_", "day_", "key.kind", "key.pattern")
     active = (F.col("day_") >= F.col("since")) & (F.col("until").isNull() | (F.col("day_") < F.col("until")))
     hits = asked.join(entries, ["kind", "pattern"]).filter(active).groupBy("url_", "day_").agg(
         F.array_sort(F.collect_set("list")).alias("lists")
