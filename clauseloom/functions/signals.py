@@ -60,10 +60,6 @@ def has_delimiter(text: Column) -> Column:
     return _contains_any(text, *fv.SENTENCE_MARKS) | full_stop
 
 
-# After a mark always; after a full stop only before whitespace or the end.
-SENTENCE_BREAK = rf"(?<=[{fv.SENTENCE_MARKS}.])(?:(?<!\.)|(?={fv.WS}|\z))"
-
-
 class Rule(NamedTuple):
     """One row of a user lexicon."""
 

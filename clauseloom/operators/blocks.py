@@ -1,7 +1,7 @@
 """Plain text → physical-line blocks with UTF-16 offsets, headings and section paths.
 
-A document is one row and stays one row until its blocks are exploded: offsets are in-row prefix
-sums and the heading stack is an in-row fold, so text is never shuffled or sorted.
+A document is one row and stays one row until its blocks are exploded: offsets and heading stacks are worked out in the row, so text is never shuffled
+or sorted. ``bigtext`` does the same for documents that are too large for a row.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.functions.signals import txt_heading
-from clauseloom.functions.text import canonicalize, let, running_starts, utf16_length
+from clauseloom.functions.spans import line_ranges, open_titles
+from clauseloom.functions.text import canonicalize
 
 
 def canonical_documents(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -18,97 +19,30 @@ def canonical_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(text, canonicalize(F.col(text)))
 
 
-def _line_structs(text: Column) -> Column:
-    """array<struct<line_no, line, text_start, text_end>> of the non-empty physical lines."""
-
-    def place(lines: Column, units: Column) -> Column:
-        starts = running_starts(F.transform(units, lambda n: n + 1))
-        return let(
-            starts,
-            lambda at: F.transform(
-                lines,
-                lambda line, i: F.struct(
-                    (i + 1).cast("long").alias("line_no"),
-                    line.alias("line"),
-                    at[i].alias("text_start"),
-                    (at[i] + units[i]).alias("text_end"),
-                ),
-            ),
-        )
-
-    every = let(
-        F.split(text, "\n", -1),
-        lambda lines: let(F.transform(lines, utf16_length), lambda units: place(lines, units)),
-    )
-    return F.filter(every, lambda b: F.length(b["line"]) > 0)
+def _numbered(found: Column, *more: tuple[str, Column]) -> Column:
+    """Blocks with their numbers, and the elements of further arrays beside them."""
+    return F.transform(found, lambda b, i: F.struct(
+        (i + 1).cast("long").alias("block_no"), *[b[name].alias(name) for name in ("line_no", "line", "text_start", "text_end")],
+        *[column[i].alias(name) for name, column in more],
+    ))
 
 
 def line_blocks(docs: DataFrame) -> DataFrame:
     """One row per non-empty physical line of ``docs(doc_id, text)``; blank lines only count."""
-    numbered = F.transform(
-        _line_structs(F.col("text")),
-        lambda b, i: F.struct(
-            (i + 1).cast("long").alias("block_no"),
-            *[b[name].alias(name) for name in ("line_no", "line", "text_start", "text_end")],
-        ),
-    )
-    return docs.select("doc_id", F.inline(numbered))
-
-
-def _open_paths(headings: Column) -> Column:
-    """Titles still open at each heading: a heading closes those of its own level or deeper."""
-    none = F.array().cast("array<struct<level:int,title:string>>")
-    start = F.struct(none.alias("open"), F.array().cast("array<array<string>>").alias("paths"))
-
-    def step(acc: Column, heading: Column) -> Column:
-        opened = F.concat(
-            F.filter(acc["open"], lambda e: e["level"] < heading["level"]), F.array(heading)
-        )
-        return let(
-            opened,
-            lambda now: F.struct(
-                now.alias("open"),
-                F.concat(acc["paths"], F.array(F.transform(now, lambda e: e["title"]))).alias("paths"),
-            ),
-        )
-
-    return F.aggregate(headings, start, step, lambda acc: acc["paths"])
+    return docs.select("doc_id", line_ranges("text").alias("found")).select("doc_id", F.inline(_numbered(F.col("found"))))
 
 
 def sectioned_blocks(docs: DataFrame) -> DataFrame:
     """``line_blocks`` plus ``kind`` (heading | paragraph), ``level``, ``title``, ``section_path``."""
-
-    def attach(found: Column, headings: Column) -> Column:
-        marks = F.transform(headings, lambda h: F.when(h.isNotNull(), 1).otherwise(0).cast("long"))
-        seen_before = running_starts(marks)
-        paths = _open_paths(F.filter(headings, lambda h: h.isNotNull()))
-
-        def rows(before: Column, open_at: Column) -> Column:
-            def row(b: Column, i: Column) -> Column:
-                heading = headings[i]
-                latest = (before[i] + F.when(heading.isNotNull(), 0).otherwise(-1)).cast("int")
-                return F.struct(
-                    (i + 1).cast("long").alias("block_no"),
-                    *[b[name].alias(name) for name in ("line_no", "line", "text_start", "text_end")],
-                    F.when(heading.isNotNull(), "heading").otherwise("paragraph").alias("kind"),
-                    heading["level"].alias("level"),
-                    heading["title"].alias("title"),
-                    F.coalesce(F.get(open_at, latest), F.array().cast("array<string>")).alias(
-                        "section_path"
-                    ),
-                )
-
-            return F.transform(found, row)
-
-        return let(seen_before, lambda before: let(paths, lambda open_at: rows(before, open_at)))
-
-    blocks = let(
-        _line_structs(F.col("text")),
-        lambda found: let(
-            F.transform(found, lambda b: txt_heading(b["line"])), lambda hs: attach(found, hs)
-        ),
+    found = docs.select("doc_id", line_ranges("text").alias("found"))
+    headed = found.withColumn("headings", F.transform("found", lambda b: txt_heading(b["line"])))
+    pathed = headed.withColumn("paths", open_titles("headings"))
+    blocks = pathed.select("doc_id", F.inline(_numbered(F.col("found"), ("heading", F.col("headings")), ("section_path", F.col("paths")))))
+    return blocks.select(
+        "doc_id", "block_no", "line_no", "line", "text_start", "text_end",
+        F.when(F.col("heading").isNotNull(), "heading").otherwise("paragraph").alias("kind"),
+        F.col("heading.level").alias("level"), F.col("heading.title").alias("title"), "section_path",
     )
-    return docs.select("doc_id", F.inline(blocks))
 
 
 def rebuilt_text(blocks: DataFrame) -> DataFrame:

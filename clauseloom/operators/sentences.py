@@ -2,55 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.functions.signals import SENTENCE_BREAK
-from clauseloom.functions.text import let, ltrim_ws, running_starts, trim_ws, utf16_length
-
-
-def _pieces(text: Column) -> Column:
-    return let(
-        F.split(text, SENTENCE_BREAK, -1),
-        lambda parts: let(
-            running_starts(F.transform(parts, utf16_length)),
-            lambda starts: F.transform(
-                parts,
-                lambda raw, i: F.struct(
-                    (i + 1).alias("piece_no"), raw.alias("raw"), starts[i].alias("offset")
-                ),
-            ),
-        ),
-    )
+from clauseloom.functions.spans import sentence_pieces, sentence_quotes
 
 
 def raw_pieces(blocks: DataFrame, text: str = "line") -> DataFrame:
     """Every piece between sentence breaks, untrimmed, with its offset inside the block."""
-    carried = [c for c in blocks.columns]
-    return blocks.select(*carried, F.inline(_pieces(F.col(text))))
-
-
-def _trimmed(text: Column) -> Column:
-    def describe(raw: Column, piece_no: Column, start: Column) -> Column:
-        return let(
-            trim_ws(raw),
-            lambda quote: F.struct(
-                piece_no.alias("piece_no"),
-                quote.alias("quote"),
-                # Whitespace is never astral, so the leading cut is the same in both length units.
-                (start + F.length(raw) - F.length(ltrim_ws(raw))).alias("lead"),
-                utf16_length(quote).alias("units"),
-            ),
-        )
-
-    pieces = F.transform(_pieces(text), lambda p: describe(p["raw"], p["piece_no"], p["offset"]))
-    return F.filter(pieces, lambda p: p["units"] > 0)
+    return blocks.select(*blocks.columns, F.inline(sentence_pieces(text)))
 
 
 def split_sentences(blocks: DataFrame, text: str = "line", start: str = "text_start") -> DataFrame:
     """One row per non-blank sentence: edges trimmed, offsets shifted, inner text untouched."""
-    carried = [c for c in blocks.columns]
-    rows = blocks.select(*carried, F.inline(_trimmed(F.col(text))))
+    rows = blocks.select(*blocks.columns, F.inline(sentence_quotes(text)))
     return (
         rows.withColumn("quote_start", F.col(start) + F.col("lead"))
         .withColumn("quote_end", F.col(start) + F.col("lead") + F.col("units"))

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from clauseloom.functions import fixed_values as fv
 from clauseloom.functions import signals
 from clauseloom.functions import text as tx
+from clauseloom.operators import bigtext, lexicon
 from clauseloom.operators import blocks as bl
 from clauseloom.operators import requirements as rq
 from clauseloom.operators import sentences as se
 from clauseloom.plans.catalog import entry
 from clauseloom.plans.oracle_parts import delimiter, hard, score, u16
-from clauseloom.sources.derived import corpus, derive
+from clauseloom.sources.derived import corpus, derive, table
 
 
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +120,28 @@ def _rule_query(name: str, column: str, sql: str, test) -> None:
         )
 
 
+@entry(
+    "txt_scan_blocks",
+    ("pathed",),
+    "SELECT doc_id, block_no, line_no, text_start, text_end, kind, level, title, array_to_string(path, '|') AS section_path FROM pathed",
+)
+def txt_scan_blocks(spark, sf_dir):
+    lines = bigtext.split_lines(canonical(spark, sf_dir), lines_a_chunk=64)
+    return bigtext.sectioned_blocks(lines).drop("line")
+
+
+@entry(
+    "pos_scan_offsets",
+    ("sentences", "all_lines"),
+    """SELECT o.doc_id, o."offset", l.line_no AS line, o."offset" - l.text_start AS "column" FROM (
+         SELECT doc_id, quote_start AS "offset" FROM sentences UNION ALL SELECT doc_id, quote_end FROM sentences) o
+       JOIN all_lines l ON l.doc_id = o.doc_id AND o."offset" BETWEEN l.text_start AND l.text_start + l.n""",
+)
+def pos_scan_offsets(spark, sf_dir):
+    ends = sentences(spark, sf_dir).select("doc_id", F.explode(F.array("quote_start", "quote_end")).alias("offset"))
+    return bigtext.positions_at(bigtext.split_lines(canonical(spark, sf_dir), lines_a_chunk=64), ends)
+
+
 _rule_query("rule_hard", "hard_hits", hard("quote"), signals.has_hard)
 _rule_query("rule_score", "score_hits", score("quote"), signals.has_score)
 _rule_query("rule_any", "signal_hits", f"{hard('quote')} OR {score('quote')}", signals.has_signal)
@@ -140,6 +163,26 @@ def rule_table_tag(spark, sf_dir):
     return tagged.filter("is_hard OR is_score OR is_licence")
 
 
+#: A user's lexicon made from the parts: a rule per part and one per kind of goods, and one without any literal.
+_LEXICON = """
+    SELECT CAST(p_partkey AS BIGINT) AS rule_id, concat('size-', CAST(p_size % 5 AS STRING)) AS signal,
+           concat('(?i)(^|[^a-z0-9])(supplier|bidder|item) ', CAST(p_partkey AS STRING), '($|[^a-z0-9])') AS pattern FROM {part}
+    UNION ALL SELECT -1 - min(p_partkey), 'goods', concat('(?i)', p_name) FROM {part} GROUP BY p_name
+    UNION ALL SELECT -1000000000, 'long-number', '[0-9][0-9][0-9][0-9]'"""
+
+
+@entry(
+    "rule_lexicon_tag",
+    ("sentences",),
+    f"""SELECT doc_id, line_no, piece_no, rule_id, signal FROM sentences JOIN (
+          SELECT *, CASE signal WHEN 'goods' THEN lower(substr(pattern, 5)) WHEN 'long-number' THEN '' ELSE ' ' || rule_id END AS l FROM ({_LEXICON.format(part='part')}))
+        ON contains(lower(quote), l) AND regexp_matches(quote, pattern)""",
+)
+def rule_lexicon_tag(spark, sf_dir):
+    rules = spark.sql(_LEXICON, part=table(spark, sf_dir, "part"))
+    return lexicon.Lexicon(rules).tag(sentences(spark, sf_dir), "quote", "doc_id", "line_no", "piece_no")
+
+
 @entry(
     "req_candidates",
     ("candidates",),
