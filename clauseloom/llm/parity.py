@@ -6,14 +6,14 @@ A document's set holds the hashes of its distinct word shingles. Two sets of siz
 * *Size bands.* Bands grow by ``whole / part``, so partners lie in one band or in neighbours. A band bounds d for all its pairs by some D.
 * *Parity sketch.* For its band (and for the one below, where it may be the larger partner) a set is dealt by hash to D + 1 parts of 64 bits each, and a bit
   tells whether an odd number of shingles fell on it. The Hamming distance of two sketches is at most d.
-* *Pigeonhole.* Of D + 1 parts at least one has no differing shingle, so its bits are equal: sets meet under the words of their parts, and no
-  pair is missed. A part with few odd bits would bring many sets together; it is joined only along with the part after it, and that part within
-  one shingle: the following part's word, or the word less one of its shingles. That is enough, for if each untouched part were
-  weak and followed by a part with two differences or more, there would be more than D of them.
+* *Pigeonhole.* Of D + 1 parts at least one has no differing shingle, so its word is equal: sets meet under the words of their parts, and no
+  pair is missed. More is true: with the parts in a ring, one of them is such that it and the l - 1 parts after it differ in at most l - 1 bits, for
+  every l. So the part after an equal part differs in one bit at most, and agrees in one of its halves.
 * Pairs that meet are discarded by their sizes and by the Hamming distance of whole sketches; survivors are verified on their texts.
 * Only links between classes matter. First members of a key meet one member of it, and each is verified against the one with
   which it shares most keys, for some rounds, each with other members: a large group of near copies becomes one class without its
-  pairs being tried. Then every pair that still lies in two classes is tried.
+  pairs being tried. Then every pair that still lies in two classes is tried, under keys that a half of the next part makes finer, so that texts
+  which share a passage, or parts with hardly any odd bit, do not meet for that alone; and only where the parts after it allow a link.
 
 Sets are compared by 64-bit hashes of their shingles, told apart by 128 bits, and numbered by a written table. Copies, and texts of equal sets, are one
 row in all this. Pairs of one class are not enumerated (a group of n near copies has n² / 2 of them), so no number of links is given.
@@ -38,8 +38,10 @@ from clauseloom.llm.components import components
 from clauseloom.session import materialize
 
 SEED, RUN, REMEMBERED = 42, 1 << 20, 200_000
-#: A part with at most so many odd bits is joined along with the part after it.
+#: A part with at most so many odd bits is in many sets; it is a key of the last step only.
 WEAK_BITS = 2
+#: Parts after an equal one whose differences are added up.
+RING = 4
 #: Rounds in which members of a key meet one of them; they decide on speed alone.
 ROUNDS = 3
 ODD_A, ODD_B, ODD_C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -101,50 +103,32 @@ def size_bands(ratio: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(least, np.int64), np.array(parts, np.int64)
 
 
-def sketch(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words of a sorted set's parts, where each part's shingles start, and each shingle's bit."""
+def sketch(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The words of a sorted set's parts."""
     # By the upper half of a hash, so sorted shingles are in order of parts.
     part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     starts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-    bits = np.uint64(1) << (hashes & np.uint64(63))
-    folded = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bits)])
-    return folded[starts[1:]] ^ folded[starts[:-1]], starts, bits
+    folded = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.uint64(1) << (hashes & np.uint64(63)))])
+    return folded[starts[1:]] ^ folded[starts[:-1]]
 
 
-def weak_keys(words: np.ndarray, starts: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Keys of the parts with few odd bits: the part, its word, and what the part after it is, or would be without one of its shingles."""
-    made = []
-    for i in np.flatnonzero(np.bitwise_count(words) <= WEAK_BITS):
-        j = (i + 1) % len(words)
-        after = words[j] ^ np.unique(np.append(bits[starts[j] : starts[j + 1]], np.uint64(0)))
-        here = _mixed(words[i : i + 1] ^ _mixed(np.array([i + 1], np.uint64) * ODD_A))
-        made.append(_mixed(here * ODD_A + after))
-    return np.concatenate([np.zeros(0, np.uint64), *made])
-
-
-SIGNATURE = "struct<hi:bigint,lo:bigint,n:int,band:int,own:array<bigint>,own_weak:array<bigint>,up:array<bigint>,up_weak:array<bigint>>"
+SIGNATURE = "struct<hi:bigint,lo:bigint,n:int,band:int,own:array<bigint>,up:array<bigint>>"
 
 
 def signature(text: Column, ratio: tuple[int, int], shingle: int) -> Column:
-    """The set's hash (``hi``, ``lo``), size, band, and its sketch and weak keys for its own band and for the one below (``up``)."""
+    """The set's hash (``hi``, ``lo``), size, band, and its sketch for its own band and for the one below (``up``)."""
     least, parts = size_bands(ratio)
     names = [f.split(":")[0] for f in SIGNATURE[7:-1].split(",")]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 4]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * 2]
     none = np.zeros(0, np.int64)
 
     def one(value: str) -> tuple:
         hashes = shingle_set(value, shingle)
         band = int(np.searchsorted(least, len(hashes), side="right")) - 1
-        arrays = []
-        for level in (band, band - 1):
-            # In bands of one part linked sets are equal.
-            if level < 0 or parts[level] == 1:
-                arrays += [none, none]
-            else:
-                made = sketch(hashes, int(parts[level]))
-                arrays += [made[0].view(np.int64), weak_keys(*made).view(np.int64)]
+        # In bands of one part linked sets are equal.
+        made = [sketch(hashes, int(parts[x])).view(np.int64) if x >= 0 and parts[x] > 1 else none for x in (band, band - 1)]
         both = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes(), SEED), ">i8")
-        return int(both[0]), int(both[1]), len(hashes), band, *arrays
+        return int(both[0]), int(both[1]), len(hashes), band, *made
 
     @F.arrow_udf(SIGNATURE)
     def signatures(texts: pa.Array) -> pa.Array:
@@ -173,19 +157,43 @@ def linked(u: Column, v: Column, ratio: tuple[int, int], shingle: int) -> Column
     return verified(u, v)
 
 
-def _entries(nodes: DataFrame) -> DataFrame:
-    """``(key, node, low)``: the keys of a set; ``low`` where the key is of its own band."""
+def _entries(nodes: DataFrame, weak: bool) -> DataFrame:
+    """``(key, node, low, i)``: the parts of a set; ``low`` where the part is of its own band. Parts with few odd bits, or the others."""
     made = []
     for low, words in ((True, "own"), (False, "up")):
         level = F.col("band") if low else F.col("band") - 1
         # A row becomes many: without a key, the exchange is not coalesced.
-        parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = nodes.filter(F.size(words) > 0).select("node", level.alias("level"), words, f"{words}_weak").repartition(parts)
-        strong = rows.select("node", "level", F.posexplode(words).alias("i", "word")).filter(F.bit_count("word") > WEAK_BITS)
-        weak = rows.select("node", "level", F.explode(f"{words}_weak").alias("word"))
-        weak = weak.select("node", F.xxhash64("level", F.lit(-1), "word").alias("key"))
-        made += [strong.select("node", F.xxhash64("level", "i", "word").alias("key")).withColumn("low", F.lit(low)), weak.withColumn("low", F.lit(low))]
-    return made[0].union(made[1]).union(made[2]).union(made[3]).select("key", "node", "low")
+        tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = nodes.filter(F.size(words) > 0).select("node", level.alias("level"), words).repartition(tasks)
+        rows = rows.select("node", "level", F.posexplode(words).alias("i", "word")).filter((F.bit_count("word") <= WEAK_BITS) == weak)
+        made.append(rows.select(F.xxhash64("level", "i", "word").alias("key"), "node", F.lit(low).alias("low"), "i"))
+    return made[0].union(made[1])
+
+
+def _meeting(entries: DataFrame, of: str, label: str, key: str = "key") -> DataFrame:
+    """Entries under keys with different values of ``of`` and a set of the key's own band (any other pair has another key, too)."""
+    spread = entries.groupBy(key).agg(F.min(of).alias("least"), F.max(of).alias("most"), F.bool_or("low").alias("any_low"))
+    return materialize(entries.join(spread.filter("any_low AND least < most").select(key), key), label)
+
+
+def _next_parts(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Entries under finer keys: the part's key and a half of the part after it, twice; ``w1``... are the words of the parts after it."""
+    words = F.when(F.col("low"), F.col("own")).otherwise(F.col("up"))
+    joined = entries.join(nodes.select("node", "own", "up"), "node")
+    after = [F.get(words, (F.col("i") + k) % F.size(words)).alias(f"w{k}") for k in range(1, RING + 1)]
+    rows = joined.select("key", "node", "root", "low", *after)
+    half = F.when(F.col("half") == 0, F.col("w1").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).otherwise(F.shiftrightunsigned("w1", 32))
+    rows = rows.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
+    return rows.withColumn("key", F.xxhash64("key", "half", half)).drop("half")
+
+
+def _allowed() -> Column:
+    """Whether the parts after an equal one leave a link possible, from this part on."""
+    total, fits = F.lit(0), F.lit(True)
+    for k in range(1, RING + 1):
+        total = total + F.bit_count(F.col(f"w{k}_u").bitwiseXOR(F.col(f"w{k}_v")))
+        fits = fits & (total <= k)
+    return fits
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, ratio: tuple[int, int]) -> DataFrame:
@@ -203,45 +211,50 @@ def _possible(pairs: DataFrame, nodes: DataFrame, ratio: tuple[int, int]) -> Dat
 
 
 def links(nodes: DataFrame, texts: DataFrame, ratio: tuple[int, int], shingle: int) -> DataFrame:
-    """``nodes(node, n, band, own, own_weak, up, up_weak, doc, th)`` and ``texts(text_doc, text_th, text)`` → ``(u, v)``: linked pairs, enough of
+    """``nodes(node, n, band, own, up, doc, th)`` and ``texts(text_doc, text_th, text)`` → ``(u, v)``: linked pairs, enough of
     them for the classes."""
-    entries = _entries(nodes)
-    # A key without a set of its own band has no pair that another key does not have.
-    spread = entries.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.bool_or("low").alias("any_low"))
-    spread = spread.filter("any_low AND least < most").select("key")
-    shared = materialize(entries.join(spread, "key"), "parity-keys")
-    wanted = shared.select("node").distinct()
-    held = texts.join(nodes.select("node", "doc", "th").join(wanted, "node"), F.col("text_doc").eqNullSafe(F.col("doc")) & (F.col("text_th") == F.col("th")))
-    held = materialize(held.groupBy("node").agg(F.any_value("text").alias("text")), "parity-texts")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(_possible(pairs, nodes, ratio), "parity-pairs")
+    shared = _meeting(_entries(nodes, weak=False), "node", "parity-keys")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        named_texts = nodes.select("node", "doc", "th").join(wanted, "node")
+        held = texts.join(named_texts, F.col("text_doc").eqNullSafe(F.col("doc")) & (F.col("text_th") == F.col("th")))
+        return materialize(held.groupBy("node").agg(F.any_value("text").alias("text")), "parity-texts")
+
+    def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
         both = pairs.join(held.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v").join(
             held.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u"
         )
         return materialize(both.filter(linked(F.col("text_u"), F.col("text_v"), ratio, shingle)).select("u", "v"), "parity-found")
 
-    found = None
-    apart = shared.withColumn("root", F.col("node"))
+    def rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
+        roots = components(found, "parity-stars").withColumnRenamed("node", "of").withColumnRenamed("root", "least_root")
+        roots = materialize(roots, "parity-roots")
+        return rows.join(roots, F.col("node") == F.col("of"), "left").select("key", "node", "low", "i", F.coalesce("least_root", "node").alias("root"))
+
+    held = texts_of(shared.select("node").distinct())
+    found, apart = None, shared.withColumn("root", F.col("node"))
     for turn in range(ROUNDS):
         order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
         hubs = apart.groupBy("key").agg(F.min(F.when(F.col("low"), F.struct(order.alias("order"), "node", "root"))).alias("hub"))
-        met = apart.join(hubs.filter("hub IS NOT NULL"), "key").filter("root <> hub.root").select(F.col("node").alias("v"), F.col("hub.node").alias("u"))
+        met = apart.join(hubs, "key").filter("root <> hub.root").select(F.col("node").alias("v"), F.col("hub.node").alias("u"))
         met = met.groupBy("v", "u").agg(F.count("*").alias("keys")).groupBy("v").agg(F.max(F.struct("keys", "u")).alias("best"))
-        more = verified(met.select(F.col("best.u").alias("u"), "v"))
+        pairs = materialize(_possible(met.select(F.col("best.u").alias("u"), "v"), nodes, ratio), "parity-pairs")
+        more = verified(pairs, held)
         found = more if found is None else materialize(found.union(more), "parity-links")
-        roots = components(found, "parity-stars").withColumnRenamed("node", "of").withColumnRenamed("root", "least_root")
-        rooted = shared.join(roots, F.col("node") == F.col("of"), "left").select("key", "node", "low", F.coalesce("least_root", "node").alias("root"))
-        rooted = materialize(rooted, "parity-rooted")
-        open_ = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.bool_or("low").alias("any_low"))
-        apart = materialize(rooted.join(open_.filter("any_low AND a < b").select("key"), "key"), "parity-apart")
+        apart = _meeting(rooted(shared, found), "root", "parity-apart")
         if apart.isEmpty():
-            return found
-    a, b = (apart.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "low")]) for s in "uv")
+            break
+    weak = _meeting(rooted(_meeting(_entries(nodes, weak=True), "node", "parity-weak"), found), "root", "parity-apart")
+    finer = _meeting(_next_parts(apart.unionByName(weak), nodes), "root", "parity-finer")
+    a, b = (finer.select("key", *[F.col(c).alias(f"{c}_{s}") for c in finer.columns if c != "key"]) for s in "uv")
     # The first of a pair is of the key's own band; of two such sets, the lesser.
     pair = (a["key"] == b["key"]) & F.col("low_u") & (F.col("root_u") != F.col("root_v")) & (~F.col("low_v") | (F.col("node_u") < F.col("node_v")))
-    met = a.join(b.hint("merge"), pair).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
-    return found.union(verified(met))
+    met = a.join(b.hint("merge"), pair & _allowed()).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
+    pairs = materialize(_possible(met, nodes, ratio), "parity-pairs")
+    if pairs.isEmpty():
+        return found
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(held.select("node"), "node", "left_anti")
+    return found.union(verified(pairs, held.union(texts_of(wanted))))
 
 
 def jaccard_classes(
@@ -250,7 +263,7 @@ def jaccard_classes(
     """``(doc_id, n_shingles, component_id)``: one row per row of ``docs``."""
     columns = [named(doc_id).alias("doc_id"), F.xxhash64(named(text)).alias("th"), signature(named(text), ratio, shingle).alias("sign")]
     marked = materialize(docs.select(*columns).select("doc_id", "th", "sign.*"), "parity")
-    shape = ("n", "band", "own", "own_weak", "up", "up_weak")
+    shape = ("n", "band", "own", "up")
     made = marked.filter("n > 0").groupBy("hi", "lo").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "th")).alias("first"), F.any_value(F.struct(*shape)).alias("shape")
     )

@@ -76,14 +76,9 @@ def test_bands_cover_partners():
         assert all(19 * d > a + b or d < parts[band(a)] for b in (a, most) for d in range(int(parts[band(a)]) + 3))
 
 
-def keys_of(tokens, parts):
-    words, starts, bits = parity.sketch(np.sort(tokens), parts)
-    strong = {(i, int(w)) for i, w in enumerate(words) if int(w).bit_count() > parity.WEAK_BITS}
-    return strong | {("weak", int(k)) for k in parity.weak_keys(words, starts, bits)}, words
-
-
 @pytest.mark.parametrize("size", [9, 14, 20, 33, 80, 500])
-def test_linked_sets_share_a_key(size):
+def test_linked_sets_meet(size):
+    """Some part is equal, the next one agrees in a half, and the parts after it allow a link."""
     rng = np.random.default_rng(size)
     least, parts = parity.size_bands((9, 10))
     count = int(parts[int(np.searchsorted(least, size, side="right")) - 1])
@@ -91,9 +86,16 @@ def test_linked_sets_share_a_key(size):
         a = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, size, dtype=np.uint64)
         gone = int(rng.integers(0, count))
         b = np.concatenate([a[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, count - gone)), dtype=np.uint64) * np.uint64(2)])
-        (x, s), (y, t) = keys_of(a, count), keys_of(b, count)
-        assert len(set(a) ^ set(b)) < count and x & y
-        assert sum(int(p).bit_count() for p in s ^ t) <= len(set(a) ^ set(b))
+        differ = parity.sketch(np.sort(a), count) ^ parity.sketch(np.sort(b), count)
+        bits = [int(x).bit_count() for x in differ]
+        assert sum(bits) <= len(set(a) ^ set(b)) < count
+
+        def meets(i, bits=bits, differ=differ):
+            ring = [bits[(i + k) % count] for k in range(parity.RING + 1)]
+            after = int(differ[(i + 1) % count])
+            return not bits[i] and all(sum(ring[: k + 1]) <= k for k in range(len(ring))) and (after & 0xFFFFFFFF == 0 or after >> 32 == 0)
+
+        assert any(map(meets, range(count)))
 
 
 @pytest.mark.parametrize("rounds", [1, 3])
