@@ -169,7 +169,7 @@ def deliveries(log: DataFrame, tasks: DataFrame) -> DataFrame:
 
     Terminal or deleted tasks are acknowledged without effect.
     """
-    once = log.dropDuplicates(["event_id"])
+    once = log.dropDuplicates(["tenant_id", "event_id"])
     state = tasks.select("tenant_id", F.col("id").alias("task_id"), "status")
     known = once.join(state, ["tenant_id", "task_id"], "left")
     terminal = F.col("status").isNull() | F.col("status").isin("succeeded", "failed")

@@ -154,8 +154,9 @@ def newest_version(current: DataFrame, incoming: DataFrame, *keys: str) -> DataF
 
 
 def bulk_assign(requirements: DataFrame, chosen: DataFrame, owner: str, section: str) -> DataFrame:
-    """Requirements whose id is in ``chosen`` get owner and section and move to drafting."""
-    flagged = requirements.join(chosen.select("id").distinct().withColumn("hit", F.lit(True)), "id", "left")
+    """Requirements whose tenant and id are in ``chosen`` get owner and section and move to drafting."""
+    picked = chosen.select("tenant_id", "id").distinct().withColumn("hit", F.lit(True))
+    flagged = requirements.join(picked, ["tenant_id", "id"], "left")
     hit = F.coalesce("hit", F.lit(False))
 
     def put(name: str, value: str) -> Column:

@@ -101,6 +101,25 @@ def sink_requirements(spark, sf_dir):
     return sinks.read_requirements(spark, path).select(*rows.columns)
 
 
+@entry(
+    "sink_published",
+    ("requirements", "parse_tasks"),
+    """SELECT t.tenant_id, t.id AS task_id, t.status, r.id, r.code, r.title FROM parse_tasks t
+       LEFT JOIN requirements r ON r.tenant_id = t.tenant_id AND r.task_id = t.id WHERE t.status IN ('succeeded', 'failed') AND t.id < 'Tc'""",
+)
+def sink_published(spark, sf_dir):
+    """Finished tasks and their results in three batches: the first is replayed, and of a fourth only the results get written."""
+    path = scratch_path(spark, "published")
+    tasks = derive(spark, sf_dir, "parse_tasks").filter("status IN ('succeeded', 'failed')").select("tenant_id", "id", "status")
+    requirements = derive(spark, sf_dir, "requirements").select("tenant_id", "task_id", "id", "code", "title")
+    bounds = [("", "T4"), ("T4", "T8"), ("T8", "Tc"), ("", "T4")]
+    for batch, (low, high) in zip((1, 2, 3, 1), bounds, strict=True):
+        sinks.publish(requirements.filter((F.col("task_id") >= low) & (F.col("task_id") < high)), tasks.filter((F.col("id") >= low) & (F.col("id") < high)), path, batch)
+    requirements.filter("task_id >= 'Tc'").write.parquet(f"{path}/requirements/batch=4/attempt=lost")
+    states = sinks.published(spark, path, "tasks").withColumnRenamed("id", "task_id")
+    return states.join(sinks.published(spark, path, "requirements"), ["tenant_id", "task_id"], "left").select("tenant_id", "task_id", "status", "id", "code", "title")
+
+
 @entry(
     "sink_object_layout",
     ("project_files",),

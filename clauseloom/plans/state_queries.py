@@ -167,27 +167,6 @@ def st_outbox_due(spark, sf_dir):
     )
 
 
-# The broker's answers: several for some events, none for others.
-_RECEIPTS = """
-    SELECT tenant_id, id AS event_id, NOT publish_fails AS delivered FROM {outbox} WHERE ascii(substr(id, 2, 1)) % 3 <> 0
-    UNION ALL SELECT tenant_id, id, publish_attempts % 2 = 0 FROM {outbox} WHERE ascii(substr(id, 3, 1)) % 4 = 1"""
-_HEARD = f"SELECT tenant_id, event_id, bool_or(delivered) AS delivered FROM ({_RECEIPTS.format(outbox='outbox')}) GROUP BY ALL"
-
-
-@entry(
-    "st_outbox_relay",
-    ("outbox",),
-    f"""SELECT id, attempts AS publish_attempts, CASE WHEN NOT delivered THEN 'released' ELSE 'published' END AS outcome,
-               CASE WHEN delivered THEN {_AT} END AS published_at,
-               CASE WHEN NOT delivered THEN strftime({_NOW} + CAST(least(pow(2, least(greatest(attempts - 1, 0), 16)), 60) AS INT) * INTERVAL '1' SECOND, {_F}) END AS available_at,
-               CASE WHEN NOT delivered THEN 'TASK_QUEUE_PUBLISH_FAILED' END AS error_code
-        FROM (SELECT o.*, h.delivered, publish_attempts + 1 AS attempts FROM outbox o JOIN ({_HEARD}) h ON h.tenant_id = o.tenant_id AND h.event_id = o.id WHERE {_FREE})""",
-)
-def st_outbox_relay(spark, sf_dir):
-    outbox = derive(spark, sf_dir, "outbox")
-    return ts.settle(outbox, spark.sql(_RECEIPTS, outbox=outbox), now())
-
-
 @entry(
     "st_dedup_delivery",
     ("outbox", "parse_tasks"),

@@ -9,8 +9,8 @@ from clauseloom.sources import notifications
 
 
 def deduplicated(events: DataFrame, horizon: str = "10 minutes") -> DataFrame:
-    """At-least-once input → each ``event_id`` once; state is dropped after the watermark horizon."""
-    return events.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["event_id"])
+    """At-least-once input → each ``(tenant_id, event_id)`` once; state is dropped after the watermark horizon."""
+    return events.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["tenant_id", "event_id"])
 
 
 def split_notifications(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,6 +15,8 @@ from clauseloom.streaming.transitions import OUTCOME_SCHEMA, STATE_SCHEMA, TaskS
 _COLUMNS = (
     "tenant_id", "task_id", "seq", "ts", "event", "outcome", "status", "attempt", "progress", "error", "dead_letter",
 )
+#: The outcome of an event that came behind the watermark.
+LATE = "late"
 _WAITING = "seq long, ts timestamp_ntz, event string, token long, lease_expires_at timestamp_ntz, error_code string"
 
 
@@ -30,6 +32,9 @@ def _known(value):
 class TaskFold(StatefulProcessor):
     """Keeps the events of a task until the watermark has passed them, then applies them in time order.
 
+    An event that the watermark has already passed when it arrives is too late to be put in order; it changes nothing and comes out with the
+    outcome ``late``, so that every input row comes out once.
+
     State per task: its waiting events (those of the watermark's delay), the folded state, and the time of the last
     applied event. A finished task is forgotten when more than
     ``retention_ms`` of event time pass without an event.
@@ -52,7 +57,7 @@ class TaskFold(StatefulProcessor):
         return state.status in ("succeeded", "failed")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, late, watermark = None, [], timerValues.getCurrentWatermarkInMs()
         for frame in rows:
             events = [
                 (
@@ -62,11 +67,17 @@ class TaskFold(StatefulProcessor):
                 )
                 for e in frame.itertuples(index=False)
             ]
-            self._waiting.appendList(events)
-            first = min([e[1] for e in events] + ([] if first is None else [first]))
+            late += [e for e in events if _millis(e[1]) <= watermark]
+            events = [e for e in events if _millis(e[1]) > watermark]
+            if events:
+                self._waiting.appendList(events)
+                first = min([e[1] for e in events] + ([] if first is None else [first]))
         if first is not None:
             self._handle.registerTimer(_millis(first))
-        return iter(())
+        if late:
+            state = self._load().snapshot()
+            out = [(key[0], key[1], seq, ts, event, LATE, *state) for seq, ts, event, *_ in late]
+            yield pd.DataFrame(out, columns=_COLUMNS).astype({"seq": "Int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Applies what the watermark has passed. With ``leases``, a running task whose lease has passed is reported as
@@ -113,22 +124,32 @@ def fold_stream(
 ) -> DataFrame:
     """Streaming ``events`` → verdict per event, like ``operators.taskstate.fold_events``.
 
-    Events up to ``delay`` behind the newest one are put in order, whatever micro-batch they come in; later ones are
-    dropped. A verdict is given once the watermark has passed its event. ``leases`` also reports expired leases.
+    Events up to ``delay`` behind the newest one are put in order, whatever micro-batch they come in; later ones come out as ``late``. A verdict is given once the watermark has passed its event. ``leases`` also reports expired leases.
     """
     at = F.expr("cast(convert_timezone('UTC', current_timezone(), ts) as timestamp)")
-    keyed = events.select(*FOLD_COLUMNS).withColumn("event_time", at).withWatermark("event_time", delay)
+    # The marked column ends here: the watermark goes on, but the engine does not drop late rows, which the processor is to report.
+    keyed = events.select(*FOLD_COLUMNS).withColumn("event_time", at).withWatermark("event_time", delay).select(*FOLD_COLUMNS)
     return keyed.groupBy("tenant_id", "task_id").transformWithStateInPandas(
         statefulProcessor=TaskFold(leases, retention_hours * 3_600_000), outputStructType=OUTCOME_SCHEMA,
         outputMode="Append", timeMode="EventTime",
     )
 
 
-def write_outcomes(outcomes: DataFrame, path: str, checkpoint: str):
-    """Writes verdicts by batch: a replayed batch overwrites its own folder, so effects never repeat."""
+def write_outcomes(outcomes: DataFrame, path: str, checkpoint: str, late_path: str | None = None):
+    """Writes verdicts by batch: a replayed batch overwrites its own folder, so effects never repeat. With ``late_path``, late events go to a
+    table of their own."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch = batch.withColumn("batch_id", F.lit(batch_id))
+        tables = [(batch, path)]
+        if late_path:
+            # The state store must not be asked twice for one batch.
+            batch = batch.persist()
+            is_late = F.col("outcome") == LATE
+            tables = [(batch.filter(~is_late), path), (batch.filter(is_late), late_path)]
+        for rows, target in tables:
+            rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        batch.unpersist()
 
     return (
         outcomes.writeStream.foreachBatch(write)

@@ -1,4 +1,7 @@
-from clauseloom.operators import views
+import pytest
+from pyspark.sql import functions as F
+
+from clauseloom.operators import taskstate, views
 from clauseloom.sources import sinks
 
 ROWS = "tenant_id string, task_id string, id string, title string"
@@ -33,3 +36,69 @@ def test_notes_are_trimmed_and_measured_in_units(spark):
 def test_the_same_id_under_two_tenants(spark):
     rows = spark.createDataFrame([("t", "p", "1"), ("u", "p", "1"), ("t", "q", "1")], "tenant_id string, project_id string, id string")
     assert views.scoped(rows, "t").count() == 2 and views.scoped(rows, "t", "p").count() == 1
+    chosen = rows.filter("tenant_id = 't' AND project_id = 'p'")
+    more = rows.withColumns({"owner": F.lit("o"), "section": F.lit("s"), "status": F.lit("x"), "confirmed": F.lit(False)}).filter("project_id = 'p'")
+    assert sorted(r.confirmed for r in views.bulk_assign(more, chosen, "new", "sec").collect()) == [False, True]
+
+
+def test_one_event_id_under_two_tenants(spark):
+    log = spark.createDataFrame([("t", "e", "A"), ("u", "e", "B"), ("t", "e", "A")], "tenant_id string, event_id string, task_id string")
+    tasks = spark.createDataFrame([("t", "A", "running"), ("u", "B", "failed")], "tenant_id string, id string, status string")
+    got = sorted(tuple(r) for r in taskstate.deliveries(log, tasks).collect())
+    assert got == [("e", "A", "process"), ("e", "B", "acknowledge")]
+
+
+TASKS = "tenant_id string, id string, status string"
+
+
+def test_a_batch_appears_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    states = lambda *rows: spark.createDataFrame(list(rows), TASKS)
+    results = lambda *rows: spark.createDataFrame(list(rows), ROWS)
+
+    def seen(name):
+        return sorted(tuple(r) for r in sinks.published(spark, path, name).collect())
+
+    assert sinks.publish(results(("t", "A", "1", "a")), states(("t", "A", "succeeded")), path, 0)
+    first = seen("requirements"), seen("tasks")
+
+    class Broken:
+        """Task states that cannot be written, as if the writer died between the two tables."""
+
+        def __getattr__(self, name):
+            raise RuntimeError("killed")
+
+    with pytest.raises(RuntimeError, match="killed"):
+        sinks.publish(results(("t", "B", "2", "b"), ("t", "A", "1", "newer")), Broken(), path, 1)
+    assert (seen("requirements"), seen("tasks")) == first
+
+    # Killed once more, before the commit alone is missing.
+    real = spark.createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, rows, schema=None, **k: Broken() if "attempt" in str(schema) else real(rows, schema, **k))
+    newer = real([("t", "B", "2", "b"), ("t", "A", "1", "newer")], ROWS), real([("t", "B", "succeeded"), ("t", "A", "failed")], TASKS)
+    with pytest.raises(RuntimeError, match="killed"):
+        sinks.publish(*newer, path, 1)
+    monkeypatch.undo()
+    assert (seen("requirements"), seen("tasks")) == first
+
+    assert sinks.publish(*newer, path, 1) and not sinks.publish(*newer, path, 1)
+    assert seen("requirements") == [("t", "A", "1", "newer"), ("t", "B", "2", "b")]
+    assert seen("tasks") == [("t", "A", "failed"), ("t", "B", "succeeded")]
+    # A later result without rows takes the earlier rows away.
+    assert sinks.publish(results(("t", "Z", "9", "z")).limit(0), states(("t", "A", "failed")), path, 2)
+    assert seen("requirements") == [("t", "B", "2", "b")]
+    # A second commit of a batch by another writer is not seen.
+    real([(2, "zzz", 0, 0)], "batch long, attempt string, requirements long, tasks long").write.mode("append").parquet(f"{path}/commits")
+    assert seen("requirements") == [("t", "B", "2", "b")]
+
+
+def test_a_stream_is_published_by_batches(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    for n in range(3):
+        spark.createDataFrame([("t", f"T{n}", "succeeded", f"r{n}")], "tenant_id string, id string, status string, title string").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("tenant_id string, id string, status string, title string").option("maxFilesPerTrigger", 1).parquet(source)
+    write = sinks.publisher(path, lambda b: b.select("tenant_id", "id", "status"), lambda b: b.selectExpr("tenant_id", "id as task_id", "title"))
+    for _ in range(2):
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(r.title for r in sinks.published(spark, path, "requirements").collect()) == ["r0", "r1", "r2"]
+    assert sinks.committed(spark, path).count() == 3

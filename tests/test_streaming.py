@@ -50,6 +50,27 @@ def test_shuffled_files_fold_as_in_a_batch(spark, sf_dir, tmp_path):
     assert sorted(streamed.collect()) == sorted(expected.collect())
 
 
+def test_late_events_come_out_as_rejects(spark, sf_dir, tmp_path):
+    log = derive(spark, sf_dir, "task_log").select(*ts.FOLD_COLUMNS).filter("task_id IN ('T1', 'T2', 'T3')")
+    source, out, checkpoint, late = (str(tmp_path / n) for n in ("in", "out", "cp", "late"))
+    rows = [tuple(r) for r in log.orderBy("ts", "seq").collect()]
+    behind, ahead = rows[: len(rows) // 4], rows[len(rows) // 4 :]
+    for part in (ahead, behind[::2], behind[1::2]):
+        _write(spark, part, log.schema, source)
+    _write(spark, [_later(0)], log.schema, source)
+    events = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    taskfold.write_outcomes(taskfold.fold_stream(events, delay="1 minute"), out, checkpoint, late).awaitTermination(300)
+    verdicts = sorted((r.task_id, r.seq) for r in spark.read.parquet(out).collect() if r.task_id != "SENTINEL")
+    rejects = sorted((r.task_id, r.seq) for r in spark.read.parquet(late).collect())
+    # Every input row comes out once, and the rest folds as if the late ones had never been.
+    assert sorted(verdicts + rejects) == sorted((r[1], r[2]) for r in rows)
+    # The first file set the watermark just behind its newest event.
+    assert set(rejects) >= {(r[1], r[2]) for r in behind} - {(r[1], r[2]) for r in ahead} and len(rejects) == len(behind)
+    expected = ts.fold_events(spark.createDataFrame(ahead, log.schema)).select(*COLUMNS)
+    got = spark.read.parquet(out).filter("task_id <> 'SENTINEL'").select(*COLUMNS)
+    assert sorted(got.collect()) == sorted(expected.collect())
+
+
 def test_an_expired_lease_is_reported_once_and_a_renewed_one_is_not(spark, tmp_path):
     schema = "tenant_id string, task_id string, seq long, ts timestamp_ntz, event string, token long, lease_expires_at timestamp_ntz, error_code string"
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
