@@ -119,8 +119,8 @@ ALL_RULES = RULES | {(key,): license_ for key, (_, license_) in _NAMED.items()}
 _NUMBERS = {key: n for n, key in enumerate(ALL_SENTENCES)}
 #: A text in steps to its normal form: "|" ends a sentence, "/" is a line break within one; neither survives from the text itself.
 STEPS = (
-    (r"[|/]", " "), (r"\r\n?", "\n"), (r"spdx.license.identifier:[^\n]*", " "), (r"\bv[.][ \t]+([0-9])", "v \1"), (r"[.!?;:]+([ \t\n]+|$)", "|"),
-    (r"\n([^a-z0-9\n|]*\n)+", "|"), (r"\n", "/"), (r"[^a-z0-9|/]+", " "), (r" *([|/]) *", "\1"),
+    (r"[|/]", " "), (r"\r\n?", "\n"), (r"spdx.license.identifier:[^\n]*", " "), (r"\bv[.][ \t]+([0-9])", r"v \1"), (r"[.!?;:]+([ \t\n]+|$)", "|"),
+    (r"\n([^a-z0-9\n|]*\n)+", "|"), (r"\n", "/"), (r"[^a-z0-9|/]+", " "), (r" *([|/]) *", r"\1"),
 )
 SPDX_LINE = r"spdx.license.identifier:[ \t]*([^\n\r]*)"
 SPDX_TOKEN = r"[a-z0-9][a-z0-9.+-]*( +with +[a-z0-9][a-z0-9.+-]*)?"

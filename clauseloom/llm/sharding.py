@@ -55,7 +55,7 @@ def rebalance(slot_map: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
     now = slot_map.select("version", "virtual_slot", "shard").join(loads, "virtual_slot")
     fair = F.sum("bytes").over(W.partitionBy("version")) / shards
     through = F.sum("bytes").over(W.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot"))
-    judged = now.withColumn("kept", (through <= fair) | (through == F.col("bytes")))
+    judged = now.withColumn("kept", (through <= fair) | (through == F.col("bytes")) | (F.col("bytes") == 0))
     slot = F.struct((-F.col("bytes")).alias("order"), "virtual_slot", "bytes", "shard", "kept")
     held = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.aggregate(
         F.filter("slots", lambda x: (x["shard"] == s) & x["kept"]), F.lit(0).cast("long"), lambda n, x: n + x["bytes"]
