@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import named, text_slices
+from clauseloom.llm.common import named, text_slices, tidy
 
 #: Piece lengths in bytes up to which a padded matrix is used; each bound is one bucket.
 BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128, 256)
@@ -348,8 +348,8 @@ class Codec:
     def __init__(self, spark: SparkSession, path: str, pattern: str, space_leads: bool = False):
         with open(path, "rb") as file:
             shared = spark.sparkContext.broadcast(file.read())
-        self._encode = F.arrow_udf(_encoder(shared, pattern, space_leads), "array<int>")
-        self._decode = F.arrow_udf(_decoder(shared, pattern), "binary")
+        self._encode = F.arrow_udf(tidy(_encoder(shared, pattern, space_leads)), "array<int>")
+        self._decode = F.arrow_udf(tidy(_decoder(shared, pattern)), "binary")
 
     def encode(self, text: Column) -> Column:
         """Token ids of a text (null: none)."""

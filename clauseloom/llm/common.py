@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +24,26 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, _BATCH_BYTES)
 
 
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(function: Callable[..., pa.Array]) -> Callable[..., pa.Array]:
+    """An Arrow function that gives freed memory back to the system after each batch. Allocators keep it otherwise, and a Python worker is used
+    again by later stages, so that an executor would hold the peaks of all stages at once."""
+
+    @wraps(function)
+    def run(*columns: pa.Array) -> pa.Array:
+        made = function(*columns)
+        release_memory()
+        return made
+
+    return run
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

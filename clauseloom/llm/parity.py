@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import named
+from clauseloom.llm.common import named, tidy
 from clauseloom.llm.components import components
 from clauseloom.session import materialize
 
@@ -131,6 +131,7 @@ def signature(text: Column, ratio: tuple[int, int], shingle: int) -> Column:
         return int(both[0]), int(both[1]), len(hashes), band, *made
 
     @F.arrow_udf(SIGNATURE)
+    @tidy
     def signatures(texts: pa.Array) -> pa.Array:
         made = [one(t.as_py() or "") for t in texts]
         return pa.StructArray.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names)
@@ -143,6 +144,7 @@ def linked(u: Column, v: Column, ratio: tuple[int, int], shingle: int) -> Column
     part, whole = ratio
 
     @F.arrow_udf("boolean")
+    @tidy
     def verified(us: pa.Array, vs: pa.Array) -> pa.Array:
         out, last, held = [], None, None
         for a, b in zip(us, vs, strict=True):

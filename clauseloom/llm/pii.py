@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import fresh, named
+from clauseloom.llm.common import fresh, named, tidy
 from clauseloom.session import materialize
 
 #: Kinds in their order; the last one is what the contexts find.
@@ -149,6 +149,7 @@ def scan(text: Column) -> Column:
     """Base spans and identifier-like tokens with their patterns, of a text column."""
 
     @F.arrow_udf(_FOUND)
+    @tidy
     def of_texts(texts: pa.Array) -> pa.Array:
         rows = []
         for value in texts:
@@ -248,6 +249,7 @@ def mask(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in angle brackets; overlapping spans go as one."""
 
     @F.arrow_udf("string")
+    @tidy
     def masked(texts: pa.Array, lists: pa.Array) -> pa.Array:
         out = []
         for value, found in zip(texts, lists, strict=True):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import fresh, named
+from clauseloom.llm.common import fresh, named, tidy
 from clauseloom.session import materialize
 
 #: Frequent function words of the corpus languages.
@@ -76,6 +76,7 @@ def statistics(text: Column) -> Column:
     """Statistics of a text column as an array of doubles."""
 
     @F.arrow_udf("array<double>")
+    @tidy
     def of_texts(texts: pa.Array) -> pa.Array:
         flat = [x for t in texts for x in text_statistics(t.as_py() or "")]
         return pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, WIDTH), pa.int32()), pa.array(flat, pa.float64()))
@@ -231,8 +232,8 @@ def quality_scores(
 def keep_quality(
     docs: DataFrame, labels: DataFrame, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Rows of ``docs`` scored at ``threshold`` or more. Statistics are made twice, once for the labelled rows and
-    once where the text is, so that no text is shuffled."""
+    """Rows of ``docs`` scored at ``threshold`` or more. Statistics are made twice, once for the rows outside fold 0, of which the labelled ones are
+    fitted, and once where the text is, so that no text is shuffled."""
     stats, = fresh(docs, "stats")
     rows = docs.select(named(doc_id).alias("doc_id"), statistics(named(text)).alias("stats"))
     model = fit(materialize(_training(rows, labels), "quality-training"))
