@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clauseloom.operators import checks as ck
-from clauseloom.plans.catalog import entry
+from clauseloom.operators import fields
+from clauseloom.plans.catalog import entry, with_ctes
 from clauseloom.sources.derived import derive, table
 
 
@@ -33,18 +34,53 @@ def chk_placeholders(spark, sf_dir):
     return ck.placeholders(spark.sql(_CONTENT, outline=derive(spark, sf_dir, "outline")))
 
 
+# What the notices' own columns say, without reading their texts.
+_SAID = """
+    SELECT tenant_id, project_id, doc_id, 'project_name' AS field, 2 AS line_no, 'works ' || substr(project_id, 2) || ' new site' AS value FROM notices
+    UNION ALL SELECT tenant_id, project_id, doc_id, 'bid_deadline', 4, '2026-' || lpad(CAST(CAST(substr(project_id, 2) AS BIGINT) % 9 + 1 AS VARCHAR), 2, '0') || '-' || day FROM notices
+    UNION ALL SELECT tenant_id, project_id, doc_id, 'budget', 5, 'CNY ' || amount || '0000' FROM notices
+    UNION ALL SELECT tenant_id, project_id, doc_id, 'duration', 6, CASE WHEN odd <> 3 THEN days || ' d' END FROM notices"""
+_VOTED = f"""said AS ({_SAID}), votes AS (SELECT tenant_id, project_id, field, value, count(DISTINCT doc_id) AS documents FROM said WHERE value IS NOT NULL GROUP BY ALL),
+    agreed AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY tenant_id, project_id, field) AS versions,
+                                     row_number() OVER (PARTITION BY tenant_id, project_id, field ORDER BY documents DESC, value) AS n FROM votes) WHERE n = 1)"""
+
+
+def _notice_fields(spark, sf_dir):
+    return fields.document_fields(derive(spark, sf_dir, "notices").select("tenant_id", "project_id", "doc_id", "text"))
+
+
+def _with_parts(names: tuple[str, ...], ctes: str, body: str) -> str:
+    return with_ctes(names, "").rstrip() + f",\n{ctes}\n{body}"
+
+
+@entry("chk_field_values", sql=_with_parts(("notices",), f"said AS ({_SAID})", "SELECT tenant_id, project_id, doc_id, field, CAST(line_no AS BIGINT) AS line_no, value FROM said"))
+def chk_field_values(spark, sf_dir):
+    return _notice_fields(spark, sf_dir).drop("raw")
+
+
+@entry("chk_field_consistency", sql=_with_parts(
+    ("notices",), _VOTED,
+    """SELECT s.tenant_id, s.project_id, s.field, s.doc_id, CAST(s.line_no AS BIGINT) AS line_no, s.value, a.value AS agreed, a.documents
+       FROM said s LEFT JOIN agreed a ON a.tenant_id = s.tenant_id AND a.project_id = s.project_id AND a.field = s.field WHERE s.value IS NULL OR s.value <> a.value""",
+))
+def chk_field_consistency(spark, sf_dir):
+    return fields.field_conflicts(_notice_fields(spark, sf_dir), "tenant_id", "project_id").drop("raw")
+
+
+@entry("chk_field_consensus", sql=_with_parts(("notices",), _VOTED, "SELECT tenant_id, project_id, field, value, documents, versions FROM agreed"))
+def chk_field_consensus(spark, sf_dir):
+    return fields.field_consensus(_notice_fields(spark, sf_dir), "tenant_id", "project_id")
+
+
 @entry(
-    "chk_field_consistency",
+    "chk_file_attributes",
     ("project_files",),
     """SELECT tenant_id, project_id, field, low, high FROM (
          SELECT tenant_id, project_id, 'parse_status' AS field, min(parse_status) AS low, max(parse_status) AS high FROM project_files GROUP BY ALL
-         UNION ALL SELECT tenant_id, project_id, 'media_type', min(media_type), max(media_type) FROM project_files GROUP BY ALL
-         UNION ALL SELECT tenant_id, project_id, 'content', min(content), max(content) FROM project_files GROUP BY ALL) WHERE low <> high""",
+         UNION ALL SELECT tenant_id, project_id, 'media_type', min(media_type), max(media_type) FROM project_files GROUP BY ALL) WHERE low <> high""",
 )
-def chk_field_consistency(spark, sf_dir):
-    return ck.inconsistent_fields(
-        derive(spark, sf_dir, "project_files"), ("tenant_id", "project_id"), ("parse_status", "media_type", "content")
-    )
+def chk_file_attributes(spark, sf_dir):
+    return ck.inconsistent_fields(derive(spark, sf_dir, "project_files"), ("tenant_id", "project_id"), ("parse_status", "media_type"))
 
 
 _INVENTORY = """

@@ -267,6 +267,31 @@ SHARED: dict[str, tuple[tuple[str, ...], str]] = {
                         ELSE concat('Context ', CAST(l_suppkey AS STRING)) END AS text
             FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, line_key) - 1 AS r FROM {line_keys}) numbered) placed) sized""",
     ),
+    # A notice per order: what its project's customer row says, written in turn in many ways; some notices say otherwise.
+    "notices": (
+        ("orders",),
+        """
+        SELECT doc_id, tenant_id, project_id, odd, day, amount, days,
+               concat('# ', CASE style WHEN 0 THEN 'Tender notice' ELSE '招标公告' END, chr(10),
+                 CASE style WHEN 0 THEN 'Project name: ' WHEN 1 THEN '项目名称：' ELSE '1. 项目名称: ' END, CASE style WHEN 2 THEN upper(name) ELSE name END, CASE style WHEN 1 THEN '。' ELSE '' END, chr(10),
+                 'The supplier must comply with 3 points: all of them.', chr(10),
+                 CASE style WHEN 0 THEN 'Bid deadline: ' ELSE '投标截止时间：' END,
+                 CASE form WHEN 0 THEN concat('2026-', lpad(CAST(month AS STRING), 2, '0'), '-', lpad(CAST(day AS STRING), 2, '0'), ' 09:30')
+                           WHEN 1 THEN concat('2026年', CAST(month AS STRING), '月', CAST(day AS STRING), '日上午9时')
+                           WHEN 2 THEN concat(substr('JanuaryFebruaryMarchAprilMayJuneJulyAugustSeptember', CAST(substr('010816212629333743', CAST(month * 2 - 1 AS INT), 2) AS INT), 3), ' ', CAST(day AS STRING), ', 2026')
+                           WHEN 3 THEN concat(CAST(day AS STRING), ' ', substr('JanFebMarAprMayJunJulAugSep', CAST(month * 3 - 2 AS INT), 3), ' 2026')
+                           ELSE concat('二〇二六年', substr('一二三四五六七八九', CAST(month AS INT), 1), '月', CASE WHEN day < 20 THEN '十' ELSE '二十' END, CASE WHEN day % 10 = 0 THEN '' ELSE substr('一二三四五六七八九', CAST(day % 10 AS INT), 1) END, '日') END, chr(10),
+                 CASE style WHEN 0 THEN 'Budget: ' WHEN 1 THEN '预算金额：' ELSE '最高限价：' END,
+                 CASE form WHEN 0 THEN concat('RMB ', CAST(CAST(floor(amount / 100) AS BIGINT) AS STRING), ',', lpad(CAST(amount % 100 * 10 AS STRING), 3, '0'), ',000') WHEN 1 THEN concat('人民币', CAST(amount AS STRING), '万元') WHEN 2 THEN concat('¥', CAST(amount * 10000 AS STRING), '.00')
+                           WHEN 3 THEN concat('CNY ', CAST(amount * 10 AS STRING), ' thousand') ELSE concat(substr('一二三四五六七八九', CAST(floor(amount / 100) AS INT), 1), '百', substr('一二三四五六七八九', CAST(floor(amount % 100 / 10) AS INT), 1), '十', substr('一二三四五六七八九', CAST(amount % 10 AS INT), 1), '万元整') END, chr(10),
+                 CASE style WHEN 0 THEN 'Duration: ' ELSE '工期：' END, CASE WHEN odd = 3 THEN 'to be agreed' WHEN form = 1 THEN concat(CAST(days AS STRING), '日历天') WHEN form = 2 THEN concat(CAST(CAST(floor(days / 7) AS BIGINT) AS STRING), ' weeks') ELSE concat(CAST(days AS STRING), ' calendar days') END) AS text
+        FROM (SELECT *, CASE WHEN odd = 1 THEN base_day % 19 + 10 + CASE WHEN base_day % 19 = 18 THEN -1 ELSE 1 END ELSE base_day % 19 + 10 END AS day,
+                     (CAST(substr(CAST(customer % 9 + 1 AS STRING), 1, 1) AS BIGINT)) * 100 + (customer % 8 + 1) * 10 + CASE WHEN odd = 2 THEN (customer + 1) % 9 + 1 ELSE customer % 9 + 1 END AS amount,
+                     (customer % 20 + 4) * 7 AS days, customer % 9 + 1 AS month, concat('Works ', CAST(customer AS STRING), ' new site') AS name
+              FROM (SELECT concat('N', CAST(o_orderkey AS STRING)) AS doc_id, concat('t', CAST(o_custkey % 25 AS STRING)) AS tenant_id, concat('P', CAST(o_custkey AS STRING)) AS project_id,
+                           CAST(o_custkey AS BIGINT) AS customer, CAST(o_custkey AS BIGINT) AS base_day, CAST(o_orderkey % 3 AS BIGINT) AS style, CAST(o_orderkey % 5 AS BIGINT) AS form,
+                           CAST(CASE o_orderkey % 37 WHEN 5 THEN 1 WHEN 11 THEN 2 WHEN 17 THEN 3 ELSE 0 END AS BIGINT) AS odd FROM {orders}) keyed) valued""",
+    ),
     "project_forms": (
         ("customer",),
         """
