@@ -160,7 +160,7 @@ def linked(u: Column, v: Column, ratio: tuple[int, int], shingle: int) -> Column
 
 
 def _entries(nodes: DataFrame, weak: bool) -> DataFrame:
-    """``(key, node, low, i)``: the parts of a set; ``low`` where the part is of its own band. Parts with few odd bits, or the others."""
+    """``(key, node, low)``: the parts of a set; ``low`` where the part is of its own band. Parts with few odd bits, or the others."""
     made = []
     for low, words in ((True, "own"), (False, "up")):
         level = F.col("band") if low else F.col("band") - 1
@@ -168,20 +168,29 @@ def _entries(nodes: DataFrame, weak: bool) -> DataFrame:
         tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = nodes.filter(F.size(words) > 0).select("node", level.alias("level"), words).repartition(tasks)
         rows = rows.select("node", "level", F.posexplode(words).alias("i", "word")).filter((F.bit_count("word") <= WEAK_BITS) == weak)
-        made.append(rows.select(F.xxhash64("level", "i", "word").alias("key"), "node", F.lit(low).alias("low"), "i"))
+        made.append(rows.select(F.xxhash64("level", "i", "word").alias("key"), "node", F.lit(low).alias("low")))
     return made[0].union(made[1])
 
 
-def _meeting(entries: DataFrame, of: str, label: str, key: str = "key") -> DataFrame:
-    """Entries under keys with different values of ``of`` and a set of the key's own band (any other pair has another key, too)."""
-    spread = entries.groupBy(key).agg(F.min(of).alias("least"), F.max(of).alias("most"), F.bool_or("low").alias("any_low"))
-    return materialize(entries.join(spread.filter("any_low AND least < most").select(key), key), label)
+def _shared(entries: DataFrame, label: str) -> DataFrame:
+    """Entries under keys of several sets. A set has a key once, so counting them is enough."""
+    several = entries.groupBy("key").count().filter(F.col("count") > 1).select("key")
+    return materialize(entries.join(several, "key"), label)
+
+
+def _meeting(entries: DataFrame, label: str) -> DataFrame:
+    """Entries under keys with sets of different classes, one of them of the key's own band (any other pair has another key, too)."""
+    spread = entries.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.bool_or("low").alias("any_low"))
+    return materialize(entries.join(spread.filter("any_low AND least < most").select("key"), "key"), label)
 
 
 def _next_parts(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     """Entries under finer keys: the part's key and a half of the part after it, twice; ``w1``... are the words of the parts after it."""
     words = F.when(F.col("low"), F.col("own")).otherwise(F.col("up"))
-    joined = entries.join(nodes.select("node", "own", "up"), "node")
+    joined = entries.join(nodes.select("node", "band", "own", "up"), "node")
+    level = F.when(F.col("low"), F.col("band")).otherwise(F.col("band") - 1)
+    keys = F.transform(words, lambda word, i: F.xxhash64(level, i, word))
+    joined = joined.withColumn("i", F.array_position(keys, F.col("key")).cast("int") - 1)
     after = [F.get(words, (F.col("i") + k) % F.size(words)).alias(f"w{k}") for k in range(1, RING + 1)]
     rows = joined.select("key", "node", "root", "low", *after)
     half = F.when(F.col("half") == 0, F.col("w1").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).otherwise(F.shiftrightunsigned("w1", 32))
@@ -215,11 +224,11 @@ def _possible(pairs: DataFrame, nodes: DataFrame, ratio: tuple[int, int]) -> Dat
 def links(nodes: DataFrame, texts: DataFrame, ratio: tuple[int, int], shingle: int) -> DataFrame:
     """``nodes(node, n, band, own, up, doc, th)`` and ``texts(text_doc, text_th, text)`` → ``(u, v)``: linked pairs, enough of
     them for the classes."""
-    shared = _meeting(_entries(nodes, weak=False), "node", "parity-keys")
+    shared = _shared(_entries(nodes, weak=False), "parity-keys")
+    few = materialize(nodes.join(shared.select("node").distinct(), "node"), "parity-few")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        named_texts = nodes.select("node", "doc", "th").join(wanted, "node")
-        held = texts.join(named_texts, F.col("text_doc").eqNullSafe(F.col("doc")) & (F.col("text_th") == F.col("th")))
+        held = texts.join(wanted.select("node", "doc", "th"), F.col("text_doc").eqNullSafe(F.col("doc")) & (F.col("text_th") == F.col("th")))
         return materialize(held.groupBy("node").agg(F.any_value("text").alias("text")), "parity-texts")
 
     def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -231,23 +240,23 @@ def links(nodes: DataFrame, texts: DataFrame, ratio: tuple[int, int], shingle: i
     def rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
         roots = components(found, "parity-stars").withColumnRenamed("node", "of").withColumnRenamed("root", "least_root")
         roots = materialize(roots, "parity-roots")
-        return rows.join(roots, F.col("node") == F.col("of"), "left").select("key", "node", "low", "i", F.coalesce("least_root", "node").alias("root"))
+        return rows.join(roots, F.col("node") == F.col("of"), "left").select("key", "node", "low", F.coalesce("least_root", "node").alias("root"))
 
-    held = texts_of(shared.select("node").distinct())
+    held = texts_of(few)
     found, apart = None, shared.withColumn("root", F.col("node"))
     for turn in range(ROUNDS):
         order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
         hubs = apart.groupBy("key").agg(F.min(F.when(F.col("low"), F.struct(order.alias("order"), "node", "root"))).alias("hub"))
         met = apart.join(hubs, "key").filter("root <> hub.root").select(F.col("node").alias("v"), F.col("hub.node").alias("u"))
         met = met.groupBy("v", "u").agg(F.count("*").alias("keys")).groupBy("v").agg(F.max(F.struct("keys", "u")).alias("best"))
-        pairs = materialize(_possible(met.select(F.col("best.u").alias("u"), "v"), nodes, ratio), "parity-pairs")
+        pairs = materialize(_possible(met.select(F.col("best.u").alias("u"), "v"), few, ratio), "parity-pairs")
         more = verified(pairs, held)
         found = more if found is None else materialize(found.union(more), "parity-links")
-        apart = _meeting(rooted(shared, found), "root", "parity-apart")
+        apart = _meeting(rooted(shared, found), "parity-apart")
         if apart.isEmpty():
             break
-    weak = _meeting(rooted(_meeting(_entries(nodes, weak=True), "node", "parity-weak"), found), "root", "parity-apart")
-    finer = _meeting(_next_parts(apart.unionByName(weak), nodes), "root", "parity-finer")
+    weak = _meeting(rooted(_shared(_entries(nodes, weak=True), "parity-weak"), found), "parity-apart")
+    finer = _meeting(_next_parts(apart.unionByName(weak), nodes), "parity-finer")
     a, b = (finer.select("key", *[F.col(c).alias(f"{c}_{s}") for c in finer.columns if c != "key"]) for s in "uv")
     # The first of a pair is of the key's own band; of two such sets, the lesser.
     pair = (a["key"] == b["key"]) & F.col("low_u") & (F.col("root_u") != F.col("root_v")) & (~F.col("low_v") | (F.col("node_u") < F.col("node_v")))
@@ -255,8 +264,8 @@ def links(nodes: DataFrame, texts: DataFrame, ratio: tuple[int, int], shingle: i
     pairs = materialize(_possible(met, nodes, ratio), "parity-pairs")
     if pairs.isEmpty():
         return found
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(held.select("node"), "node", "left_anti")
-    return found.union(verified(pairs, held.union(texts_of(wanted))))
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(few.select("node"), "node", "left_anti")
+    return found.union(verified(pairs, held.union(texts_of(nodes.join(wanted, "node")))))
 
 
 def jaccard_classes(
