@@ -13,6 +13,7 @@ from clauseloom.plans.catalog import entry
 from clauseloom.plans.quality_queries import UPLOAD_CHECKED
 from clauseloom.plans.view_queries import FILE_VIEW_SQL
 from clauseloom.sources.derived import PROJECT_TIME, REFERENCE_TIME, derive
+from clauseloom.streaming import metrics as sm
 
 def now():
     return F.lit(REFERENCE_TIME).cast("timestamp_ntz")
@@ -297,6 +298,42 @@ def ops_task_latency(spark, sf_dir):
     return mt.task_latency(derive(spark, sf_dir, "parse_tasks"))
 
 
+_DISC = ", ".join(f"CAST(quantile_disc(seconds, {p / 100}) AS BIGINT) AS p{p}" for p in (50, 95, 99))
+
+
+@entry(
+    "ops_latency_sketch",
+    ("parse_tasks",),
+    f"""SELECT tenant_id, type, metric, strftime(date_trunc('hour', ended), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS "values", {_DISC} FROM (
+          SELECT tenant_id, type, 'queue' AS metric, started_at AS ended, date_diff('second', created_at, started_at) AS seconds FROM parse_tasks
+          UNION ALL SELECT tenant_id, type, 'run', finished_at, date_diff('second', started_at, finished_at) FROM parse_tasks) WHERE seconds IS NOT NULL GROUP BY ALL""",
+)
+def ops_latency_sketch(spark, sf_dir):
+    """Two batches of sketches merged; an hour of a tenant and type has fewer values than a sketch holds exactly."""
+    times = sm.task_times(derive(spark, sf_dir, "parse_tasks"))
+    early = F.col("seconds") % 2 == 0
+    sketches = sm.hourly_sketches(times.filter(early)).union(sm.hourly_sketches(times.filter(~early)))
+    return sm.quantiles(sm.merged(sketches, "tenant_id", "type", "metric", "hour"))
+
+
+_STORED = "SELECT tenant_id, name, size_bytes, uploaded_at AS received_at, uploaded_at + CAST(size_bytes % 977 AS INT) * INTERVAL '1' SECOND AS stored_at FROM {uploads}"
+
+
+@entry(
+    "ops_upload_times",
+    ("uploads",),
+    f"""SELECT type, metric, hour, count(*) AS "values", {_DISC} FROM (
+          SELECT coalesce(reject_reason, 'ACCEPTED') AS type, 'upload' AS metric, strftime(date_trunc('hour', uploaded_at), '%Y-%m-%d %H:%M:%S') AS hour, size_bytes % 977 AS seconds FROM ({UPLOAD_CHECKED}))
+        GROUP BY ALL""",
+)
+def ops_upload_times(spark, sf_dir):
+    uploads = derive(spark, sf_dir, "uploads").withColumn("name", dq.upload_name(F.col("raw_name")))
+    rows = spark.sql(_STORED, uploads=uploads)
+    reason = F.coalesce(dq.upload_reason(F.col("name"), F.col("size_bytes")), F.lit("ACCEPTED"))
+    sketches = sm.hourly_sketches(sm.upload_times(rows.withColumn("outcome", reason)))
+    return sm.quantiles(sm.merged(sketches, "type", "metric", "hour"))
+
+
 @entry(
     "ops_task_outcomes",
     ("parse_tasks",),

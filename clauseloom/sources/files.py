@@ -18,6 +18,52 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     )
 
 
+#: What a stored file can be; the codes of rejects.
+FILE_MISSING, FILE_UNKNOWN, FILE_TOO_LARGE, FILE_SIZE, FILE_DIGEST = (
+    "STORED_FILE_MISSING", "STORED_FILE_UNKNOWN", "STORED_FILE_TOO_LARGE", "STORED_FILE_SIZE_MISMATCH", "STORED_FILE_DIGEST_MISMATCH"
+)
+
+
+def _key_below(spark: SparkSession, path: str) -> Column:
+    """A file's path below ``path``, which is its object key."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/") + "/"
+    return F.substr("path", F.length(F.lit(root)) + 1)
+
+
+def check_stored(spark: SparkSession, path: str, declared: DataFrame, limit: int = fv.MAX_UPLOAD_BYTES) -> DataFrame:
+    """The files under ``path`` against ``declared(object_key, size_bytes, sha256)``: ``(object_key, size_bytes, actual_bytes, sha256, actual_sha256,
+    reject_reason)``, one row per declared key and per file that nothing declares.
+
+    Names and sizes come from the listing alone. Contents are read, one file at a time, only where the size is within the limit, which the
+    scan is told; a file that is too large, or of another size than declared, is rejected whatever it holds. The engine lists no empty files, so one is
+    missing; uploads are never empty.
+    """
+    key, files = _key_below(spark, path), read_files(spark, path)
+    listed = files.select(key.alias("found_key"), F.col("length").alias("actual_bytes"))
+    digested = files.filter(F.col("length") <= limit).select(key.alias("digested_key"), F.sha2("content", 256).alias("actual_sha256"))
+    both = declared.select("object_key", "size_bytes", "sha256").join(listed, F.col("object_key") == F.col("found_key"), "full")
+    both = both.join(digested, F.col("found_key") == F.col("digested_key"), "left")
+    reason = (
+        F.when(F.col("found_key").isNull(), FILE_MISSING)
+        .when(F.col("object_key").isNull(), FILE_UNKNOWN)
+        .when(F.col("actual_bytes") > limit, FILE_TOO_LARGE)
+        .when(~F.col("size_bytes").eqNullSafe(F.col("actual_bytes")), FILE_SIZE)
+        .when(~F.col("sha256").eqNullSafe(F.col("actual_sha256")), FILE_DIGEST)
+    )
+    return both.select(
+        F.coalesce("object_key", "found_key").alias("object_key"), "size_bytes", "actual_bytes", "sha256", "actual_sha256", reason.alias("reject_reason")
+    )
+
+
+def load_stored(spark: SparkSession, path: str, declared: DataFrame, limit: int = fv.MAX_UPLOAD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Contents ``(object_key, content)`` of the declared files that are sound, and the rejects of all others."""
+    checked = check_stored(spark, path, declared, limit)
+    sound = checked.filter("reject_reason IS NULL").select("object_key")
+    contents = read_files(spark, path).filter(F.col("length") <= limit).select(_key_below(spark, path).alias("object_key"), "content")
+    return contents.join(sound, "object_key", "left_semi"), checked.filter("reject_reason IS NOT NULL")
+
+
 def inventory(files: DataFrame, *keys: str) -> DataFrame:
     """Size and SHA-256 of ``content``."""
     return files.select(

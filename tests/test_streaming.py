@@ -185,3 +185,22 @@ def test_exhaustion_dead_letters_the_fourth_claim_and_retry_resets():
     assert task.snapshot() == ("failed", 3, 20, "TASK_ATTEMPTS_EXHAUSTED", True)
     assert task.apply(10, at(8), "retry", None, None, None) == "accepted"
     assert task.snapshot() == ("queued", 0, 0, None, False)
+
+
+def test_idle_deliveries_are_reported_in_turn(spark, tmp_path):
+    """A crowd of deliveries that are idle again and again does not keep a single later one from its turn."""
+    schema = "tenant_id string, event_id string, action string, ts timestamp_ntz"
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    crowd = [("t", f"c{i}", "deliver", at(0)) for i in range(40)]
+    rows = [
+        crowd + [("t", "acked", "deliver", at(1)), ("t", "again", "deliver", at(1)), ("u", "c1", "deliver", at(2))],
+        [("t", "acked", "ack", at(20)), ("t", "again", "deliver", at(30)), ("t", "late", "deliver", at(40))], [("x", "far", "ack", at(75))], [("x", "far", "ack", at(150))], [("x", "far", "ack", at(4000))],
+    ]
+    for part in rows:
+        _write(spark, part, schema, source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    found = delivery.idle_deliveries(stream, idle=60_000, delay="1 second", reports=2, shards=3)
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination(300)
+    got = sorted((r.tenant_id, r.event_id, r.idle_since, r.reclaim_no) for r in spark.read.parquet(out).collect())
+    seen = [("t", f"c{i}", 0) for i in range(40)] + [("u", "c1", 2), ("t", "again", 30), ("t", "late", 40)]
+    assert got == sorted((tenant, event, at(second + 60 * n), n + 1) for tenant, event, second in seen for n in range(2))
