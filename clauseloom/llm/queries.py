@@ -98,7 +98,10 @@ def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_counts(read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2)
+    # Longer documents have up to three times the inclusion odds of the shortest.
+    odds = F.least(mixing.size_in_words(F.col("text")), F.lit(1000)) / F.lit(500.0) + 1
+    documents = read(spark, sf_dir, "documents").withColumn("inclusion_odds", odds)
+    return mixing.mix_counts(documents, weights=(5, 2, 1), share=1.5, cap=2, odds="inclusion_odds")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +196,7 @@ l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVE
 c AS (SELECT arg_min(level, most / weight) FILTER (WHERE most / weight > level) AS common FROM l),
 t AS (SELECT source, source_size, CASE WHEN most / weight > level THEN weight * common ELSE CAST(most AS DOUBLE) END AS target FROM l, c),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies, CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS part FROM t),
-r AS (SELECT d.doc_id, d.size, p.*, d.u, (d.u / (1 - d.u) / (part / (1 - part))) AS q FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+r AS (SELECT d.doc_id, d.size, p.*, d.u, (d.u / (1 - d.u) / (part / (1 - part) * (least(d.size, 1000) / 500.0::DOUBLE + 1))) AS q FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
 o AS (SELECT *, CASE WHEN part > 0 THEN q / (1 + q) ELSE 1.0 END AS place, target - copies * source_size AS rest FROM r),
 x AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place, u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS through, sum(size) OVER (PARTITION BY source, place, u) AS own FROM o)
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
