@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clauseloom.functions import fixed_values as fv
+from clauseloom.functions.batches import tidy
 from clauseloom.functions.text import WS_CHARS
 
 _LONG, _INT, _STRING = T.LongType(), T.IntegerType(), T.StringType()
@@ -47,6 +48,7 @@ def _whole(parts: Iterable[np.ndarray]) -> np.ndarray:
 
 
 @F.arrow_udf(LINES)
+@tidy
 def line_ranges(texts: pa.Array) -> pa.Array:
     """The non-empty physical lines of a text (null: none)."""
     lines, numbers, starts, ends, counts = [], [], [], [], []
@@ -77,6 +79,7 @@ def _cut(text: str) -> list[str]:
 
 
 @F.arrow_udf(PIECES)
+@tidy
 def sentence_pieces(texts: pa.Array) -> pa.Array:
     """Every piece of a text, untrimmed, with its offset in it (null: none)."""
     pieces, numbers, offsets, counts = [], [], [], []
@@ -94,6 +97,7 @@ def sentence_pieces(texts: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(QUOTES)
+@tidy
 def sentence_quotes(texts: pa.Array) -> pa.Array:
     """The pieces that are not blank, trimmed at their edges, with their offset in the text and length."""
     numbers, quotes, leads, sizes, counts = [], [], [], [], []
@@ -117,6 +121,7 @@ def sentence_quotes(texts: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(T.ArrayType(T.ArrayType(_STRING)))
+@tidy
 def open_titles(headings: pa.Array) -> pa.Array:
     """Per line of an array of ``struct<level,title>`` (null where the line is none), the titles open at it: a heading closes those of its own
     level or deeper. A path is made once per heading and shared by the lines below it."""
