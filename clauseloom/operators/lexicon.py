@@ -4,9 +4,10 @@ Trying each pattern on each sentence costs rules times sentences. Nearly every p
 an Aho-Corasick automaton over one such set of literals per rule names, in one pass over a sentence, the few rules that may match; those
 alone are verified, by the engine's own ``rlike``. Rules without a literal are tried on every sentence.
 
-The lexicon is a small table that users keep; its size is checked before the automaton is built from it, once, and sent to the
+A small lexicon's size is checked before the automaton is built from it, once, and sent to the
 executors as a broadcast value. Sentences are as many as the corpus has: they pass through in their order, and only
-candidates are joined with the patterns.
+candidates are joined with the patterns. A lexicon of any size (``tag_by_join``) stays a table: literals and the parts of a sentence meet by
+their hashes, and a bit table of bounded size keeps parts that are no literal from being joined.
 """
 
 from __future__ import annotations
@@ -23,8 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of all patterns of a lexicon; beyond it the lexicon is refused.
+from clauseloom.functions.batches import tidy
+from clauseloom.session import materialize
+
+#: Bytes of all patterns of a lexicon; beyond it no automaton is made of it.
 LARGEST = 64 << 20
+#: Bytes of patterns up to which ``tag_all`` takes the automaton, which every Python worker holds.
+SMALL = 4 << 20
+#: Longest part of a literal that is looked up, bits of the table of literals a literal, its largest size (as a power of 2) and probes.
+WIDEST, BITS_EACH, MOST_BITS, PROBES = 16, 32, 28, 3
 
 # What the pattern language of the engine has and the parser lacks. Only literals are read from the result, so that a
 # class may stand for another one.
@@ -125,13 +133,17 @@ def _finder(shared, always: list[int]):
     return possible
 
 
+def pattern_bytes(rules: DataFrame) -> int:
+    return rules.agg(F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0)).alias("bytes")).first().bytes
+
+
 class Lexicon:
     """A table of rules ready to be matched. ``rules(rule_id, signal, pattern)``; rules without a pattern never match."""
 
     def __init__(self, rules: DataFrame):
         spark = rules.sparkSession
         patterns = rules.filter("pattern IS NOT NULL")
-        size = patterns.agg(F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0)).alias("bytes")).first().bytes
+        size = pattern_bytes(rules)
         if size > LARGEST:
             raise ValueError(f"a lexicon of {size} bytes; at most {LARGEST} are sent to every executor")
         rows = patterns.select("rule_id", "signal", "pattern").distinct().collect()
@@ -160,6 +172,122 @@ class Lexicon:
         return joined.filter(F.expr("tested RLIKE rule_pattern")).select(*keys, "rule_id", "signal")
 
 
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _part_hashes(points: np.ndarray, widest: int):
+    """``(width, hashes)`` of all parts of a text, by width."""
+    rolled = np.zeros(len(points) + 1, np.uint64)
+    for width in range(1, min(widest, len(points)) + 1):
+        rolled = rolled[:-1] * _BASE + points[width - 1 :] + np.uint64(1)
+        mixed = (rolled ^ (rolled >> np.uint64(31)) ^ np.uint64(width)) * _MIX
+        yield width, mixed ^ (mixed >> np.uint64(29))
+
+
+def _probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(hashes >> np.uint64(i * 17)) & np.uint64((1 << bits) - 1) for i in range(PROBES)]
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _literal_hashes(patterns: pa.Array) -> pa.Array:
+    """Hashes of the literals one of which every match of a pattern holds (of their first ``WIDEST`` characters); none where that cannot be told."""
+    made = []
+    for pattern in patterns:
+        heads = {literal[:WIDEST] for literal in required_literals(pattern.as_py())}
+        made.append(sorted({int(hashes[0]) for head in heads for width, hashes in _part_hashes(_points(head), WIDEST) if width == len(head)}))
+    offsets = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)
+    flat = np.array([h for m in made for h in m], np.uint64).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+_BETWEEN = np.array([0x110000], np.uint64)  # no character
+
+
+def _parts_held(texts: list[str | None], table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of texts and hashes of their parts that the bit table may hold, each once, in order."""
+    made = [_points(fold(t)) if t else np.zeros(0, np.uint64) for t in texts]
+    owner = np.repeat(np.arange(len(made)), [len(m) + 1 for m in made])
+    owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for _, hashes in _part_hashes(np.concatenate([x for m in made for x in (m, _BETWEEN)]), WIDEST) if made else ():
+        at = np.arange(len(hashes))
+        for probe in range(PROBES):
+            spot = _probes(hashes[at], bits)[probe]
+            at = at[(table[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        owners.append(owner[at])
+        found.append(hashes[at])
+    numbers, held = np.concatenate(owners), np.concatenate(found)
+    order = np.lexsort((held, numbers))
+    numbers, held = numbers[order], held[order]
+    first = np.ones(len(held), bool)
+    first[1:] = (numbers[1:] != numbers[:-1]) | (held[1:] != held[:-1])
+    return numbers[first], held[first]
+
+
+def _literals_in(shared, bits: int):
+    """Hashes of the parts of a text that may be literals."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    @tidy
+    def found(texts: pa.Array) -> pa.Array:
+        table = np.frombuffer(shared.value, np.uint8)
+        counts, hashes = [np.zeros(1, np.int64)], [np.zeros(0, np.uint64)]
+        for first in range(0, len(texts), 1024):
+            run = texts[first : first + 1024].to_pylist()
+            numbers, held = _parts_held(run, table, bits)
+            counts.append(np.bincount(numbers, minlength=len(run)))
+            hashes.append(held)
+        offsets = np.cumsum(np.concatenate(counts)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(hashes).view(np.int64)))
+
+    return found
+
+
+def tag_by_join(rules: DataFrame, rows: DataFrame, text: str, *keys: str) -> DataFrame:
+    """What ``Lexicon(rules).tag(rows, text, keys)`` gives, for a lexicon of any size: nothing but a bit table of at most 32 MB is sent to every executor."""
+    spark = rules.sparkSession
+    every = rules.filter("pattern IS NOT NULL").select("rule_id", "signal", F.col("pattern").alias("rule_pattern")).distinct()
+    # Patterns are short but slow to read: as many tasks as a shuffle has, whatever their bytes.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = materialize(every.repartition(parts).withColumn("literals", _literal_hashes("rule_pattern")), "lexicon")
+    held = every.select(F.explode("literals").alias("met")).distinct()
+    bits = min(MOST_BITS, max(16, (BITS_EACH * held.count()).bit_length()))
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def spots(hashes: pa.Array) -> pa.Array:
+        at = np.stack(_probes(hashes.to_numpy(zero_copy_only=False).view(np.uint64), bits), axis=1).astype(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, PROBES, dtype=np.int32)), pa.array(at.ravel()))
+
+    # Buckets are numbered from 1 and their bits from 0.
+    spot = held.select(F.explode(spots("met")).alias("spot")).select((F.col("spot") + 1).alias("spot"))
+    bucket = F.bitmap_bucket_number("spot")
+    table = bytearray((1 << bits) // 8)
+    for row in spot.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bitmap")).toLocalIterator():
+        start = (row.bucket - 1) * len(row.bitmap)
+        table[start : start + len(row.bitmap)] = row.bitmap[: len(table) - start]
+    found = _literals_in(spark.sparkContext.broadcast(bytes(table)), bits)
+
+    tested = rows.select(*keys, F.col(text).alias("tested")).filter("tested IS NOT NULL")
+    met = tested.select("*", found("tested").alias("found")).filter(F.size("found") > 0).select("*", F.explode("found").alias("met"))
+    by_literal = every.select("*", F.explode("literals").alias("met"))
+    # Of several literals of a rule, only the first that is in the text counts.
+    first = F.element_at(F.array_intersect("literals", "found"), 1)
+    joined = met.join(by_literal.hint("merge"), "met").filter((first == F.col("met")) & F.expr("tested RLIKE rule_pattern"))
+    always = every.filter(F.size("literals") == 0).select("rule_id", "signal", "rule_pattern")
+    tried = tested.join(always, F.expr("tested RLIKE rule_pattern"))
+    return joined.select(*keys, "rule_id", "signal").union(tried.select(*keys, "rule_id", "signal"))
+
+
+def tag_all(rules: DataFrame, rows: DataFrame, text: str, *keys: str) -> DataFrame:
+    """``(keys, rule_id, signal)`` of a lexicon of any size: by the automaton where it is small, else by joins."""
+    if pattern_bytes(rules) <= SMALL:
+        return Lexicon(rules).tag(rows, text, *keys)
+    return tag_by_join(rules, rows, text, *keys)
+
+
 def signals_of(tagged: DataFrame, *keys: str) -> DataFrame:
     """``(keys, signals)``: the distinct signals of what ``tag`` found, sorted. One entry a signal, which a lexicon has few of."""
     return tagged.groupBy(*keys).agg(F.array_sort(F.collect_set("signal")).alias("signals"))

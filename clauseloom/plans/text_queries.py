@@ -180,7 +180,7 @@ _LEXICON = """
 )
 def rule_lexicon_tag(spark, sf_dir):
     rules = spark.sql(_LEXICON, part=table(spark, sf_dir, "part"))
-    return lexicon.Lexicon(rules).tag(sentences(spark, sf_dir), "quote", "doc_id", "line_no", "piece_no")
+    return lexicon.tag_all(rules, sentences(spark, sf_dir), "quote", "doc_id", "line_no", "piece_no")
 
 
 @entry(

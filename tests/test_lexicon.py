@@ -79,3 +79,25 @@ def test_ten_thousand_rules_cost_little_more_than_three(spark):
 
     few = seconds(3)
     assert seconds(10_000) < 3 * few + 1
+
+
+def test_a_large_lexicon_by_joins(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["must", "SHALL", "bolt", "分", "必须", "😀 gear", "ſhall", "straße", "Item 12", "item 1234 of the long list", ""]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(8))) for _ in range(1500)] + [None, "", "MUST", "must"]
+    patterns = ["(?i)must|shall|bolt", "(?iu)shall", "bolt|gear", "(?i)(^|[^a-z0-9])(item|bolt) 12($|[^0-9])", "(?i)item 1234 of the long", "[0-9][0-9]", "^$", "必须|分", "😀", "(?iu)straße", "bolt$", "absent"]
+    rules = [(i, ("a", "b", None)[i % 3], p) for i, p in enumerate(patterns)] + [(0, "again", "must"), (0, "a", "(?i)must|shall|bolt"), (99, "n", None)]
+    rows, table = spark.createDataFrame(list(enumerate(texts)), "k int, text string"), spark.createDataFrame(rules, RULES)
+    expected = tried(spark, [r for r in rules if r[2] is not None], texts)
+
+    def found(made):
+        return sorted(((r.k, r.rule_id, r.signal) for r in made.collect()), key=str)
+
+    assert found(lexicon.tag_by_join(table, rows, "text", "k")) == expected
+    assert found(lexicon.tag_all(table, rows, "text", "k")) == expected
+    # Beyond what an automaton is made of, nothing is refused; the empty table tags nothing.
+    monkeypatch.setattr(lexicon, "LARGEST", 3)
+    monkeypatch.setattr(lexicon, "SMALL", 3)
+    assert found(lexicon.tag_all(table, rows, "text", "k")) == expected
+    assert lexicon.tag_by_join(table.limit(0), rows, "text", "k").count() == 0
+    assert lexicon.tag_by_join(table, rows.limit(0), "text", "k").count() == 0
