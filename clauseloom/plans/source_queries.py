@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.operators import quality as dq
 from clauseloom.plans.catalog import entry
-from clauseloom.session import scratch_path
+from clauseloom.session import materialize, scratch_path
 from clauseloom.sources import files as fs
 from clauseloom.sources import notifications as nf
 from clauseloom.sources import sinks
@@ -92,7 +92,8 @@ def src_task_events(spark, sf_dir):
 )
 def sink_requirements(spark, sf_dir):
     rows = sinks.finished_requirements(derive(spark, sf_dir, "requirements"), derive(spark, sf_dir, "parse_tasks"))
-    rows = rows.select("tenant_id", "task_id", "id", "code", "title")
+    # The batches are parts of one result, which is joined once and not for every write.
+    rows = materialize(rows.select("tenant_id", "task_id", "id", "code", "title"), "sink-rows")
     path = scratch_path(spark, "requirements")
     # Tasks of one tenant arrive in two batches, the first is replayed, and some tasks are written again later.
     part = F.pmod(F.xxhash64("tenant_id", "task_id"), F.lit(3))
@@ -112,6 +113,7 @@ def sink_published(spark, sf_dir):
     path = scratch_path(spark, "published")
     tasks = derive(spark, sf_dir, "parse_tasks").filter("status IN ('succeeded', 'failed')").select("tenant_id", "id", "status")
     requirements = derive(spark, sf_dir, "requirements").select("tenant_id", "task_id", "id", "code", "title")
+    tasks, requirements = materialize(tasks, "sink-tasks"), materialize(requirements, "sink-rows")
     bounds = [("", "T4"), ("T4", "T8"), ("T8", "Tc"), ("", "T4")]
     for batch, (low, high) in zip((1, 2, 3, 1), bounds, strict=True):
         sinks.publish(requirements.filter((F.col("task_id") >= low) & (F.col("task_id") < high)), tasks.filter((F.col("id") >= low) & (F.col("id") < high)), path, batch)

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as api
 from clauseloom.operators import taskstate, views
 from clauseloom.sources import sinks
 
@@ -102,3 +103,17 @@ def test_a_stream_is_published_by_batches(spark, tmp_path):
         stream.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(r.title for r in sinks.published(spark, path, "requirements").collect()) == ["r0", "r1", "r2"]
     assert sinks.committed(spark, path).count() == 3
+
+
+def test_batches_are_parts_of_one_written_result(spark, sf_dir, monkeypatch):
+    """The join that finds what is to be written runs once, not for every batch."""
+    plans, write, publish = [], sinks.write_requirements, sinks.publish
+
+    def note(rows):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(sinks, "write_requirements", lambda rows, *rest: (note(rows), write(rows, *rest))[1])
+    monkeypatch.setattr(sinks, "publish", lambda rows, tasks, *rest: (note(rows), note(tasks), publish(rows, tasks, *rest))[2])
+    for name in ("sink_requirements", "sink_published"):
+        assert api.queries()[name](spark, sf_dir).count() > 0
+    assert len(plans) == 12 and not any("Join" in plan for plan in plans)
