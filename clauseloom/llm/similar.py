@@ -3,16 +3,20 @@
 The set of a text holds the hashes of its word shingles. Two texts are linked when the Jaccard similarity of their sets
 is at least ``ratio`` (a numerator and a denominator), and a class is everything reachable over links.
 
+* First op1's pivot distance table (``simhash.links``) meets the fingerprints of the sets: of the pairs within ``RADIUS`` bits, each
+  set is tried with the least one that it met. Few pairs of similarity t lie so near, so this is no whole answer, and the rest follows.
 * Sets are sorted by one order of all shingles. Of two sets of similarity t or more, the first n - ceil(t n) + 1 shingles of
   each (n its size) have one in common, so pairs meet under the shingles of these prefixes and none is missed. Any order
   will do; common shingles are put last, so that a line of many texts is hardly ever in a prefix.
 * A pair that meets is discarded by its sizes or by its parity bits (each bit tells whether an odd number of shingles fell
-  there; sets differ in at least as many shingles as bits): first by 256 bits, then by about a bit a shingle.
-  Survivors are verified by the exact similarity of their texts.
-* First the members of each prefix shingle meet the least of them, and each is tried with one that it met, which joins a
-  large group of near copies without trying its pairs. Then every pair that still lies in two classes is tried.
+  there; sets differ in at least as many shingles as bits), 256 of them. A set without any partner left goes no further: a semi-join
+  finds the others, at most a row for each entry.
+* Of these the texts are read once, and their sets written. For some rounds the members of each prefix shingle meet a few of
+  them, and each set is tried with the one with which it shares most shingles: a large group of near copies becomes one class without
+  its pairs being tried. Then every pair that still lies in two classes is tried, unless eight or more parity bits a shingle exclude it.
+  All that can be told by bits is the joins' condition. Links are verified by the exact similarity of the sets.
 
-Copies, and texts of equal sets, are one row in all this. Only texts of pairs to be verified are written.
+Copies, and texts of equal sets, are one row in all this.
 
 Defined results: fewer words than a shingle are one shingle; null and empty texts (no words) are alike; repeated
 rows are one class; an empty table gives no rows. Only the id and text columns are read, and the whole row's hash.
@@ -28,17 +32,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from clauseloom.llm import simhash
 from clauseloom.llm.common import named, tidy
 from clauseloom.llm.components import components
-from clauseloom.llm.simhash import SEED, keep_first, ranked
+from clauseloom.llm.simhash import BITS, SEED, keep_first, ranked
 from clauseloom.session import materialize
 
 #: Cells in which shingles are counted for their order, the share of a task's texts that makes a cell common there, and how
 #: many of the most common are told to all tasks. They decide on speed alone: every order finds all pairs.
 CELL_BITS, COMMON_SHARE, COMMON_LEAST, COMMON_CELLS = 20, 256, 16, 65_536
 WORDS = 4  # parity words of 64 bits
+SHAPE = ["n", *[f"b{i}" for i in range(WORDS)]]
+#: Bits within which the pivot table's pairs lie.
+RADIUS = 3
+#: Rounds in which members of a prefix shingle meet so many of them; they decide on speed alone.
+ROUNDS, HUBS = 4, 4
 
 
 def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
@@ -74,9 +83,24 @@ def prefix_length(n: int, ratio: tuple[int, int]) -> int:
     return n + -(ratio[0] * n) // ratio[1] + 1
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set, signed: a bit is 1 if it is set in over half the hashes."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 100_000):
+        counts += np.unpackbits(hashes[at : at + 100_000].astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes)).view(">i8")[0])
+
+
+def parity_words(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Parity bits of a set, a power of two of them, ``bits`` or more."""
+    size = max(64 * WORDS, 1 << (bits - 1).bit_length())
+    odd = (np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
+    return np.packbits(odd).view(">i8").astype(np.int64)
+
+
 def signature(text: Column, ratio: tuple[int, int], shingle: int, common: tuple[np.ndarray, np.ndarray]) -> Column:
-    """``fp`` (a hash of the set), its size ``n``, parity words ``b0``..., the ``parity`` of at least a bit a shingle, and its
-    ``prefix`` (32 bits a shingle: others that share them are discarded later)."""
+    """``fp`` (a hash of the set), its size ``n``, SimHash ``sim``, parity words ``b0``..., and its ``prefix`` (32 bits a shingle:
+    others that share them are discarded later)."""
     cells, counts = common
 
     def one(value: str) -> tuple:
@@ -88,52 +112,44 @@ def signature(text: Column, ratio: tuple[int, int], shingle: int, common: tuple[
             weight = np.where(cells[spot] == at, counts[spot], 0)
         # Stable over sorted hashes: of equal weights, the smaller hash is first.
         first = hashes[np.argsort(weight, kind="stable")[: prefix_length(len(hashes), ratio)]]
-        size = max(64 * WORDS, 1 << (len(hashes) - 1).bit_length())
-        odd = (np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
-        parity = np.packbits(odd).view(">i8").astype(np.int64)
-        few = np.bitwise_xor.reduce(parity.reshape(-1, WORDS), axis=0)
+        few = parity_words(hashes, 64 * WORDS)
         fp = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
         keys = np.unique((first & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32)
-        return fp - (1 << 64) if fp >> 63 else fp, len(hashes), few, parity, keys
+        return fp - (1 << 64) if fp >> 63 else fp, len(hashes), fingerprint(hashes), *few.tolist(), keys
 
-    kind = "struct<fp:bigint,n:int," + "".join(f"b{i}:bigint," for i in range(WORDS)) + "parity:array<bigint>,prefix:array<int>>"
+    kind = "struct<fp:bigint,n:int,sim:bigint," + "".join(f"b{i}:bigint," for i in range(WORDS)) + "prefix:array<int>>"
+    names = ["fp", *SHAPE[:1], "sim", *SHAPE[1:], "prefix"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.int64()] * WORDS, pa.list_(pa.int32())]
 
     @F.arrow_udf(kind)
     @tidy
     def signatures(texts: pa.Array) -> pa.Array:
         made = [one(t.as_py() or "") for t in texts]
-        names = ["fp", "n", *[f"b{i}" for i in range(WORDS)], "parity", "prefix"]
-        columns = [
-            pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int32()),
-            *[pa.array([int(m[2][i]) for m in made], pa.int64()) for i in range(WORDS)],
-            pa.array([m[3] for m in made], pa.list_(pa.int64())), pa.array([m[4] for m in made], pa.list_(pa.int32())),
-        ]
-        return pa.StructArray.from_arrays(columns, names)
+        return pa.StructArray.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names)
 
     return signatures(text)
 
 
-def similar(u: Column, v: Column, ratio: tuple[int, int], shingle: int) -> Column:
-    """Whether two texts have that similarity."""
-    part, whole = ratio
+def whole_set(text: Column, shingle: int) -> Column:
+    """``hashes`` of a text's set, and its ``parity`` of eight bits a shingle or more."""
 
-    @F.arrow_udf("boolean")
+    @F.arrow_udf("struct<hashes:array<bigint>,parity:array<bigint>>")
     @tidy
-    def verified(us: pa.Array, vs: pa.Array) -> pa.Array:
-        out, last, held = [], None, None
-        for a, b in zip(us, vs, strict=True):
-            b = b.as_py() or ""
-            if b != last:
-                last, held = b, shingle_set(b, shingle)
-            other = shingle_set(a.as_py() or "", shingle)
-            common = len(np.intersect1d(held, other, assume_unique=True))
-            out.append(whole * common >= part * (len(held) + len(other) - common))
-        return pa.array(out, pa.bool_())
+    def sets(texts: pa.Array) -> pa.Array:
+        made = [shingle_set(t.as_py() or "", shingle) for t in texts]
+        kind = pa.list_(pa.int64())
+        return pa.StructArray.from_arrays(
+            [pa.array([m.view(np.int64) for m in made], kind), pa.array([parity_words(m, 8 * len(m)) for m in made], kind)], ["hashes", "parity"]
+        )
 
-    return verified(u, v)
+    return sets(text)
 
 
-SHAPE = ["n", *[f"b{i}" for i in range(WORDS)]]
+def similar(u: Column, v: Column, ratio: tuple[int, int]) -> Column:
+    """Whether two arrays of distinct hashes have that similarity."""
+    part, whole = ratio
+    common = F.size(F.array_intersect(u, v)).cast("long")
+    return whole * common >= part * (F.size(u).cast("long") + F.size(v).cast("long") - common)
 
 
 def _possible(ratio: tuple[int, int]) -> Column:
@@ -158,51 +174,80 @@ def _still_possible(ratio: tuple[int, int]) -> Column:
     return (whole + part) * bits <= (whole - part) * (F.col("n_u").cast("long") + F.col("n_v").cast("long"))
 
 
+def pivot_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``nodes(fp, sim)`` → ``(u, v)``: each set with the least of those that the pivot table finds within ``radius`` bits of it."""
+    # Sets of one fingerprint are one row of the table.
+    heads = materialize(nodes.groupBy("sim").agg(F.min("fp").alias("head")), "similar-prints")
+    near = simhash.links(heads.select(F.col("sim").alias("fp")), radius)
+    apart = near.join(heads.select(F.col("sim").alias("u"), F.col("head").alias("head_u")), "u").join(
+        heads.select(F.col("sim").alias("v"), F.col("head").alias("head_v")), "v"
+    )
+    least = apart.select(F.least("head_u", "head_v").alias("u"), F.greatest("head_u", "head_v").alias("v")).groupBy("v").agg(F.min("u").alias("u"))
+    alike = nodes.select("fp", "sim").join(heads, "sim").filter("fp <> head")
+    return least.select("u", "v").union(alike.select(F.col("head").alias("u"), F.col("fp").alias("v")))
+
+
 def links(nodes: DataFrame, texts: DataFrame, ratio: tuple[int, int], shingle: int) -> DataFrame:
-    """``nodes(fp, doc, row, n, b0..., parity, prefix)`` and ``texts(text_doc, text_row, text)`` → ``(u, v)``: pairs of similarity
+    """``nodes(fp, doc, row, n, sim, b0..., prefix)`` and ``texts(text_doc, text_row, text)`` → ``(u, v)``: pairs of similarity
     ``ratio`` or more, enough of them for the classes."""
-    shapes = nodes.select("fp", *SHAPE, "parity")
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        for side in "uv":
-            named_side = [F.col(c).alias(f"{c}_{side}") for c in (*SHAPE, "parity")]
-            pairs = pairs.join(shapes.select(F.col("fp").alias(side), *named_side), side)
-        return pairs.filter(_possible(ratio)).filter(_still_possible(ratio)).select("u", "v")
+    # A row becomes many: without a key, the exchange is not coalesced.
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = nodes.select("fp", *SHAPE, "prefix").repartition(parts).select("fp", *SHAPE, F.explode("prefix").alias("key"))
+    # A set has a key once, so counting is enough.
+    several = entries.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1").select("key")
+    shared = materialize(entries.join(several, "key"), "similar-keys")
+    a, b = (shared.select("key", F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in SHAPE]) for s in "uv")
+    meets = (a["key"] == b["key"]) & (F.col("u") != F.col("v")) & _possible(ratio)
+    alive = materialize(a.join(b.hint("merge"), meets, "left_semi").select(F.col("u").alias("fp")).distinct(), "similar-alive")
+
+    picked = nodes.select("fp", "doc", "row").join(alive, "fp")
+    held = texts.join(picked, F.col("text_doc").eqNullSafe(F.col("doc")) & (F.col("text_row") == F.col("row")))
+    # Rows may be equal in every column: any of them will do.
+    once = held.select("fp", whole_set(F.col("text"), shingle).alias("made")).dropDuplicates(["fp"])
+    sets = materialize(once.select("fp", "made.*"), "similar-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "similar-pairs")
-        if pairs.isEmpty():
-            return pairs
-        wanted = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct()
-        picked = nodes.select("fp", "doc", "row").join(wanted, "fp")
-        held = texts.join(picked, F.col("text_doc").eqNullSafe(F.col("doc")) & (F.col("text_row") == F.col("row")))
-        held = materialize(held.groupBy("fp").agg(F.any_value("text").alias("text")), "similar-texts")
-        both = pairs.join(held.select(F.col("fp").alias("u"), F.col("text").alias("text_u")), "u").join(
-            held.select(F.col("fp").alias("v"), F.col("text").alias("text_v")), "v"
+        both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("hashes_u")), "u").join(
+            sets.select(F.col("fp").alias("v"), F.col("hashes").alias("hashes_v")), "v"
         )
-        return materialize(both.filter(similar(F.col("text_u"), F.col("text_v"), ratio, shingle)).select("u", "v"), "similar-found")
-
-    # A row becomes many: without a key, the exchange is not coalesced.
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = nodes.select("fp", "prefix").repartition(parts).select("fp", F.explode("prefix").alias("key"))
-    key = W.partitionBy("key")
-    shared = entries.withColumn("least", F.min("fp").over(key)).withColumn("most", F.max("fp").over(key))
-    shared = materialize(shared.filter(F.col("least") < F.col("most")).select("key", "fp", "least"), "similar-keys")
-    stars = shared.filter(F.col("fp") > F.col("least")).select(F.col("least").alias("u"), F.col("fp").alias("v")).distinct()
-    found = verified(possible(stars).groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
-
-    roots = components(found, "similar-stars").withColumnRenamed("node", "fp")
-    rooted = shared.select("key", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = rooted.withColumn("least", F.min("root").over(key)).withColumn("most", F.max("root").over(key))
-    apart = materialize(
-        rooted.filter(F.col("least") < F.col("most")).select("key", "fp", "root").join(shapes.drop("parity"), "fp"), "similar-apart"
-    )
+        return materialize(both.filter(similar(F.col("hashes_u"), F.col("hashes_v"), ratio)).select("u", "v"), "similar-found")
+
+    entries = materialize(shared.select("key", "fp").join(alive, "fp"), "similar-entries")
+
+    def meeting(found: DataFrame) -> DataFrame:
+        """Entries under keys with sets of different classes."""
+        roots = materialize(components(found, "similar-stars"), "similar-roots").withColumnRenamed("node", "fp")
+        rooted = entries.join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+        spread = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+        return materialize(rooted.join(spread.select("key"), "key"), "similar-apart")
+
+    found = verified(pivot_pairs(nodes))
+    apart = meeting(found)
+    for turn in range(ROUNDS):
+        orders = [F.xxhash64("fp", F.lit(turn * HUBS + k)) for k in range(HUBS)]
+        hubs = apart.groupBy("key").agg(*[F.min(F.struct(o.alias("order"), "fp", "root")).alias(f"h{k}") for k, o in enumerate(orders)])
+        hubs = hubs.select("key", F.explode(F.array_distinct(F.array(*[
+            F.struct(F.col(f"h{k}.fp").alias("fp"), F.col(f"h{k}.root").alias("root")) for k in range(HUBS)
+        ]))).alias("hub"))
+        met = apart.join(hubs, "key").filter("root <> hub.root").groupBy(F.col("fp").alias("v"), F.col("hub.fp").alias("u")).agg(F.count("*").alias("keys"))
+        best = met.groupBy("v").agg(F.max(F.struct("keys", "u")).alias("best")).select(F.col("best.u").alias("u"), "v")
+        more = verified(best)
+        if more.isEmpty():
+            break
+        found = materialize(found.union(more), "similar-links")
+        apart = meeting(found)
+        if apart.isEmpty():
+            return found
+    shapes = nodes.select("fp", *SHAPE).join(sets.select("fp", "parity"), "fp")
+    wide = apart.join(shapes, "fp")
     a, b = (
-        apart.select("key", F.col("fp").alias(s), F.col("root").alias(f"root_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in SHAPE])
+        wide.select("key", F.col("fp").alias(s), F.col("root").alias(f"root_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in (*SHAPE, "parity")])
         for s in "uv"
     )
-    met = (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & _possible(ratio)
-    return found.union(verified(possible(a.join(b.hint("merge"), met).select("u", "v").distinct())))
+    apart_still = (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v"))
+    pairs = a.join(b.hint("merge"), apart_still & _possible(ratio) & _still_possible(ratio)).select("u", "v").distinct()
+    return found.union(verified(pairs))
 
 
 def drop_similar(
@@ -215,9 +260,9 @@ def drop_similar(
     marked = materialize(
         docs.select(named(doc_id).alias("doc_id"), whole.alias("row"), sign.alias("sign")).select("doc_id", "row", "sign.*"), "similar"
     )
-    shape = marked.groupBy("fp").agg(*[F.any_value(c).alias(c) for c in (*SHAPE, "parity", "prefix")])
+    shape = marked.groupBy("fp").agg(*[F.any_value(c).alias(c) for c in (*SHAPE, "sim", "prefix")])
     nodes = materialize(ranked(marked).join(shape, "fp"), "similar-nodes")
-    picked = nodes.select("fp", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("row"), *SHAPE, "parity", "prefix")
+    picked = nodes.select("fp", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("row"), *SHAPE, "sim", "prefix")
     # Names of its own, so that no further column of the documents can clash.
     texts = docs.select(named(doc_id).alias("text_doc"), whole.alias("text_row"), named(text).alias("text"))
     roots = components(links(picked, texts, ratio, shingle), "similar-links").withColumnRenamed("node", "fp")

@@ -82,3 +82,51 @@ def test_odd_rows(odd, empty):
     assert kept.columns == odd.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 7), (True, 0)]
     assert similar.drop_similar(empty).count() == 0
+
+
+def near_group(n, words=130, seed=6):
+    """Near copies of one text, of one to twelve changed words each: many pairs of them are links, and many are not."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    texts = []
+    for _ in range(n):
+        near = list(base)
+        for _ in range(rng.randrange(1, 4) if rng.random() < 0.6 else rng.randrange(5, 13)):
+            near[rng.randrange(words)] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(near))
+    return list(enumerate(texts))
+
+
+def test_group_of_near_copies_is_not_tried_pair_by_pair(spark, monkeypatch):
+    rows, tried = near_group(300), []
+    real = similar.materialize
+
+    def counted(df, label):
+        written = real(df, label)
+        if label == "similar-pairs":
+            tried.append(written.count())
+        return written
+
+    monkeypatch.setattr(similar, "materialize", counted)
+    kept = similar.drop_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in kept.collect()) == plain_kept(rows)
+    assert sum(tried) < 10 * len(rows)
+
+
+def test_pivot_table_pairs_against_all_pairs(spark):
+    rows = planted() + [(10**6 + i, t) for i, t in near_group(60, words=600)]
+    sims = [(i, similar.fingerprint(similar.shingle_set(t))) for i, t in rows]
+    found = similar.pivot_pairs(spark.createDataFrame(sims, "fp long, sim long")).collect()
+    near = {i: {j for j, b in sims if j != i and ((a ^ b) % 2**64).bit_count() <= 3} for i, a in sims}
+    assert {r.v for r in found} == {v for v, us in near.items() if us and min(us) < v} and len(found) > 40
+    assert all(r.u in near[r.v] or dict(sims)[r.u] == dict(sims)[r.v] for r in found)
+
+
+def test_stage_gets_pairs_from_the_pivot_table(spark, sf_dir, monkeypatch):
+    rows, met = near_group(40, words=600), []
+    real = similar.simhash.links
+    monkeypatch.setattr(similar.simhash, "links", lambda *given: met.append(real(*given)) or met[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates_stage(spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in kept.collect()) == plain_kept(rows)
+    assert len(met) == 1 and not met[0].isEmpty()
