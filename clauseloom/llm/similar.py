@@ -13,7 +13,7 @@ is at least ``ratio`` (a numerator and a denominator), and a class is everything
   finds the others, at most a row for each entry.
 * Of these the texts are read once, and their sets written. For some rounds the members of each prefix shingle meet a few of
   them, and each set is tried with the one with which it shares most shingles: a large group of near copies becomes one class without
-  its pairs being tried. Then every pair that still lies in two classes is tried, unless eight or more parity bits a shingle exclude it.
+  its pairs being tried. Then every pair that still lies in two classes is tried, unless two or more parity bits a shingle exclude it.
   All that can be told by bits is the joins' condition. Links are verified by the exact similarity of the sets.
 
 Copies, and texts of equal sets, are one row in all this.
@@ -47,7 +47,8 @@ SHAPE = ["n", *[f"b{i}" for i in range(WORDS)]]
 #: Bits within which the pivot table's pairs lie.
 RADIUS = 3
 #: Rounds in which members of a prefix shingle meet so many of them; they decide on speed alone.
-ROUNDS, HUBS = 4, 4
+#: They end early when fewer than a ``GAIN``-th of the pairs tried are links.
+ROUNDS, HUBS, GAIN = 4, 4, 32
 
 
 def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
@@ -131,16 +132,15 @@ def signature(text: Column, ratio: tuple[int, int], shingle: int, common: tuple[
 
 
 def whole_set(text: Column, shingle: int) -> Column:
-    """``hashes`` of a text's set, and its ``parity`` of eight bits a shingle or more."""
+    """``hashes`` of a text's set, and its ``parity`` of two bits a shingle or more, of short texts four."""
 
     @F.arrow_udf("struct<hashes:array<bigint>,parity:array<bigint>>")
     @tidy
     def sets(texts: pa.Array) -> pa.Array:
         made = [shingle_set(t.as_py() or "", shingle) for t in texts]
         kind = pa.list_(pa.int64())
-        return pa.StructArray.from_arrays(
-            [pa.array([m.view(np.int64) for m in made], kind), pa.array([parity_words(m, 8 * len(m)) for m in made], kind)], ["hashes", "parity"]
-        )
+        parity = [parity_words(m, max(min(4 * len(m), 2048), 2 * len(m))) for m in made]
+        return pa.StructArray.from_arrays([pa.array([m.view(np.int64) for m in made], kind), pa.array(parity, kind)], ["hashes", "parity"])
 
     return sets(text)
 
@@ -232,19 +232,28 @@ def links(nodes: DataFrame, texts: DataFrame, ratio: tuple[int, int], shingle: i
         ]))).alias("hub"))
         met = apart.join(hubs, "key").filter("root <> hub.root").groupBy(F.col("fp").alias("v"), F.col("hub.fp").alias("u")).agg(F.count("*").alias("keys"))
         best = met.groupBy("v").agg(F.max(F.struct("keys", "u")).alias("best")).select(F.col("best.u").alias("u"), "v")
+        best = materialize(best, "similar-best")
         more = verified(best)
-        if more.isEmpty():
+        gained = more.count()
+        if not gained:
             break
         found = materialize(found.union(more), "similar-links")
         apart = meeting(found)
         if apart.isEmpty():
             return found
-    shapes = nodes.select("fp", *SHAPE).join(sets.select("fp", "parity"), "fp")
-    wide = apart.join(shapes, "fp")
-    a, b = (
-        wide.select("key", F.col("fp").alias(s), F.col("root").alias(f"root_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in (*SHAPE, "parity")])
-        for s in "uv"
-    )
+        if gained * GAIN < best.count():
+            break
+    shaped = materialize(apart.join(nodes.select("fp", *SHAPE), "fp"), "similar-shaped")
+
+    def sides(rows: DataFrame, *more: str) -> list[DataFrame]:
+        columns = ("root", *SHAPE, *more)
+        return [rows.select("key", F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "uv"]
+
+    # Only sets that still may have a partner in another class take their longer parity along.
+    a, b = sides(shaped)
+    meets = (a["key"] == b["key"]) & (F.col("root_u") != F.col("root_v")) & _possible(ratio)
+    left = materialize(a.join(b.hint("merge"), meets, "left_semi").select("key", F.col("u").alias("fp")), "similar-left")
+    a, b = sides(shaped.join(left, ["key", "fp"]).join(sets.select("fp", "parity"), "fp"), "parity")
     apart_still = (a["key"] == b["key"]) & (F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v"))
     pairs = a.join(b.hint("merge"), apart_still & _possible(ratio) & _still_possible(ratio)).select("u", "v").distinct()
     return found.union(verified(pairs))
