@@ -165,7 +165,11 @@ def lined(spark, sf_dir):
 
 
 def segments(spark, sf_dir):
-    return ly.materialize(ly.segment_texts(ly.with_segments(lined(spark, sf_dir))), "layout-segments")
+    return ly.segment_texts(lined(spark, sf_dir))
+
+
+def spaced(spark, sf_dir):
+    return ly.with_spacing(segments(spark, sf_dir))
 
 
 @entry(
@@ -260,26 +264,23 @@ def pdf_segment_font(spark, sf_dir):
 
 @entry("pdf_body_median", ("run_body",), "SELECT doc_id, page, round(body_font, 6) AS body_font FROM run_body")
 def pdf_body_median(spark, sf_dir):
-    return ly.body_font(lined(spark, sf_dir)).select("doc_id", "page", F.round("body_font", 6).alias("body_font"))
+    return ly.body_font(items(spark, sf_dir)).select("doc_id", "page", F.round("body_font", 6).alias("body_font"))
 
 
 @entry("pdf_line_spacing_median", ("run_typical",), "SELECT doc_id, page, round(typical, 6) AS typical FROM run_typical")
 def pdf_line_spacing_median(spark, sf_dir):
-    return ly.typical_spacing(ly.lines_of(segments(spark, sf_dir))).select(
+    return ly.typical_spacing(spaced(spark, sf_dir)).select(
         "doc_id", "page", F.round("typical", 6).alias("typical")
     )
 
 
-def singles(spark, sf_dir):
-    rows = ly.materialize(lined(spark, sf_dir), "layout-lines")
-    made = ly.materialize(ly.segment_texts(ly.with_segments(rows)), "layout-segments")
-    lines = ly.lines_of(made)
-    return ly.single_lines(made, lines, ly.body_font(rows), ly.typical_spacing(lines))
+def judged(spark, sf_dir):
+    return ly.with_spacing(ly.segment_texts(ly.with_lines(ly.with_body_font(items(spark, sf_dir)))))
 
 
 @entry("pdf_font_ranks", ("run_ranks",), "SELECT doc_id, page, bucket, rank FROM run_ranks")
 def pdf_font_ranks(spark, sf_dir):
-    return ly.font_ranks(singles(spark, sf_dir))
+    return ly.font_ranks(judged(spark, sf_dir))
 
 
 @entry(
@@ -305,8 +306,7 @@ def pdf_explicit_heading(spark, sf_dir):
         WHERE (explicit IS NOT NULL)::INT + large::INT + (centred AND isolated)::INT >= 2 AND (explicit IS NOT NULL OR rank IS NOT NULL)""",
 )
 def pdf_heading_classify(spark, sf_dir):
-    rows = ly.materialize(singles(spark, sf_dir), "layout-singles")
-    return ly.headings(rows, ly.font_ranks(rows))
+    return ly.headings(judged(spark, sf_dir))
 
 
 @entry(
@@ -325,15 +325,12 @@ def pdf_heading_classify(spark, sf_dir):
     ),
 )
 def pdf_table_bands(spark, sf_dir):
-    made = segments(spark, sf_dir)
-    return ly.table_bands(made, ly.lines_of(made))
+    return ly.table_bands(spaced(spark, sf_dir))
 
 
 @entry("pdf_column_bands")
 def pdf_column_bands(spark, sf_dir):
-    made = segments(spark, sf_dir)
-    lines = ly.lines_of(made)
-    return ly.column_bands(made, lines, ly.typical_spacing(lines))
+    return ly.column_bands(spaced(spark, sf_dir))
 
 
 @entry("pdf_reading_order")

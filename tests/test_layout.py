@@ -136,3 +136,26 @@ def test_duplicate_content_equals_brute_force(spark):
     got = checks.duplicate_content(rows).collect()
     assert {r.id: r.similar for r in got} == similar
     assert {r.id: r.copies for r in got} == {i: sum(t == texts_[i] for t in texts_.values()) for i in ids}
+
+
+def test_page_steps_share_their_partitioning(spark, runs):
+    """From runs to judged segments a row is shuffled three times at most: to its page, behind the line fold and behind the texts."""
+    items = layout.with_flow_class(layout.with_dominant_flow(layout.layout_items(runs)))
+    spaced = layout.with_spacing(layout.segment_texts(layout.with_lines(layout.with_body_font(items))))
+    judged = layout.with_columns(layout.with_tables(layout.with_headings(spaced)))
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 3 and "Join" not in plan
+
+
+def test_batch_borders_change_no_page(spark, runs):
+    """Lines and segments go on where an Arrow batch ends."""
+    def rows():
+        return sorted((tuple(map(str, r)) for r in layout.extract_pages(runs).collect()))
+
+    whole, key = rows(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    try:
+        assert rows() == whole
+    finally:
+        spark.conf.set(key, before)
