@@ -55,6 +55,24 @@ def advance(line: Column, column: Column, quote: Column) -> tuple[Column, Column
 BIN_UNITS = 1024
 
 
+def quoted_parts(quotes: DataFrame, blocks: DataFrame, reach: int) -> DataFrame:
+    """Parts (``part_start``, ``part_end``) of ``blocks(doc_id, block_no, text_start, text_end, ...)`` in which a span of at most ``reach``
+    units can start that overlaps a quote.
+
+    Blocks are narrow beside their spans: those that no quote can meet are dropped before they are made, let alone shuffled.
+    """
+    def parts(first: Column, last: Column) -> Column:
+        return F.explode(F.sequence(F.floor(first / BIN_UNITS), F.floor(F.greatest(last - 1, first) / BIN_UNITS))).alias("part")
+
+    start, end = F.col("quote_start"), F.greatest("quote_end", F.col("quote_start") + 1)
+    near = quotes.select("doc_id", "block_no", parts(start - reach, end))
+    every = blocks.select("*", parts(F.col("text_start"), F.col("text_end")))
+    return every.join(near, ["doc_id", "block_no", "part"], "left_semi").select(
+        *blocks.columns, F.greatest("text_start", F.col("part") * BIN_UNITS).alias("part_start"),
+        F.least("text_end", (F.col("part") + 1) * BIN_UNITS).alias("part_end"),
+    )
+
+
 def overlapping(quotes: DataFrame, spans: DataFrame, keys: tuple[str, ...] = ("doc_id", "block_no")) -> DataFrame:
     """Every (quote, span) that overlap inside the same block.
 

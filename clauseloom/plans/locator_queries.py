@@ -67,9 +67,11 @@ _SPAN_SQL = """
 
 
 def spans_of(spark, sf_dir):
-    blocks = bl.line_blocks(canonical(spark, sf_dir))
-    count = F.floor((F.col("text_end") - F.col("text_start") + 11) / 12)
-    rows = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("span_no"))
+    blocks = bl.line_blocks(canonical(spark, sf_dir)).select("doc_id", "block_no", "line_no", "text_start", "text_end")
+    parts = lc.quoted_parts(quotes_of(spark, sf_dir), blocks, reach=10)
+    # Spans that start in the part; a part may be too short for any.
+    first, last = (F.ceil((F.col(c) - F.col("text_start")) / 12) for c in ("part_start", "part_end"))
+    rows = parts.select("*", F.explode(F.when(first < last, F.sequence(first, last - 1))).alias("span_no"))
     start = F.col("text_start") + F.col("span_no") * 12
     return rows.select(
         "doc_id", "block_no", "span_no", start.alias("span_start"),
