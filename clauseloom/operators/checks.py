@@ -109,13 +109,12 @@ def _shingles(text: Column) -> Column:
 
 def _jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     first, second = (
-        sets.select(F.col("id").alias(k), F.col("items").alias(f"items_{k}")) for k in ("a", "b")
+        sets.select(F.col("id").alias(k), F.col("size").alias(f"size_{k}"), F.col("items").alias(f"items_{k}")) for k in ("a", "b")
     )
     both = pairs.join(first, "a").join(second, "b")
+    # What only one text has is in its size, and in no intersection.
     common = F.size(F.array_intersect("items_a", "items_b"))
-    return both.select(
-        "a", "b", (common / (F.size("items_a") + F.size("items_b") - common)).alias("similarity")
-    )
+    return both.select("a", "b", (common / (F.col("size_a") + F.col("size_b") - common)).alias("similarity"))
 
 
 def duplicate_content(sections: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -130,19 +129,19 @@ def duplicate_content(sections: DataFrame, threshold: float = 0.8) -> DataFrame:
     content = sections.groupBy(F.sha2("text", 256).alias("digest")).agg(
         F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("text").alias("text")
     )
-    sets = materialize(content.select("id", "copies", _shingles(F.col("text")).alias("items")), "shingles")
-
-    items = sets.select("id", F.size("items").alias("size"), F.explode("items").alias("item"))
-    frequency = items.groupBy("item").agg(F.count("*").alias("n"))
-    rank = W.partitionBy("id").orderBy("n", "item")
-    # More than t·|x| common items are impossible unless the rarest |x| - ceil(t·|x|) + 1 meet.
-    prefix = F.col("size") - F.ceil(F.col("size") * threshold) + 1
-    keyed = (
-        items.join(frequency, "item")
-        .withColumn("position", F.row_number().over(rank))
-        .filter((F.col("position") <= prefix) & (F.col("n") > 1))
-        .select("id", "size", "item")
+    # Counted where they lie: a shingle crosses once with its text's id, and those of one text only go no further.
+    shingled = content.select("id", _shingles(F.col("text")).alias("items"))
+    items = shingled.select("id", F.size("items").alias("size"), F.explode("items").alias("item"))
+    shared = items.withColumn("n", F.count("*").over(W.partitionBy("item"))).filter("n > 1")
+    packed = shared.groupBy("id").agg(
+        F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "item"))).alias("found")
     )
+    sets = materialize(packed.select("id", "size", F.transform("found", lambda f: f["item"]).alias("items")), "shared-shingles")
+
+    # More than t·|x| common items are impossible unless the rarest |x| - ceil(t·|x|) + 1 meet. Shingles of one text only are its
+    # rarest, so they come first and are left out of the others' places.
+    prefix = F.size("items") - F.ceil(F.col("size") * threshold) + 1
+    keyed = sets.filter(prefix > 0).select("id", "size", F.explode(F.slice("items", F.lit(1), prefix.cast("int"))).alias("item"))
     keyed = materialize(keyed, "rare-shingles")
 
     leaders = keyed.groupBy("item").agg(F.min("id").alias("a"))
@@ -168,6 +167,7 @@ def duplicate_content(sections: DataFrame, threshold: float = 0.8) -> DataFrame:
     )
     late = _jaccard(rest, sets).filter(F.col("similarity") > threshold).select(F.col("a").alias("id"))
     similar = paired.union(late).distinct().withColumn("similar", F.lit(True))
-    return sets.join(similar, "id", "left").select(
+    texts = sections.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    return texts.join(similar, "id", "left").select(
         "id", "copies", F.coalesce("similar", F.lit(False)).alias("similar")
     )

@@ -159,3 +159,13 @@ def test_batch_borders_change_no_page(spark, runs):
         assert rows() == whole
     finally:
         spark.conf.set(key, before)
+
+
+def test_texts_without_shared_shingles_write_no_sets(spark, monkeypatch):
+    written = []
+    keep = checks.materialize
+    monkeypatch.setattr(checks, "materialize", lambda df, label: written.append((label, keep(df, label))) or written[-1][1])
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(20)] + [(50, "a b c d e f"), (51, "a b c d e f"), (52, "z a b c d e f")]
+    got = {r.id: (r.copies, r.similar) for r in checks.duplicate_content(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert got == {**{i: (1, False) for i in range(20)}, 50: (2, False), 52: (1, False)}
+    assert {label: df.count() for label, df in written if "shingles" in label}["shared-shingles"] == 2
