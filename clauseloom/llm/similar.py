@@ -10,13 +10,14 @@ is at least ``ratio`` (a numerator and a denominator), and a class is everything
   will do; common shingles are put last, so that a line of many texts is hardly ever in a prefix.
 * A pair that meets is discarded by its sizes or by its parity bits (each bit tells whether an odd number of shingles fell
   there; sets differ in at least as many shingles as bits), 256 of them. A set without any partner left goes no further: a semi-join
-  finds the others, at most a row for each entry.
+  finds the others, at most a row for each entry. What is left is tried once more by 2,048 bits, since 256 tell nothing of sets of
+  600 shingles and more.
 * Of these the texts are read once, and their sets written. For some rounds the members of each prefix shingle meet a few of
   them, and each set is tried with the one with which it shares most shingles: a large group of near copies becomes one class without
-  its pairs being tried. Then every pair that still lies in two classes is tried, unless two or more parity bits a shingle exclude it.
+  its pairs being tried; pairs that longer parity excludes are not verified. Then every pair that still lies in two classes is tried, unless two or more parity bits a shingle exclude it.
   All that can be told by bits is the joins' condition. Links are verified by the exact similarity of the sets.
 
-Copies, and texts of equal sets, are one row in all this.
+Copies, and texts of equal sets, are one row in all this. Shuffle files of a step are removed as soon as its result is written.
 
 Defined results: fewer words than a shingle are one shingle; null and empty texts (no words) are alike; repeated
 rows are one class; an empty table gives no rows. Only the id and text columns are read, and the whole row's hash.
@@ -37,13 +38,14 @@ from clauseloom.llm import simhash
 from clauseloom.llm.common import named, tidy
 from clauseloom.llm.components import components
 from clauseloom.llm.simhash import BITS, SEED, keep_first, ranked
-from clauseloom.session import materialize
+from clauseloom.session import materialize, shuffles_removed
 
 #: Cells in which shingles are counted for their order, the share of a task's texts that makes a cell common there, and how
 #: many of the most common are told to all tasks. They decide on speed alone: every order finds all pairs.
 CELL_BITS, COMMON_SHARE, COMMON_LEAST, COMMON_CELLS = 20, 256, 16, 65_536
-WORDS = 4  # parity words of 64 bits
+WORDS, WIDE = 4, 32  # parity words of 64 bits that every entry takes along, and those of the second test
 SHAPE = ["n", *[f"b{i}" for i in range(WORDS)]]
+WIDE_SHAPE = ["n", *[f"b{i}" for i in range(WIDE)]]
 #: Bits within which the pivot table's pairs lie.
 RADIUS = 3
 #: Rounds in which members of a prefix shingle meet so many of them; they decide on speed alone.
@@ -100,7 +102,7 @@ def parity_words(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def signature(text: Column, ratio: tuple[int, int], shingle: int, common: tuple[np.ndarray, np.ndarray]) -> Column:
-    """``fp`` (a hash of the set), its size ``n``, SimHash ``sim``, parity words ``b0``..., and its ``prefix`` (32 bits a shingle:
+    """``fp`` (a hash of the set), its size ``n``, SimHash ``sim``, parity words ``wide``, and its ``prefix`` (32 bits a shingle:
     others that share them are discarded later)."""
     cells, counts = common
 
@@ -113,16 +115,15 @@ def signature(text: Column, ratio: tuple[int, int], shingle: int, common: tuple[
             weight = np.where(cells[spot] == at, counts[spot], 0)
         # Stable over sorted hashes: of equal weights, the smaller hash is first.
         first = hashes[np.argsort(weight, kind="stable")[: prefix_length(len(hashes), ratio)]]
-        few = parity_words(hashes, 64 * WORDS)
+        wide = parity_words(hashes, 64 * WIDE)
         fp = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
         keys = np.unique((first & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32)
-        return fp - (1 << 64) if fp >> 63 else fp, len(hashes), fingerprint(hashes), *few.tolist(), keys
+        return fp - (1 << 64) if fp >> 63 else fp, len(hashes), fingerprint(hashes), wide, keys
 
-    kind = "struct<fp:bigint,n:int,sim:bigint," + "".join(f"b{i}:bigint," for i in range(WORDS)) + "prefix:array<int>>"
-    names = ["fp", *SHAPE[:1], "sim", *SHAPE[1:], "prefix"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.int64()] * WORDS, pa.list_(pa.int32())]
+    names = ["fp", "n", "sim", "wide", "prefix"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf("struct<fp:bigint,n:int,sim:bigint,wide:array<bigint>,prefix:array<int>>")
     @tidy
     def signatures(texts: pa.Array) -> pa.Array:
         made = [one(t.as_py() or "") for t in texts]
@@ -152,12 +153,24 @@ def similar(u: Column, v: Column, ratio: tuple[int, int]) -> Column:
     return whole * common >= part * (F.size(u).cast("long") + F.size(v).cast("long") - common)
 
 
-def _possible(ratio: tuple[int, int]) -> Column:
+def shape(words: int) -> list[Column]:
+    """``n`` and that many parity words, of the ``wide`` ones folded: a shorter parity is the exclusive or of the parts of a longer one."""
+    return [F.col("n"), *[
+        reduce(Column.bitwiseXOR, [F.col("wide")[at] for at in range(i, WIDE, words)]).alias(f"b{i}") for i in range(words)
+    ]]
+
+
+def _sizes_possible(ratio: tuple[int, int]) -> Column:
+    n_u, n_v = F.col("n_u").cast("long"), F.col("n_v").cast("long")
+    return ratio[0] * F.greatest(n_u, n_v) <= ratio[1] * F.least(n_u, n_v)
+
+
+def _possible(ratio: tuple[int, int], words: int = WORDS) -> Column:
     """Whether the shapes ``_u`` and ``_v`` leave a similarity of ``ratio`` possible."""
     part, whole = ratio
     n_u, n_v = F.col("n_u").cast("long"), F.col("n_v").cast("long")
-    bits = reduce(Column.__add__, [F.bit_count(F.col(f"b{i}_u").bitwiseXOR(F.col(f"b{i}_v"))) for i in range(WORDS)])
-    return (part * F.greatest(n_u, n_v) <= whole * F.least(n_u, n_v)) & ((whole + part) * bits <= (whole - part) * (n_u + n_v))
+    bits = reduce(Column.__add__, [F.bit_count(F.col(f"b{i}_u").bitwiseXOR(F.col(f"b{i}_v"))) for i in range(words)])
+    return _sizes_possible(ratio) & ((whole + part) * bits <= (whole - part) * (n_u + n_v))
 
 
 def _still_possible(ratio: tuple[int, int]) -> Column:
@@ -188,29 +201,44 @@ def pivot_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def links(nodes: DataFrame, texts: DataFrame, ratio: tuple[int, int], shingle: int) -> DataFrame:
-    """``nodes(fp, doc, row, n, sim, b0..., prefix)`` and ``texts(text_doc, text_row, text)`` → ``(u, v)``: pairs of similarity
+    """``nodes(fp, doc, row, n, sim, wide, prefix)`` and ``texts(text_doc, text_row, text)`` → ``(u, v)``: pairs of similarity
     ``ratio`` or more, enough of them for the classes."""
     # A row becomes many: without a key, the exchange is not coalesced.
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = nodes.select("fp", *SHAPE, "prefix").repartition(parts).select("fp", *SHAPE, F.explode("prefix").alias("key"))
+    shapes = nodes.select("fp", *shape(WORDS))
+    entries = nodes.select("fp", *shape(WORDS), "prefix").repartition(parts).select("fp", *SHAPE, F.explode("prefix").alias("key"))
     # A set has a key once, so counting is enough.
     several = entries.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1").select("key")
     shared = materialize(entries.join(several, "key"), "similar-keys")
-    a, b = (shared.select("key", F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in SHAPE]) for s in "uv")
-    meets = (a["key"] == b["key"]) & (F.col("u") != F.col("v")) & _possible(ratio)
-    alive = materialize(a.join(b.hint("merge"), meets, "left_semi").select(F.col("u").alias("fp")).distinct(), "similar-alive")
 
-    picked = nodes.select("fp", "doc", "row").join(alive, "fp")
-    held = texts.join(picked, F.col("text_doc").eqNullSafe(F.col("doc")) & (F.col("text_row") == F.col("row")))
-    # Rows may be equal in every column: any of them will do.
-    once = held.select("fp", whole_set(F.col("text"), shingle).alias("made")).dropDuplicates(["fp"])
-    sets = materialize(once.select("fp", "made.*"), "similar-sets")
+    def with_partner(rows: DataFrame, columns: list[str], words: int) -> DataFrame:
+        """The sets of ``rows(key, fp, ...)`` that have a possible partner under a key."""
+        a, b = (rows.select("key", F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "uv")
+        meets = (a["key"] == b["key"]) & (F.col("u") != F.col("v")) & _possible(ratio, words)
+        return materialize(a.join(b.hint("merge"), meets, "left_semi").select(F.col("u").alias("fp")).distinct(), "similar-alive")
+
+    near = with_partner(shared, SHAPE, WORDS)
+    # Before they are shuffled, the wider words meet only sets that the first test left.
+    wide = nodes.select("fp", "n", "wide").join(near, "fp").select("fp", *shape(WIDE))
+    alive = with_partner(shared.select("key", "fp").join(wide.hint("merge"), "fp"), WIDE_SHAPE, WIDE)
+
+    key = ["text_row", "absent", "present"]
+    picked = nodes.select(
+        F.col("row").alias("text_row"), F.col("doc").isNull().alias("absent"), F.coalesce("doc", F.lit(0)).alias("present"), "fp", "n"
+    ).join(alive, "fp")
+    found_texts = texts.select("text_row", F.col("text_doc").isNull().alias("absent"), F.coalesce("text_doc", F.lit(0)).alias("present"), "text")
+    # Rows may be equal in every column: any of them will do, and they lie together already.
+    held = found_texts.join(picked.hint("merge"), key).dropDuplicates(key)
+    sets = materialize(held.select("fp", "n", whole_set(F.col("text"), shingle).alias("made")).select("fp", "n", "made.*"), "similar-sets")
+
+    def of_pairs(pairs: DataFrame, *columns: str) -> DataFrame:
+        """``pairs(u, v)`` with columns of both sets."""
+        u, v = (sets.select(F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "uv")
+        return pairs.join(u, "u").join(v, "v")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "similar-pairs")
-        both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("hashes_u")), "u").join(
-            sets.select(F.col("fp").alias("v"), F.col("hashes").alias("hashes_v")), "v"
-        )
+        possible = of_pairs(pairs, "n", "parity").filter(_sizes_possible(ratio) & _still_possible(ratio)).select("u", "v")
+        both = of_pairs(materialize(possible, "similar-pairs"), "hashes")
         return materialize(both.filter(similar(F.col("hashes_u"), F.col("hashes_v"), ratio)).select("u", "v"), "similar-found")
 
     entries = materialize(shared.select("key", "fp").join(alive, "fp"), "similar-entries")
@@ -243,7 +271,7 @@ def links(nodes: DataFrame, texts: DataFrame, ratio: tuple[int, int], shingle: i
             return found
         if gained * GAIN < best.count():
             break
-    shaped = materialize(apart.join(nodes.select("fp", *SHAPE), "fp"), "similar-shaped")
+    shaped = materialize(apart.join(shapes, "fp"), "similar-shaped")
 
     def sides(rows: DataFrame, *more: str) -> list[DataFrame]:
         columns = ("root", *SHAPE, *more)
@@ -264,16 +292,23 @@ def drop_similar(
 ) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest id (nulls last), then of the smallest hash of
     the whole row; of rows equal in every column one stays."""
+    with shuffles_removed(docs.sparkSession):
+        classes = _classes(docs, ratio, shingle, doc_id, text)
+    return keep_first(docs, classes, doc_id)
+
+
+def _classes(docs: DataFrame, ratio: tuple[int, int], shingle: int, doc_id: str, text: str) -> DataFrame:
+    """``(fp, root, first)``: every set with its class and the first row that has it."""
     sign = signature(named(text), ratio, shingle, common_cells(docs, text, shingle))
     whole = F.xxhash64(*[named(c) for c in docs.columns])
     marked = materialize(
         docs.select(named(doc_id).alias("doc_id"), whole.alias("row"), sign.alias("sign")).select("doc_id", "row", "sign.*"), "similar"
     )
-    shape = marked.groupBy("fp").agg(*[F.any_value(c).alias(c) for c in (*SHAPE, "sim", "prefix")])
-    nodes = materialize(ranked(marked).join(shape, "fp"), "similar-nodes")
-    picked = nodes.select("fp", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("row"), *SHAPE, "sim", "prefix")
+    shapes = marked.groupBy("fp").agg(*[F.any_value(c).alias(c) for c in ("n", "sim", "wide", "prefix")])
+    nodes = materialize(ranked(marked).join(shapes, "fp"), "similar-nodes")
+    picked = nodes.select("fp", F.col("first.doc_id").alias("doc"), F.col("first.row").alias("row"), "n", "sim", "wide", "prefix")
     # Names of its own, so that no further column of the documents can clash.
     texts = docs.select(named(doc_id).alias("text_doc"), whole.alias("text_row"), named(text).alias("text"))
     roots = components(links(picked, texts, ratio, shingle), "similar-links").withColumnRenamed("node", "fp")
     classes = nodes.select("fp", "first").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return keep_first(docs, materialize(classes, "similar-classes"), doc_id)
+    return materialize(classes, "similar-classes")

@@ -130,3 +130,47 @@ def test_stage_gets_pairs_from_the_pivot_table(spark, sf_dir, monkeypatch):
     kept = corpus_pipeline.near_duplicates_stage(spark, docs, sf_dir)
     assert sorted(r.doc_id for r in kept.collect()) == plain_kept(rows)
     assert len(met) == 1 and not met[0].isEmpty()
+
+
+def test_sets_are_made_only_of_texts_that_may_have_a_partner(spark, monkeypatch):
+    """Long texts that share a passage of an eighth, which 256 parity bits cannot tell from near copies; two of them have one."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(120)]
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(880)] + passage for _ in range(30)]
+    texts += [texts[k][:500] + ["changed"] + texts[k][501:] for k in (3, 7)]
+    rows, made = [(i, " ".join(t)) for i, t in enumerate(texts)], []
+    real = similar.materialize
+
+    def counted(df, label):
+        written = real(df, label)
+        if label == "similar-sets":
+            made.append(written.count())
+        return written
+
+    monkeypatch.setattr(similar, "materialize", counted)
+    kept = similar.drop_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in kept.collect()) == plain_kept(rows) == list(range(30))
+    assert made == [4]
+
+
+def test_shuffles_go_with_their_step(spark, monkeypatch):
+    setting, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    before = spark.conf.get(setting, None)
+    real = similar.materialize
+    monkeypatch.setattr(similar, "materialize", lambda df, label: seen.append(spark.conf.get(setting, None)) or real(df, label))
+    rows = planted()
+    kept = similar.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == plain_kept(rows)
+    assert set(seen) == {"true"} and spark.conf.get(setting, None) == before
+
+
+@pytest.mark.parametrize("n", [1, 90, 700, 3000])
+def test_folded_parity_is_the_shorter_parity(spark, n):
+    hashes = similar.shingle_set(" ".join(f"w{i}" for i in range(n + 4)))
+    wide = similar.parity_words(hashes, 64 * similar.WIDE).tolist()[: similar.WIDE]
+    got = spark.createDataFrame([(n, wide)], "n int, wide array<bigint>").select(*similar.shape(similar.WORDS)).first()
+    odd = [0] * 256
+    for h in hashes.tolist():
+        odd[h % 256] ^= 1
+    words = [int("".join(map(str, odd[64 * i : 64 * i + 64])), 2) for i in range(4)]
+    assert [x % 2**64 for x in got[1:]] == words
