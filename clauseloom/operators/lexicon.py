@@ -33,6 +33,8 @@ LARGEST = 64 << 20
 SMALL = 4 << 20
 #: Longest part of a literal that is looked up, bits of the table of literals a literal, its largest size (as a power of 2) and probes.
 WIDEST, BITS_EACH, MOST_BITS, PROBES = 16, 32, 28, 3
+#: Widths at which a place of a text is given up where no literal begins like it.
+GATES = (4, 8)
 
 # What the pattern language of the engine has and the parser lacks. Only literals are read from the result, so that a
 # class may stand for another one.
@@ -56,10 +58,13 @@ def fold(text: str) -> str:
 
 
 def _better(a: frozenset[str] | None, b: frozenset[str] | None) -> frozenset[str] | None:
-    """Of two sets the one whose shortest literal is longer; then the smaller one."""
+    """Of two sets the one whose shortest literal is longer, where every further literal counts like two characters less; then the smaller one.
+
+    Without that, rules that differ in a short number only would all be looked up by the words that they share.
+    """
     if not a or not b:
         return a or b
-    return max(a, b, key=lambda s: (min(map(len, s)), -len(s)))
+    return max(a, b, key=lambda s: (min(map(len, s)) - 2 * (len(s) - 1), -len(s)))
 
 
 def _required(items) -> frozenset[str] | None:
@@ -92,8 +97,8 @@ def _required(items) -> frozenset[str] | None:
     return best
 
 
-def required_literals(pattern: str) -> frozenset[str]:
-    """Literals, folded, one of which is in every text that the pattern matches; none where that cannot be told."""
+@lru_cache(10_000)
+def _shape_literals(pattern: str) -> frozenset[str]:
     for find, by in _TRANSLATED:
         pattern = find.sub(by, pattern)
     try:
@@ -102,6 +107,30 @@ def required_literals(pattern: str) -> frozenset[str]:
         return frozenset()
 
 
+# Words behind a space, of which each character stands for itself wherever such a word may be in a pattern, and what stands for them in its shape.
+_WORD, _HELD = re.compile(r"(?<=[^\\] )[0-9A-Za-z]{1,1000}(?=[ ()|$]|\Z)"), 0xF0000
+
+
+def required_literals(pattern: str) -> frozenset[str]:
+    """Literals, folded, one of which is in every text that the pattern matches; none where that cannot be told.
+
+    Rules of a lexicon differ in few words: a shape is parsed once, with a private character for each of these words' own.
+    """
+    words = "" if "\\N" in pattern else "".join(_WORD.findall(pattern))
+    if not 0 < len(words) < 0xFFFE or any(_HELD <= ord(c) for c in pattern):
+        return _shape_literals(pattern)
+    count = 0
+
+    def held(word: re.Match) -> str:
+        nonlocal count
+        first, count = _HELD + count, count + word.end() - word.start()
+        return "".join(map(chr, range(first, _HELD + count)))
+
+    literals = _shape_literals(_WORD.sub(held, pattern))
+    own = {_HELD + i: char for i, char in enumerate(words.lower())}
+    return frozenset(literal.translate(own) for literal in literals)
+
+
 @lru_cache(2)
 def _automaton(literals: tuple[tuple[str, int], ...]):
     owners: dict[str, list[int]] = {}
@@ -179,69 +208,106 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def _part_hashes(points: np.ndarray, widest: int):
-    """``(width, hashes)`` of all parts of a text, by width."""
-    rolled = np.zeros(len(points) + 1, np.uint64)
-    for width in range(1, min(widest, len(points)) + 1):
-        rolled = rolled[:-1] * _BASE + points[width - 1 :] + np.uint64(1)
-        mixed = (rolled ^ (rolled >> np.uint64(31)) ^ np.uint64(width)) * _MIX
-        yield width, mixed ^ (mixed >> np.uint64(29))
+def _mixed(rolled: np.ndarray, width: int, gate: bool = False) -> np.ndarray:
+    mixed = (rolled ^ (rolled >> np.uint64(31)) ^ np.uint64(width + 64 * gate)) * _MIX
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _rolled(before: np.ndarray, points: np.ndarray) -> np.ndarray:
+    return before * _BASE + points + np.uint64(1)
 
 
 def _probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(hashes >> np.uint64(i * 17)) & np.uint64((1 << bits) - 1) for i in range(PROBES)]
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
+def _once(owners: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash of an owner once, in order."""
+    order = np.lexsort((hashes, owners))
+    owners, hashes = owners[order], hashes[order]
+    first = np.ones(len(hashes), bool)
+    first[1:] = (owners[1:] != owners[:-1]) | (hashes[1:] != hashes[:-1])
+    return owners[first], hashes[first]
+
+
+def _lists(owners: np.ndarray, hashes: np.ndarray, count: int) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=count))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))
+
+
+_HASHES = T.ArrayType(T.LongType())
+
+
+@F.arrow_udf(T.StructType([T.StructField("literals", _HASHES), T.StructField("gates", _HASHES), T.StructField("widths", T.IntegerType())]))
 def _literal_hashes(patterns: pa.Array) -> pa.Array:
-    """Hashes of the literals one of which every match of a pattern holds (of their first ``WIDEST`` characters); none where that cannot be told."""
-    made = []
-    for pattern in patterns:
-        heads = {literal[:WIDEST] for literal in required_literals(pattern.as_py())}
-        made.append(sorted({int(hashes[0]) for head in heads for width, hashes in _part_hashes(_points(head), WIDEST) if width == len(head)}))
-    offsets = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)
-    flat = np.array([h for m in made for h in m], np.uint64).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    """Hashes of the literals one of which every match of a pattern holds (of their first ``WIDEST`` characters), none where that cannot be
+    told; hashes of how these begin at ``GATES``; a bit for the width of each."""
+    heads = [{literal[:WIDEST] for literal in required_literals(pattern)} for pattern in patterns.to_pylist()]
+    owner = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+    flat = [head for h in heads for head in h]
+    lengths = np.array([len(head) for head in flat], np.int64)
+    points = np.zeros((len(flat), WIDEST), np.uint64)
+    points[np.arange(WIDEST) < lengths[:, None]] = _points("".join(flat))
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    whole, begun, rolled = [none], [none], np.zeros(len(flat), np.uint64)
+    for width in range(1, WIDEST + 1):
+        rolled = _rolled(rolled, points[:, width - 1])
+        whole.append((owner[lengths == width], _mixed(rolled, width)[lengths == width]))
+        if width in GATES:
+            begun.append((owner[lengths > width], _mixed(rolled, width, True)[lengths > width]))
+    lists = [_lists(*_once(*map(np.concatenate, zip(*made, strict=True))), len(heads)) for made in (whole, begun)]
+    widths = [sum({1 << len(head) for head in h}) for h in heads]
+    return pa.StructArray.from_arrays([*lists, pa.array(widths, pa.int32())], ["literals", "gates", "widths"])
 
 
 _BETWEEN = np.array([0x110000], np.uint64)  # no character
 
 
-def _parts_held(texts: list[str | None], table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of texts and hashes of their parts that the bit table may hold, each once, in order."""
+def _held(hashes: np.ndarray, table: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the bit table may hold a hash, and these hashes."""
+    at = np.arange(len(hashes))
+    for probe in range(PROBES):
+        spot = _probes(hashes, bits)[probe]
+        stays = (table[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        at, hashes = at[stays], hashes[stays]
+    return at, hashes
+
+
+def _parts_held(texts: list[str | None], table: np.ndarray, bits: int, widths: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of texts and hashes of their parts, as wide as a bit of ``widths`` says, that the bit table may hold, each once, in order."""
     made = [_points(fold(t)) if t else np.zeros(0, np.uint64) for t in texts]
     owner = np.repeat(np.arange(len(made)), [len(m) + 1 for m in made])
+    points = np.concatenate([np.zeros(0, np.uint64), *[x for m in made for x in (m, _BETWEEN)]])
     owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for _, hashes in _part_hashes(np.concatenate([x for m in made for x in (m, _BETWEEN)]), WIDEST) if made else ():
-        at = np.arange(len(hashes))
-        for probe in range(PROBES):
-            spot = _probes(hashes[at], bits)[probe]
-            at = at[(table[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-        owners.append(owner[at])
-        found.append(hashes[at])
-    numbers, held = np.concatenate(owners), np.concatenate(found)
-    order = np.lexsort((held, numbers))
-    numbers, held = numbers[order], held[order]
-    first = np.ones(len(held), bool)
-    first[1:] = (numbers[1:] != numbers[:-1]) | (held[1:] != held[:-1])
-    return numbers[first], held[first]
-
-
-def _literals_in(shared, bits: int):
+    places, rolled = np.arange(len(points)), np.zeros(len(points), np.uint64)
+    for width in range(1, widths.bit_length()):
+        within = np.searchsorted(places, len(points) - width, "right")
+        places = places[:within]
+        rolled = _rolled(rolled[:within], points[places + (width - 1)])
+        if widths >> width & 1:
+            at, hashes = _held(_mixed(rolled, width), table, bits)
+            owners.append(owner[places[at]])
+            found.append(hashes)
+        if width in GATES:
+            # Whatever is wider begins with what the table holds of this width.
+            at, _ = _held(_mixed(rolled, width, True), table, bits)
+            places, rolled = places[at], rolled[at]
+    return _once(np.concatenate(owners), np.concatenate(found))
+
+
+def _literals_in(shared, bits: int, widths: int):
     """Hashes of the parts of a text that may be literals."""
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     @tidy
     def found(texts: pa.Array) -> pa.Array:
         table = np.frombuffer(shared.value, np.uint8)
-        counts, hashes = [np.zeros(1, np.int64)], [np.zeros(0, np.uint64)]
+        owners, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for first in range(0, len(texts), 1024):
-            run = texts[first : first + 1024].to_pylist()
-            numbers, held = _parts_held(run, table, bits)
-            counts.append(np.bincount(numbers, minlength=len(run)))
+            numbers, held = _parts_held(texts[first : first + 1024].to_pylist(), table, bits, widths)
+            owners.append(numbers + first)
             hashes.append(held)
-        offsets = np.cumsum(np.concatenate(counts)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(hashes).view(np.int64)))
+        return _lists(np.concatenate(owners), np.concatenate(hashes), len(texts))
 
     return found
 
@@ -252,8 +318,9 @@ def tag_by_join(rules: DataFrame, rows: DataFrame, text: str, *keys: str) -> Dat
     every = rules.filter("pattern IS NOT NULL").select("rule_id", "signal", F.col("pattern").alias("rule_pattern")).distinct()
     # Patterns are short but slow to read: as many tasks as a shuffle has, whatever their bytes.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    every = materialize(every.repartition(parts).withColumn("literals", _literal_hashes("rule_pattern")), "lexicon")
-    held = every.select(F.explode("literals").alias("met")).distinct()
+    every = materialize(every.repartition(parts).withColumn("read", _literal_hashes("rule_pattern")).select("*", "read.*").drop("read"), "lexicon")
+    held = every.select(F.explode(F.concat("literals", "gates")).alias("met")).distinct()
+    widths = every.agg(F.coalesce(F.bit_or("widths"), F.lit(0)).alias("widths")).first().widths
     bits = min(MOST_BITS, max(16, (BITS_EACH * held.count()).bit_length()))
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -268,17 +335,21 @@ def tag_by_join(rules: DataFrame, rows: DataFrame, text: str, *keys: str) -> Dat
     for row in spot.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bitmap")).toLocalIterator():
         start = (row.bucket - 1) * len(row.bitmap)
         table[start : start + len(row.bitmap)] = row.bitmap[: len(table) - start]
-    found = _literals_in(spark.sparkContext.broadcast(bytes(table)), bits)
+    found = _literals_in(spark.sparkContext.broadcast(bytes(table)), bits, widths)
 
     tested = rows.select(*keys, F.col(text).alias("tested")).filter("tested IS NOT NULL")
     met = tested.select("*", found("tested").alias("found")).filter(F.size("found") > 0).select("*", F.explode("found").alias("met"))
-    by_literal = every.select("*", F.explode("literals").alias("met"))
+    by_literal = every.select("rule_id", "signal", "rule_pattern", "literals", F.explode("literals").alias("met"))
     # Of several literals of a rule, only the first that is in the text counts.
     first = F.element_at(F.array_intersect("literals", "found"), 1)
     joined = met.join(by_literal.hint("merge"), "met").filter((first == F.col("met")) & F.expr("tested RLIKE rule_pattern"))
-    always = every.filter(F.size("literals") == 0).select("rule_id", "signal", "rule_pattern")
+    found_by_literal = joined.select(*keys, "rule_id", "signal")
+    if not every.filter(F.size("literals") == 0).head(1):
+        return found_by_literal
+    # A file of their own: the planner sees its size, and texts are not read and split again for each file of the lexicon.
+    always = materialize(every.filter(F.size("literals") == 0).select("rule_id", "signal", "rule_pattern").repartition(1), "lexicon-rest")
     tried = tested.join(always, F.expr("tested RLIKE rule_pattern"))
-    return joined.select(*keys, "rule_id", "signal").union(tried.select(*keys, "rule_id", "signal"))
+    return found_by_literal.union(tried.select(*keys, "rule_id", "signal"))
 
 
 def tag_all(rules: DataFrame, rows: DataFrame, text: str, *keys: str) -> DataFrame:

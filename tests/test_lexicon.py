@@ -1,6 +1,8 @@
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,45 @@ def test_a_large_lexicon_by_joins(spark, monkeypatch):
     assert found(lexicon.tag_all(table, rows, "text", "k")) == expected
     assert lexicon.tag_by_join(table.limit(0), rows, "text", "k").count() == 0
     assert lexicon.tag_by_join(table, rows.limit(0), "text", "k").count() == 0
+
+
+def test_rules_of_a_shape_have_their_own_literals():
+    patterns = [f"(?i)(^|[^a-z0-9])(supplier|bidder|item) {n}($|[^a-z0-9])" for n in (7, 12, 345, 1234567)]
+    patterns += ["x Ab ÉÉ (q|rs)", r"a \d Bc Dé$", r"\ 12", "a 12*", "a 12?", "[ 12 ]", "a { 2 }", "(?x)ab 12 # 34 \n c", r"\N{LATIN SMALL LETTER A}b 12", "é 12 \U000f0000"]
+    for pattern in patterns:
+        assert lexicon.required_literals(pattern) == lexicon._shape_literals(pattern)
+    before = lexicon._shape_literals.cache_info().misses
+    assert [lexicon.required_literals(f"(supplier|bidder) {n}($|x)") for n in range(1000, 1900)] == [{f" {n}"} for n in range(1000, 1900)]
+    assert lexicon._shape_literals.cache_info().misses <= before + 1
+
+
+def test_rules_are_not_looked_up_by_the_words_they_share():
+    assert lexicon.required_literals("(supplier|bidder|item) 7($|[^0-9])") == {" 7"}
+
+
+def test_places_without_the_beginning_of_a_literal_are_given_up(spark):
+    literals = lexicon._literal_hashes.func(pa.array(["deliver", "shallow water", "x", "must", "[0-9]"]))
+    assert literals.field("widths").to_pylist() == [1 << 7, 1 << 13, 1 << 1, 1 << 4, 0]
+    assert [len(g) for g in literals.field("gates").to_pylist()] == [1, 2, 0, 0, 0]
+    hashes = np.array([h for f in ("literals", "gates") for made in literals.field(f).to_pylist() for h in made], np.int64).view(np.uint64)
+    table = np.zeros(1 << 13, np.uint8)
+    for spots in lexicon._probes(hashes, 16):
+        np.bitwise_or.at(table, spots >> np.uint64(3), (1 << (spots & np.uint64(7))).astype(np.uint8))
+    texts = ["They DELIVER; one must, in shallow water", None, "", "delive", "x", "shallow", "mus", "t shallow wate"]
+    widths = 1 << 7 | 1 << 13 | 1 << 1 | 1 << 4
+    numbers, held = lexicon._parts_held(texts, table, 16, widths)
+    own = {int(np.int64(h).view(np.uint64)): i for i, made in enumerate(literals.field("literals").to_pylist()) for h in made}
+    assert sorted((int(n), own[int(h)]) for n, h in zip(numbers, held, strict=True) if int(h) in own) == [(0, 0), (0, 1), (0, 3), (4, 2)]
+
+
+def test_rules_without_a_literal_do_not_read_the_texts_once_a_file(spark, monkeypatch):
+    written = []
+    keep = lexicon.materialize
+    monkeypatch.setattr(lexicon, "materialize", lambda df, label: written.append((label, keep(df, label))) or written[-1][1])
+    table = spark.createDataFrame([(1, "a", "[0-9]"), (2, "b", "bolt"), (3, "a", "^x")], RULES)
+    rows = spark.createDataFrame([(1, "7 bolts"), (2, "x")], "k int, text string")
+    assert sorted((r.k, r.rule_id) for r in lexicon.tag_by_join(table, rows, "text", "k").collect()) == [(1, 1), (1, 2), (2, 3)]
+    assert {label: df.rdd.getNumPartitions() for label, df in written}["lexicon-rest"] == 1
+    written.clear()
+    lexicon.tag_by_join(table.filter("rule_id = 2"), rows, "text", "k").collect()
+    assert [label for label, _ in written] == ["lexicon"]
