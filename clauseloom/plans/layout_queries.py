@@ -165,7 +165,7 @@ def lined(spark, sf_dir):
 
 
 def segments(spark, sf_dir):
-    return ly.segment_texts(lined(spark, sf_dir))
+    return ly.segment_texts(items(spark, sf_dir))
 
 
 def spaced(spark, sf_dir):
@@ -275,7 +275,7 @@ def pdf_line_spacing_median(spark, sf_dir):
 
 
 def judged(spark, sf_dir):
-    return ly.with_spacing(ly.segment_texts(ly.with_lines(ly.with_body_font(items(spark, sf_dir)))))
+    return ly.with_spacing(ly.segment_texts(ly.with_body_font(items(spark, sf_dir))))
 
 
 @entry("pdf_font_ranks", ("run_ranks",), "SELECT doc_id, page, bucket, rank FROM run_ranks")

@@ -169,3 +169,30 @@ def test_texts_without_shared_shingles_write_no_sets(spark, monkeypatch):
     got = {r.id: (r.copies, r.similar) for r in checks.duplicate_content(spark.createDataFrame(rows, "id long, text string")).collect()}
     assert got == {**{i: (1, False) for i in range(20)}, 50: (2, False), 52: (1, False)}
     assert {label: df.count() for label, df in written if "shingles" in label}["shared-shingles"] == 2
+
+
+def test_page_without_a_direction_keeps_its_runs_in_order(spark):
+    rows = [(*r[:13], "rtl", *r[14:]) for r in page("sideways", [("One must sign.", 72, 700, 12), ("Two", 300, 700, 12), ("Three", 72, 600, 12)])]
+    found = layout.extract_pages(spark.createDataFrame(rows, COLUMNS)).orderBy("block_no").collect()
+    assert [(r.text, r.kind, len(r.spans)) for r in found] == [(t, "paragraph", 1) for t in ("One must sign.", "Two", "Three")]
+
+
+def test_blank_runs_need_no_geometry(spark):
+    rows = page("blank", [("Text", 72, 700, 12), ("Same line", 300, 700, 12)])
+    rows += [("blank", 1, 2, "  ", 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.9, -0.2, "ltr", False, True, 1.0, 0.0, 0.0, -1.0, 0.0, 842.0, 0.0, 0.0)]
+    assert texts(layout.extract_pages(spark.createDataFrame(rows, COLUMNS)).orderBy("block_no").collect()) == ["Text", "Same line"]
+
+
+def test_extraction_shuffles_a_run_and_a_segment_once(spark, runs, monkeypatch):
+    """No join, no written intermediate; documents beyond the limit are left out whole."""
+    plan = layout.extract_pages(runs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2 and "Join" not in plan and plan.count("Sort [") <= 6
+    monkeypatch.setitem(layout.fv.LIMITS, "spans", 6)
+    kept = {r.doc_id for r in layout.extract_pages(runs).select("doc_id").distinct().collect()}
+    assert "table" in kept and not {"band", "ranks"} & kept
+
+
+def test_segments_of_lined_items_are_those_of_items(spark, runs):
+    items = layout.with_flow_class(layout.with_dominant_flow(layout.layout_items(runs)))
+    own, lined = layout.segment_texts(items), layout.segment_texts(layout.with_lines(items))
+    assert sorted(map(str, own.collect())) == sorted(map(str, lined.select(*own.columns).collect()))
