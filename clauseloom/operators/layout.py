@@ -22,7 +22,7 @@ from pyspark.sql.types import LongType
 
 from clauseloom.functions import fixed_values as fv
 from clauseloom.functions.signals import has_signal, page_heading
-from clauseloom.functions.text import canonicalize, is_blank, let, pin, running_starts, trim_ws, utf16_length
+from clauseloom.functions.text import canonicalize, is_blank, pin, trim_ws, utf16_length
 
 PAGE = ("doc_id", "page")
 LINE = (*PAGE, "line_no")
@@ -735,62 +735,48 @@ def reading_order(drafts: DataFrame) -> DataFrame:
     return drafts.withColumn("draft_no", F.row_number().over(order).cast("long"))
 
 
-def _paths(found: Column) -> Column:
-    """Path at each heading: a level no deeper than one below the current depth truncates first."""
-    start = F.struct(
-        F.array().cast("array<string>").alias("path"), F.array().cast("array<array<string>>").alias("paths")
-    )
+DEEPEST = 9
 
-    def step(acc: Column, h: Column) -> Column:
-        level = F.least(F.greatest(h["level"], F.lit(1)), F.lit(9)).cast("int")
-        kept = F.when(level <= F.size(acc["path"]) + 1, F.slice(acc["path"], F.lit(1), level - 1)).otherwise(acc["path"])
-        return let(
-            F.concat(kept, F.array(h["title"])),
-            lambda now: F.struct(now.alias("path"), F.concat(acc["paths"], F.array(now)).alias("paths")),
-        )
 
-    return F.aggregate(found, start, step, lambda acc: acc["paths"])
+def with_paths(blocks: DataFrame, *order: str) -> DataFrame:
+    """``section_path`` of a document's blocks in this order, by the levels and titles of their headings.
+
+    A heading cuts the path to the titles above its level, if that is at most one below the depth so far, and adds its own. So the depth behind the
+    k-th heading is the least of k and of ``level + k - j`` of all headings j so far, and a path has, for each depth up to that, the latest title there.
+    """
+    upto = W.partitionBy("doc_id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    heading = F.col("level").isNotNull()
+    counted = blocks.withColumn("heading_no", F.count_if(heading).over(upto))
+    level = F.least(F.greatest("level", F.lit(1)), F.lit(DEEPEST))
+    lowest = counted.withColumn("lowest", F.min(F.when(heading, level - F.col("heading_no"))).over(upto))
+    placed = lowest.withColumn("depth", F.when(heading, F.col("heading_no") + F.least(F.lit(0), "lowest")))
+    latest = placed.select(
+        *blocks.columns, F.last("depth", True).over(upto).alias("depth"),
+        *[F.last(F.when(F.col("depth") == d, F.struct("title")), True).over(upto).alias(f"at_{d}") for d in range(1, DEEPEST + 1)],
+    )
+    path = F.slice(F.array(*[F.col(f"at_{d}.title") for d in range(1, DEEPEST + 1)]), F.lit(1), F.coalesce(F.col("depth"), F.lit(0)).cast("int"))
+    return latest.select(*blocks.columns, path.alias("section_path"))
 
 
 def assemble(drafts: DataFrame) -> DataFrame:
     """Document blocks: pages in order, texts joined by one LF, running offsets, section paths."""
-    fields = (*ORDER, "kind", "text", "spans", "level", "title")
-    packed = drafts.filter(F.length("text") > 0).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("ds")
+    keys = (*ORDER, "kind", "text")
+    order = W.partitionBy("doc_id").orderBy(*keys)
+    units = utf16_length(F.col("text"))
+    before = F.sum(units + 1).over(order.rowsBetween(W.unboundedPreceding, -1))
+    placed = drafts.filter(F.length("text") > 0).select(
+        "*", F.row_number().over(order).cast("long").alias("block_no"), F.coalesce(before, F.lit(0).cast("long")).alias("text_start"),
+    )
+    spans = F.transform(
+        "spans",
+        lambda s: F.struct(
+            (F.col("text_start") + s["text_start"]).alias("text_start"), (F.col("text_start") + s["text_end"]).alias("text_end"), s["region"].alias("region"),
+        ),
+    )
+    return with_paths(placed, *keys).select(
+        "doc_id", "block_no", "page", "kind", "text", "text_start", (F.col("text_start") + units).alias("text_end"), "section_path", spans.alias("spans"),
     )
 
-    def blocks(ds: Column) -> Column:
-        is_heading = F.transform(ds, lambda d: F.when(d["level"].isNotNull(), 1).otherwise(0).cast("long"))
-        found = F.transform(
-            F.filter(ds, lambda d: d["level"].isNotNull()),
-            lambda d: F.struct(d["level"].alias("level"), d["title"].alias("title")),
-        )
-
-        def rows(at: Column, seen: Column, paths: Column) -> Column:
-            def block(d: Column, i: Column) -> Column:
-                latest = (seen[i] + F.when(d["level"].isNotNull(), 0).otherwise(-1)).cast("int")
-                return F.struct(
-                    (i + 1).cast("long").alias("block_no"), d["page"].alias("page"), d["kind"].alias("kind"),
-                    d["text"].alias("text"), at[i].alias("text_start"), (at[i] + utf16_length(d["text"])).alias("text_end"),
-                    F.coalesce(F.get(paths, latest), F.array().cast("array<string>")).alias("section_path"),
-                    F.transform(
-                        d["spans"],
-                        lambda s: F.struct(
-                            (at[i] + s["text_start"]).alias("text_start"), (at[i] + s["text_end"]).alias("text_end"),
-                            s["region"].alias("region"),
-                        ),
-                    ).alias("spans"),
-                )
-
-            return F.transform(ds, block)
-
-        return let(
-            running_starts(F.transform(ds, lambda d: utf16_length(d["text"]) + 1)),
-            lambda at: let(running_starts(is_heading), lambda seen: let(_paths(found), lambda paths: rows(at, seen, paths))),
-        )
-
-    return packed.select("doc_id", F.inline(let(F.col("ds"), blocks)))
-
 
 def extract_pages(runs: DataFrame) -> DataFrame:
     """Positioned runs → blocks of the documents inside the item limit; ``within_item_limit`` returns the others."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -75,10 +77,10 @@ def extract_txt_requirements(docs: DataFrame) -> DataFrame:
     return classify(with_codes(keep_first_quote(found.repartition("doc_id"))))
 
 
-def extract_block_requirements(blocks: DataFrame) -> DataFrame:
+def extract_block_requirements(blocks: DataFrame, evidence: Callable[[DataFrame], DataFrame] = lambda found: found) -> DataFrame:
     """Requirements of ``blocks(doc_id, block_no, kind, text, text_start, section_path, ...)`` of any format; columns of
-    a block stay with its requirements, so that evidence can be cut from them in the row."""
-    found = candidates(blocks, "text")
+    a block stay with its requirements, or what ``evidence`` makes of them where the block lies, before anything is shuffled."""
+    found = evidence(candidates(blocks, "text"))
     return classify(with_codes(keep_first_quote(found.repartition("doc_id"))))
 
 
@@ -95,12 +97,14 @@ def extract_docx_requirements(documents: DataFrame) -> DataFrame:
 def extract_pdf_requirements(runs: DataFrame) -> DataFrame:
     """Requirements of positioned text runs with ``regions``: page and box of every span that a quote touches, each
     once, in reading order."""
-    found = extract_block_requirements(layout.extract_pages(runs))
-    touched = F.filter(
-        "spans", lambda s: (s["text_start"] < F.col("quote_end")) & (s["text_end"] > F.col("quote_start"))
-    )
-    regions = F.array_distinct(F.transform(touched, lambda s: F.struct(F.col("page").alias("page"), s["region"].alias("box"))))
-    return found.withColumn("regions", regions).drop("spans")
+    def regions(found: DataFrame) -> DataFrame:
+        touched = F.filter(
+            "spans", lambda s: (s["text_start"] < F.col("quote_end")) & (s["text_end"] > F.col("quote_start"))
+        )
+        boxes = F.array_distinct(F.transform(touched, lambda s: F.struct(F.col("page").alias("page"), s["region"].alias("box"))))
+        return found.withColumn("regions", boxes).drop("spans")
+
+    return extract_block_requirements(layout.extract_pages(runs), regions)
 
 
 def fixture_rows(files: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Golden pages: tables, columns, headings, composition, clipping."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from clauseloom.operators import checks, layout, metrics
+from clauseloom.operators import checks, layout, metrics, requirements
 
 COLUMNS = (
     "doc_id string, page long, item_index long, text string, t0 double, t1 double, t2 double, t3 double, t4 double, t5 double, "
@@ -186,7 +188,7 @@ def test_blank_runs_need_no_geometry(spark):
 def test_extraction_shuffles_a_run_and_a_segment_once(spark, runs, monkeypatch):
     """No join, no written intermediate; documents beyond the limit are left out whole."""
     plan = layout.extract_pages(runs)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange ") == 2 and "Join" not in plan and plan.count("Sort [") <= 6
+    assert plan.count("Exchange ") == 2 and "Join" not in plan and "Aggregate" not in plan and plan.count("Sort [") <= 7
     monkeypatch.setitem(layout.fv.LIMITS, "spans", 6)
     kept = {r.doc_id for r in layout.extract_pages(runs).select("doc_id").distinct().collect()}
     assert "table" in kept and not {"band", "ranks"} & kept
@@ -196,3 +198,27 @@ def test_segments_of_lined_items_are_those_of_items(spark, runs):
     items = layout.with_flow_class(layout.with_dominant_flow(layout.layout_items(runs)))
     own, lined = layout.segment_texts(items), layout.segment_texts(layout.with_lines(items))
     assert sorted(map(str, own.collect())) == sorted(map(str, lined.select(*own.columns).collect()))
+
+
+def test_section_paths_equal_a_stack(spark):
+    """Paths by windows against the rule itself, with levels beyond both ends and missing titles' places."""
+    rng = random.Random(4)
+    rows, want = [], {}
+    for doc in range(40):
+        path = []
+        for n in range(rng.randrange(1, 60)):
+            level = rng.choice((None, None, 0, 1, 1, 2, 2, 3, 4, 5, 9, 12))
+            if level is not None:
+                at = min(max(level, 1), 9)
+                path = [*(path[: at - 1] if at <= len(path) + 1 else path), f"t{n}"]
+            rows.append((f"d{doc}", n, level, None if level is None else f"t{n}"))
+            want[f"d{doc}", n] = path
+    rng.shuffle(rows)
+    made = layout.with_paths(spark.createDataFrame(rows, "doc_id string, block_no long, level long, title string"), "block_no")
+    assert {(r.doc_id, r.block_no): list(r.section_path) for r in made.collect()} == want
+
+
+def test_regions_are_cut_before_requirements_are_shuffled(spark, runs):
+    plan = requirements.extract_pdf_requirements(runs)._jdf.queryExecution().optimizedPlan().toString()
+    behind = plan[: plan.index("RepartitionByExpression")]
+    assert "regions" in behind and "spans" not in behind and "region#" not in behind
