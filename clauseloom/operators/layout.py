@@ -57,7 +57,9 @@ def _placed(runs: DataFrame) -> DataFrame:
     """Geometry of runs where they are dealt by document, not sorted yet; blank runs, which only count for line hints, have none."""
     v, t = [F.col(f"v{i}") for i in range(6)], [F.col(f"t{i}") for i in range(6)]
     # Texts reach Python before the exchange: behind it, the windows of pages and documents follow each other without another one.
-    clean = runs.withColumns({"blank": is_blank(F.col("text")), "text": canonicalize(F.col("text"))}).repartition("doc_id")
+    # Runs are packed tenfold in a shuffle: as many tasks as it has, or a task would sort more of them than it has memory for.
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    clean = runs.withColumns({"blank": is_blank(F.col("text")), "text": canonicalize(F.col("text"))}).repartition(parts, "doc_id")
     placed = pin(
         clean,
         m0=v[0] * t[0] + v[2] * t[1], m1=v[1] * t[0] + v[3] * t[1],

@@ -222,3 +222,8 @@ def test_regions_are_cut_before_requirements_are_shuffled(spark, runs):
     plan = requirements.extract_pdf_requirements(runs)._jdf.queryExecution().optimizedPlan().toString()
     behind = plan[: plan.index("RepartitionByExpression")]
     assert "regions" in behind and "spans" not in behind and "region#" not in behind
+
+
+def test_runs_are_dealt_over_all_tasks_whatever_their_bytes(runs):
+    plan = layout.item_geometry(runs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count("Exchange ") == 1
